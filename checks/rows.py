@@ -226,7 +226,7 @@ def track_card(t):
     return catalog.track_card(L.attach_artwork(t.tracks, t.cache))
 
 
-ONE = "printf('%.1f', round_even({}, 1))"
+ONE = "printf('%.1f', {})"
 
 
 @query("feature_inspector", tracks_sql(f"""

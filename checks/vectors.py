@@ -158,7 +158,7 @@ select query_id, id, {sql6("score")} as score, r as rank from same where r <= 8"
 def topk_similar(t):
     """Ranking alone: scores of every pair of a label, then the best per query."""
     hits = paired(t).select("query_id", F.col("vec_id").alias("id"),
-                            F.round(X.score(F.col("a"), F.col("b")), 9).alias("score"))
+                            X.score(F.col("a"), F.col("b")).alias("score"))
     return shown(K.rank_hits(hits, 8))
 
 

@@ -85,10 +85,22 @@ def track_card(df):
 
 
 def one_decimal(value):
-    """Number with one decimal, halves to even; a dash when missing."""
-    return F.when(value.isNull() | F.isnan(value), F.lit(V.DASH)).otherwise(
-        F.format_string("%.1f", F.bround(value, 1))
-    )
+    """Number with one decimal, rounded from its exact binary value; a dash when missing.
+
+    Ten times the number is held as a sum and its rounding error, so that 0.25 goes to
+    the even 0.2 while 13.45, which is stored a little below that, goes to 13.4.
+    """
+    size = F.abs(value)
+    eight, two = size * 8.0, size * 2.0
+    tenfold = eight + two
+    rest = tenfold - eight
+    error = (eight - (tenfold - rest)) + (two - rest)
+    whole = F.floor(tenfold)
+    above = tenfold - whole - 0.5
+    up = (above > 0) | ((above == 0) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2)) == 1))))
+    tenths = whole + F.when(up, 1).otherwise(0)
+    text = F.concat(F.when(value < 0, "-").otherwise(""), F.format_string("%.1f", tenths / 10.0))
+    return F.when(value.isNull() | F.isnan(value), F.lit(V.DASH)).otherwise(text)
 
 
 def feature_inspector(df):

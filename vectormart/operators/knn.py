@@ -22,8 +22,8 @@ CELL_BYTES = 64 << 20
 MAX_HIT_ROWS = 1_000_000
 
 
-def _block_search(k, dim, metric, out_names):
-    """Build the search kernel: a class-free closure, so executors need no package."""
+def _block_search(k, dim, metric, out_names, decimals=RANK_DECIMALS):
+    """Build the search kernel as plain closures, so executors need no package."""
 
     def unit(m):
         if metric != "cosine":
@@ -54,14 +54,14 @@ def _block_search(k, dim, metric, out_names):
         return np.asarray(found.to_numpy(zero_copy_only=False))
 
     def best(table):
-        """Keep the first k rows of each query by score, then id."""
-        table = table.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+        """Keep the first k rows of each query by rounded score, then id."""
+        table = table.sort_by([("q", "ascending"), ("place", "descending"), ("id", "ascending")])
         q = table.column("q").to_numpy()
-        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-        return table.filter(pa.array(place < k))
+        nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        return table.filter(pa.array(nth < k))
 
     def search(batches, q_ids, q_vectors, q_groups, skip_self):
-        """Yield the best k rows per query of all batches as (query, id, score)."""
+        """Yield the best k rows per query of all batches as (query, id, score, place)."""
         n_queries = len(q_ids)
         floor = np.full(n_queries, -np.inf)
         kept = None
@@ -77,7 +77,8 @@ def _block_search(k, dim, metric, out_names):
             row_group = None if groups is None else codes(album.take(pa.array(rows)), groups)
             for at in range(0, len(rows), step):
                 part_ids = ids.slice(at, step)
-                scores = np.round(m[at:at + step] @ q_vectors.T, 9)
+                exact = m[at:at + step] @ q_vectors.T
+                scores = np.round(exact, decimals)
                 if skip_self:
                     own = codes(part_ids, q_ids)
                     mine = np.flatnonzero(own >= 0)
@@ -90,17 +91,18 @@ def _block_search(k, dim, metric, out_names):
                 r, q = np.nonzero((scores >= floor[None, :]) & (scores > -np.inf))
                 if not len(r):
                     continue
-                found = pa.table({"q": pa.array(q.astype(np.int64)), "score": pa.array(scores[r, q]),
-                                  "id": part_ids.take(pa.array(r))})
+                found = pa.table({"q": pa.array(q.astype(np.int64)), "place": pa.array(scores[r, q]),
+                                  "score": pa.array(exact[r, q]), "id": part_ids.take(pa.array(r))})
                 kept = best(found if kept is None else pa.concat_tables([kept, found]))
                 counts = np.bincount(kept.column("q").to_numpy(), minlength=n_queries)
                 full = np.flatnonzero(counts >= k)
                 last = np.cumsum(counts) - 1
-                floor[full] = np.maximum(floor[full], kept.column("score").to_numpy()[last[full]])
+                floor[full] = np.maximum(floor[full], kept.column("place").to_numpy()[last[full]])
         if kept is not None:
             kept = kept.combine_chunks()
             owner = q_ids.take(kept.column("q").combine_chunks())
-            yield from pa.table([owner, kept.column("id"), kept.column("score")], names=out_names).to_batches()
+            columns = [owner, kept.column("id"), kept.column("score"), kept.column("place")]
+            yield from pa.table(columns, names=out_names).to_batches()
 
     return matrix, search
 
@@ -127,6 +129,7 @@ def exact_knn(corpus, queries, k, dim, *, id_col="id", vector_col="vector", quer
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("id", corpus.schema["id"].dataType),
         T.StructField("score", T.DoubleType()),
+        T.StructField("place", T.DoubleType()),
     ])
     most = max(1, max_query_bytes // (8 * dim))
     block = queries.limit(most + 1).toArrow()
@@ -134,12 +137,12 @@ def exact_knn(corpus, queries, k, dim, *, id_col="id", vector_col="vector", quer
         hits = _search_broadcast(corpus, block, k, dim, metric, exclude_self, hit_type)
     else:
         hits = _search_cells(corpus, queries, k, dim, metric, exclude_self, hit_type, most)
-    return rank_hits(hits, k)
+    return rank_hits(hits, k, [F.col("place").desc(), F.col("id").asc()]).drop("place")
 
 
 def rank_hits(hits, k, order=None):
     """Rank hits per query by score, then id, and keep the first k."""
-    order = order or [F.col("score").desc(), F.col("id").asc()]
+    order = order or [F.round("score", RANK_DECIMALS).desc(), F.col("id").asc()]
     best = Window.partitionBy("query_id").orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -204,7 +207,7 @@ def _search_cells(corpus, queries, k, dim, metric, exclude_self, hit_type, most)
         if out:
             return pa.Table.from_batches(out)
         return pa.table([taken.column("query_id").slice(0, 0), corpus_cell.column("id").slice(0, 0),
-                         pa.array([], pa.float64())], names=names)
+                         pa.array([], pa.float64()), pa.array([], pa.float64())], names=names)
 
     return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(run, hit_type)
 
