@@ -62,13 +62,6 @@ select * from (
               from {tracks}) k) m) e
 where h < 'c'
 """
-# Tracks with more copies of the same key, of other lengths and paths.
-COPIES = """
-select t.*, c.nr as copy_nr, concat('/docs/', cast(c.nr as string), '/', t.file_hash, '.json') as json_path,
-  t.duration_sec - case c.nr when 0 then 0 when 1 then 30 else 0 end as track_seconds
-from {tracks} t cross join (select 0 as nr union all select 1 union all select 2) c
-"""
-
 CTE_TRACKS = "tracks as (" + TRACKS.format(part="part", lineitem="lineitem") + ")"
 CTE_ENTRIES = "entries as (" + ENTRIES.format(tracks="tracks") + ")"
 CTE_CACHE = CTE_ENTRIES + """, cache as (select cache_key, string_split(cache_key, '|')[1] as artist,
@@ -134,7 +127,11 @@ class Tables:
 
     @property
     def copies(self):
-        return self.spark.sql(COPIES, tracks=self.tracks)
+        """Three copies of every track under the same key, with other paths and lengths."""
+        copy = self.tracks.withColumn("copy_nr", F.explode(F.sequence(F.lit(0), F.lit(2))))
+        number = F.col("copy_nr").cast("string")
+        return copy.withColumn("json_path", F.concat(F.lit("/docs/"), number, F.lit("/"), "file_hash")).withColumn(
+            "track_seconds", F.col("duration_sec") - F.when(F.col("copy_nr") == 1, 30.0).otherwise(0.0))
 
     @property
     def mart(self):

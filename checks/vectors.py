@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from checks.base import query, r6, sql6
 from vectormart.functions import vectors as X
+from vectormart.operators import approximate as A
 from vectormart.operators import knn as K
 from vectormart.operators import quality
+from vectormart.session import work_folder
 
 DIM = 64
 SEEDS = "seeds as (select min(vec_id) as query_id from embeddings group by label)"
@@ -167,3 +169,32 @@ def topk_similar(t):
 select query_id, id, {sql6("dot")} as score, r as rank from d where r <= 10""")
 def knn_dot(t):
     return shown(knn(t, 10, metric="dot"))
+
+
+def by_cell(t):
+    """The corpus stored by cell, with about the square root of its rows as cells."""
+    cells = max(2, min(A.MAX_CELLS, int(t.embeddings.count() ** 0.5)))
+    folder = work_folder(t.spark, "cells")
+    A.build_cells(t.embeddings, folder, DIM, cells, id_col="vec_id", vector_col="embedding")
+    return folder
+
+
+def approximate(t, k, probes):
+    return A.approx_knn(t.spark, by_cell(t), queries(t), k, DIM, probes, id_col="vec_id", vector_col="embedding")
+
+
+@query("approx_knn")
+def approx_knn(t):
+    return shown(approximate(t, 10, 4))
+
+
+@query("approx_knn_all_cells", top_sql(10))
+def approx_knn_all_cells(t):
+    """Visiting every cell must give the exact result."""
+    return shown(approximate(t, 10, A.MAX_CELLS))
+
+
+@query("approx_recall", "select count(distinct label) as queries, true as useful from embeddings")
+def approx_recall(t):
+    per_query = A.recall(approximate(t, 10, 4), knn(t, 10))
+    return per_query.agg(F.count("*").alias("queries"), (F.avg("recall") > 0.5).alias("useful"))

@@ -9,7 +9,9 @@ last committed state readable.
 """
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vectormart import fixed_values as V
 from vectormart.functions.text import blank_to_null
@@ -70,46 +72,57 @@ class Collection:
     def _log(self):
         """Commits of the present generation; one row per commit, so always few."""
         try:
-            rows = self.spark.read.schema(LOG_SCHEMA).parquet(self.path + "/log").orderBy("version").collect()
+            rows = self.spark.read.schema(LOG_SCHEMA).parquet(self.path + "/log").collect()
         except AnalysisException as problem:
             if problem.getCondition() == "PATH_NOT_FOUND":
                 return []
             raise
+        rows.sort(key=lambda r: r["version"])
         full = max((i for i, r in enumerate(rows) if r["kind"] == "full"), default=0)
         return rows[full:]
 
-    def _commit(self, points, kind, dim, metric, batch=None):
-        log = self._log()
+    def _commit(self, log, points, kind, dim, metric, batch=None):
         version = log[-1]["version"] + 1 if log else 1
-        folder = self._folder(version)
-        points.write.mode("overwrite").parquet(folder)
-        count = self.spark.read.parquet(folder).count()
-        entry = self.spark.createDataFrame([(version, kind, dim, metric, count, batch)], LOG_SCHEMA)
-        entry.coalesce(1).write.mode("append").parquet(self.path + "/log")
+        seen = Observation()
+        counted = points.observe(seen, F.count(F.lit(1)).alias("rows"))
+        counted.write.mode("overwrite").parquet(self._folder(version))
+        count = seen.get["rows"]
+        self._rows(1, LOG_SCHEMA, (version, kind, dim, metric, count, batch)).write.mode("append").parquet(
+            self.path + "/log")
         return count
 
+    def _rows(self, n, ddl, values=None):
+        """n equal rows of a schema, built inside Spark."""
+        fields = StructType.fromDDL(ddl)
+        values = values or [None] * len(fields)
+        return self.spark.range(0, n, 1, 1).select(
+            *[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, values)])
+
     def _folder(self, version):
         return f"{self.path}/points/v{version:06d}"
 
-    def _settings(self):
+    def _present(self):
         log = self._log()
         if not log:
             raise ValueError(f"no collection at {self.path}")
-        return log[-1]["dim"], log[-1]["metric"]
+        return log
 
     def init(self, dim, metric, payload, id_type="decimal(20,0)"):
         """Create the collection unless it exists; ``payload`` is a DDL list of columns."""
-        if self._log():
-            return False
-        self.recreate(dim, metric, payload, id_type)
-        return True
+        log = self._log()
+        if not log:
+            self._start(log, dim, metric, payload, id_type)
+        return not log
 
     def recreate(self, dim, metric, payload, id_type="decimal(20,0)"):
         """Start again from an empty collection."""
+        self._start(self._log(), dim, metric, payload, id_type)
+
+    def _start(self, log, dim, metric, payload, id_type):
         if metric not in ("cosine", "dot"):
             raise ValueError(f"unknown metric {metric}")
         schema = f"id {id_type}, vector array<double>, {payload}, norm double"
-        self._commit(self.spark.createDataFrame([], schema), "full", dim, metric)
+        self._commit(log, self._rows(0, schema), "full", dim, metric)
 
     def upsert(self, points, seq=None, key=None, batch=None):
         """Insert points or replace those of the same id; returns the number of ids written.
@@ -117,20 +130,20 @@ class Collection:
         Points without a valid vector or key are skipped.  ``batch`` names the write:
         a name that was committed before is not written again.
         """
-        dim, metric = self._settings()
-        if batch is not None and any(r["batch"] == batch for r in self._log()):
+        log = self._present()
+        dim, metric = log[-1]["dim"], log[-1]["metric"]
+        if batch is not None and any(r["batch"] == batch for r in log):
             return 0
         good = last_per_id(valid_points(points, dim, key), seq)
         vector = F.col("vector").cast("array<double>")
-        return self._commit(
-            good.withColumn("vector", vector).withColumn("norm", norm(F.col("vector"))), "part", dim, metric, batch
-        )
+        normed = good.withColumn("vector", vector).withColumn("norm", norm(F.col("vector")))
+        return self._commit(log, normed, "part", dim, metric, batch)
 
     def read(self):
         """The current points."""
-        log = self._log()
-        if not log:
-            raise ValueError(f"no collection at {self.path}")
+        return self._read(self._present())
+
+    def _read(self, log):
         full = self.spark.read.parquet(self._folder(log[0]["version"]))
         newer = None
         for row in log[1:]:
@@ -143,16 +156,17 @@ class Collection:
         return newest if log[0]["points"] == 0 else lay_over(full, newest)
 
     def compact(self):
-        """Write the current points as a new full table."""
-        dim, metric = self._settings()
-        batches = [r["batch"] for r in self._log() if r["batch"]]
-        return self._commit(self.read(), "full", dim, metric, batches[-1] if batches else None)
+        """Write the current points as a new full table, so that readers merge nothing."""
+        log = self._present()
+        batches = [r["batch"] for r in log if r["batch"]]
+        return self._commit(log, self._read(log), "full", log[-1]["dim"], log[-1]["metric"],
+                            batches[-1] if batches else None)
 
     def info(self):
         """Dimension, metric and number of points."""
-        dim, metric = self._settings()
-        return self.read().agg(F.count("*").alias("points")).select(
-            F.lit(dim).alias("dim"), F.lit(metric).alias("metric"), "points")
+        log = self._present()
+        return self._read(log).agg(F.count("*").alias("points")).select(
+            F.lit(log[-1]["dim"]).alias("dim"), F.lit(log[-1]["metric"]).alias("metric"), "points")
 
 
 def collection_upsert(old, new, dim, seq=None):

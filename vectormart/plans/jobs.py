@@ -9,6 +9,7 @@ from vectormart.operators import retrieval as R
 from vectormart.operators.collection import Collection, audio_points
 from vectormart.operators.mart import audio_mart, feature_stats
 from vectormart.operators.staging import dedup_latest, exclude_genres, flatten_features, staging_cast
+from vectormart.session import written
 from vectormart.sources.readers import accepted
 from vectormart.sources.writers import write_parts
 
@@ -77,8 +78,12 @@ def refresh_cache(tracks, cache, responses):
 
 
 def most_alike(tracks, k, seeds):
-    """The flagship query: the k nearest tracks of each seed by standardised features."""
-    mart = audio_mart(tracks)
-    queries = mart.join(seeds, "file_hash", "left_semi").select(
+    """The flagship query: the k nearest tracks of each seed by standardised features.
+
+    Keys and vectors are written once; the seeds' vectors and the search then read two
+    columns instead of computing the mart again.
+    """
+    vectors = written(audio_mart(tracks).select("file_hash", "vector_z"), "vectors")
+    queries = vectors.join(seeds, "file_hash", "left_semi").select(
         F.col("file_hash").alias("query_id"), F.col("vector_z").alias("vector"))
-    return R.exact_knn(mart, queries, k, V.VECTOR_DIM, id_col="file_hash", vector_col="vector_z")
+    return R.exact_knn(vectors, queries, k, V.VECTOR_DIM, id_col="file_hash", vector_col="vector_z")
