@@ -111,15 +111,33 @@ def most_alike(t):
     return E.shown(jobs.most_alike(t.tracks, 10, first))
 
 
-@query("weighted_sample")
+# The draws in SQL: before each one the weights of what remains are made anew.
+DRAWS = f"""with recursive {E.SCORED},
+pool as (select query_id, list({{'r': rank, 's': score, 'id': id}} order by rank) as rest from ranked
+  where rank <= 25 group by query_id),
+draws as (
+  select query_id, 0 as turn, rest, cast(null as bigint) as id, cast(null as double) as score, cast(null as int) as rank
+  from pool
+  union all
+  select query_id, turn + 1, list_filter(rest, lambda x: x.r <> hit.r), hit.id, hit.s, hit.r from (
+    select query_id, turn, rest, rest[len(list_filter(runs, lambda c: c < point)) + 1] as hit from (
+      select *, cast(concat('0x', substr(md5(concat('3|', query_id, '|', turn)), 1, 13)) as ubigint)
+          / cast(16 as double) ** 13 * list_sum(weights) as point,
+        list_transform(weights, lambda w, i: list_sum(weights[1:i])) as runs from (
+        select *, list_transform(rest, lambda x: x.s - list_min(list_transform(rest, lambda y: y.s)) + 0.01) as weights
+        from draws where turn < 5 and len(rest) > 0) w) p) d)"""
+
+
+@query("weighted_sample", DRAWS + f""" select query_id, id, {sql6("score")} as score, rank from draws where turn > 0""")
 def weighted_sample(t):
-    return R.weighted_sample(E.knn(t, 25), 5, seed=3)
+    return E.shown(R.weighted_sample(E.knn(t, 25), 5, seed=3))
 
 
-@query("diversified_retrieve")
+@query("diversified_retrieve", DRAWS + f""" select query_id, id, {sql6("score")} as score,
+  cast(row_number() over (partition by query_id order by score desc, id) as int) as rank from draws where turn > 0""")
 def diversified_retrieve(t):
-    return R.diversified_retrieve(t.embeddings, E.queries(t), 5, E.DIM, seed=3, id_col="vec_id",
-                                  vector_col="embedding")
+    return E.shown(R.diversified_retrieve(t.embeddings, E.queries(t), 5, E.DIM, seed=3, id_col="vec_id",
+                                          vector_col="embedding"))
 
 
 @query("embed_documents", """

@@ -63,7 +63,7 @@ def scan_features_parquet(spark, folder, schema=FLAT_SCHEMA):
 
 
 def listing(spark, root):
-    """Recursive file listing; file contents are never read."""
+    """Recursive listing of the files that have content; the contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path", "length", F.col("modificationTime").alias("mtime"))
 
