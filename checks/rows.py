@@ -103,9 +103,8 @@ select artist, album, title, date, genre, case when genre is not null then
   'essentia_music_v1' as features_version, '2.1' as essentia_version, 'extractor' as extracted_with,
   cast(null as varchar) as mood_model, file_hash, 58 as n_columns from tracks"""))
 def flatten_features(t):
-    docs = t.documents_text().select(
-        F.try_parse_json("value").alias("doc"), F.lit("a.json").alias("json_path"), F.lit("").alias("extracted_at"))
-    flat = S.flatten_features(docs)
+    docs = D.parse_documents(t.documents_text())
+    flat = S.flatten_features(docs.withColumn("json_path", F.lit("a.json")).withColumn("extracted_at", F.lit("")))
     total = F.aggregate("mfcc_mean", F.lit(0.0), lambda s, x: s + x)
     return flat.select(
         "artist", "album", "title", "date", "genre", "genre_csv", "tracknumber", "discnumber", "duration_sec",

@@ -38,6 +38,16 @@ def test_first_string_and_csv(spark):
         assert (row["a"], row["b"]) == (row["first"], row["csv"]), row["text"]
 
 
+def test_parsing_tells_broken_from_odd(spark):
+    texts = ['{"rhythm": {"bpm": 1.5}}', '{"rhythm": 5}', "[1]", "7", "{}", "{broken", "", None, '{"rhythm": {"bpm": "1d"}}',
+             '{"rhythm": {"bpm": "120.5"}, "tonal": {"thpcp": 3}}', '{"rhythm": {"bpm": [1]}}', '{"rhythm": {"bpm": NaN}}']
+    df = D.parse_documents(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string"))
+    got = df.select("i", F.col("doc").isNotNull(), N.json_double(F.col("doc.rhythm.bpm"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        (True, 1.5), (True, None), (True, None), (True, None), (True, None), (False, None), (False, None),
+        (False, None), (True, None), (True, 120.5), (True, None), (True, None)]
+
+
 def test_lenient_int(column):
     given = ["03/12", " 7 ", "3.0", "3.0/12", '["3"]', "x", None, "", "-4.7", "+5", "1e2", "nan", "1d"]
     assert column(given, N.lenient_int) == [3, 7, 3, None, None, None, None, None, -4, 5, 100, None, None]
@@ -58,11 +68,11 @@ def test_first_block_never_mixes(spark):
         '{"tonal":{"key_temperley":{"strength":0}}}',
         '{"tonal":{"key_edma":7}}',
     ]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    block = D.first_block(F.try_parse_json("t"))
+    df = D.parse_documents(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string"))
+    block = D.first_block(lambda path: F.col("doc." + path))
     rows = df.select("i", block.alias("b")).select("i", "b.*").orderBy("i").collect()
     assert [tuple(r)[1:] for r in rows] == [
-        ("C", "major", 0.5), (None, "minor", None), (None, None, 0.0), (None, None, None)]
+        ("C", "major", "0.5"), (None, "minor", None), (None, None, "0"), (None, None, None)]
 
 
 @pytest.mark.parametrize("label,buckets", [

@@ -176,5 +176,6 @@ DOCUMENT_PATHS = {
     "extracted_with": "metadata.version.extractor",
 }
 # Tags hold one string or a list of strings.
+TAGS_PATH = "metadata.tags"
 STRING_TAGS = ("artist", "album", "title", "date", "genre", "albumartist", "composer", "file_name")
 NUMBER_TAGS = ("tracknumber", "discnumber")

@@ -1,8 +1,8 @@
-"""Reading values out of nested documents held in one VARIANT column."""
+"""Parsing nested documents, and reading values that may be a string or a list."""
 
 from pyspark.sql import functions as F
 
-from vectormart.fixed_values import KEY_BLOCKS
+from vectormart.fixed_values import DOCUMENT_PATHS, FLAT_COLUMNS, KEY_BLOCKS, TAGS_PATH
 from vectormart.functions.text import blank_to_null, strip
 
 
@@ -26,7 +26,9 @@ def strings_of(doc, path):
 
 
 def _is_list(doc, path):
-    return F.try_variant_get(doc, "$." + path, "array<variant>").isNotNull()
+    """True for a list; a look at the value's text settles most other values cheaply."""
+    looks_so = F.startswith(json_path(doc, path), F.lit("["))
+    return looks_so & F.try_variant_get(doc, "$." + path, "array<variant>").isNotNull()
 
 
 def first_string(doc, path):
@@ -52,14 +54,6 @@ def list_to_csv(doc, path):
     return F.when(_is_list(doc, path), join_distinct(strings_of(doc, path))).otherwise(first_string(doc, path))
 
 
-def key_block(doc, path):
-    return F.struct(
-        json_path(doc, path + ".key").alias("key"),
-        json_path(doc, path + ".scale").alias("scale"),
-        json_path(doc, path + ".strength", "double").alias("strength"),
-    )
-
-
 def first_usable(blocks):
     """The first whole block with a key, a scale or a strength; blocks are never mixed."""
 
@@ -73,5 +67,53 @@ def first_usable(blocks):
     return F.coalesce(*[F.when(usable(block), block) for block in blocks])
 
 
-def first_block(doc, paths=KEY_BLOCKS):
-    return first_usable([key_block(doc, path) for path in paths])
+def first_block(part):
+    """The preferred key block of a document; ``part`` maps a path to a column."""
+    return first_usable([part(path) for path in KEY_BLOCKS])
+
+
+def _nested():
+    """Schema of the read parts of a document as nested dictionaries with type names as leaves."""
+    types = dict(FLAT_COLUMNS)
+    leaves = {path: types[name] if types[name].startswith("array") else "string"
+              for name, path in DOCUMENT_PATHS.items()}
+    leaves[TAGS_PATH] = "variant"
+    for block in KEY_BLOCKS:
+        leaves.update({f"{block}.{part}": "string" for part in ("key", "scale", "strength")})
+    tree = {}
+    for path, kind in leaves.items():
+        *parents, last = path.split(".")
+        node = tree
+        for parent in parents:
+            node = node.setdefault(parent, {})
+        node[last] = kind
+    return tree
+
+
+def document_type():
+    """Struct type of a parsed document.
+
+    Only parts that are used are named, so the parser skips the rest of a document
+    without building it.  Plain values are read as text, whatever their JSON type, and
+    tags stay VARIANT because each may be a string or a list.
+    """
+    def ddl(node):
+        if isinstance(node, str):
+            return node
+        return "struct<" + ",".join(f"{name}:{ddl(child)}" for name, child in node.items()) + ">"
+
+    return ddl(_nested())
+
+
+def parse_documents(df, text="value", doc="doc"):
+    """Add the document of a JSON text column as a struct; NULL for text that is no JSON.
+
+    A part of an unexpected JSON type reads as NULL.  The parser reports such documents
+    like broken ones, so only those are parsed a second time to tell them apart.
+    """
+    mark = "_unread"
+    kind = document_type()[:-1] + f",{mark}:string>"
+    parsed = F.from_json(F.col(text), kind, {"columnNameOfCorruptRecord": mark})
+    unread = F.col(f"{doc}.{mark}")
+    broken = F.when(unread.isNotNull(), F.try_parse_json(unread).isNull()).otherwise(F.lit(False))
+    return df.withColumn(doc, parsed).withColumn(doc, F.when(~broken, F.col(doc).dropFields(mark)))

@@ -30,6 +30,11 @@ def cast_whole(value, data_type, kind="bigint"):
     return number.try_cast(kind)
 
 
+def json_double(text):
+    """Double from the text of a JSON value; a type suffix, which Java accepts, is no number."""
+    return F.when(~F.right(text, F.lit(1)).isin("d", "D", "f", "F"), text.try_cast("double"))
+
+
 def cast_double(value, data_type):
     return to_double(value) if data_type == "string" else value.try_cast("double")
 

@@ -5,39 +5,39 @@ from pyspark.sql import functions as F
 
 from vectormart import fixed_values as V
 from vectormart.functions import documents as D
-from vectormart.functions.numbers import cast_double, cast_whole, lenient_int
+from vectormart.functions.numbers import cast_double, cast_whole, json_double, lenient_int
 
 
 def flatten_features(docs, doc="doc", path="json_path", extracted_at="extracted_at"):
-    """One flat row of 58 columns per feature document.
+    """One flat row of 58 columns per parsed feature document.
 
-    ``docs`` holds the document as VARIANT, its path and its time of extraction.
-    A single projection: no shuffle, no Python.
+    ``docs`` holds the document, its path and its time of extraction.  A single
+    projection: no shuffle, no Python.
     """
-    v = F.col(doc)
-    block = D.first_block(v)
-    tag = "metadata.tags."
+    def part(where):
+        return F.col(f"{doc}.{where}")
+
+    tags = part(V.TAGS_PATH)
     made = {
-        "genre_csv": D.list_to_csv(v, tag + "genre"),
+        "genre_csv": D.list_to_csv(tags, "genre"),
         "key_key": F.col("_key.key"),
         "key_scale": F.col("_key.scale"),
-        "key_strength": F.col("_key.strength"),
+        "key_strength": json_double(F.col("_key.strength")),
         "features_version": F.lit(V.FEATURES_VERSION),
         "json_path": F.col(path),
         "extracted_at": F.col(extracted_at),
     }
     for name in V.STRING_TAGS:
-        made[name] = D.first_string(v, tag + name)
+        made[name] = D.first_string(tags, name)
     for name in V.NUMBER_TAGS:
-        made[name] = lenient_int(D.json_path(v, tag + name))
+        made[name] = lenient_int(D.json_path(tags, name))
     types = dict(V.FLAT_COLUMNS)
     for name, where in V.DOCUMENT_PATHS.items():
-        made[name] = D.json_path(v, where, types[name])
+        made[name] = json_double(part(where)) if types[name] == "double" else part(where)
     row = [
-        made[name].cast(kind).alias(name) if name in made else F.lit(None).cast(kind).alias(name)
-        for name, kind in V.FLAT_COLUMNS
+        (made[name] if name in made else F.lit(None)).try_cast(kind).alias(name) for name, kind in V.FLAT_COLUMNS
     ]
-    return docs.withColumn("_key", block).select(*row)
+    return docs.withColumn("_key", D.first_block(part)).select(*row)
 
 
 def staging_cast(flat):

@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from vectormart.fixed_values import FLAT_COLUMNS
+from vectormart.functions.documents import parse_documents
 from vectormart.functions.text import relative_path, top_dir
 from vectormart.operators.worklist import audio_files
 
@@ -25,11 +26,6 @@ def file_provenance(df):
     )
 
 
-def parse_documents(texts, text="value"):
-    """Add ``doc``, the parsed VARIANT; text that is no JSON object or value gives NULL."""
-    return texts.withColumn("doc", F.try_parse_json(text))
-
-
 def scan_feature_json(spark, folder, limit=None):
     """One document per ``*.json`` file: (json_path, extracted_at, value, doc).
 

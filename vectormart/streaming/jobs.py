@@ -4,8 +4,9 @@ Both jobs take what is new and stop (``availableNow``).  Their checkpoint rememb
 what was done, so a second run adds nothing and a failed run resumes.
 """
 
+from vectormart.functions.documents import parse_documents
 from vectormart.operators.staging import flatten_features
-from vectormart.sources.readers import accepted, file_provenance, parse_documents
+from vectormart.sources.readers import accepted, file_provenance
 
 
 def _finish(query):
