@@ -10,7 +10,9 @@ from vectormart.functions import vectors as X
 from vectormart.functions.labels import track_document
 from vectormart.operators import knn as K
 from vectormart.operators import retrieval as R
+from vectormart.operators.catalog import point_lookups
 from vectormart.plans import jobs
+from vectormart.session import measured
 
 
 @query("knn_filtered", f"""with {E.SCORED}, f as (select *, cast(row_number() over (partition by query_id
@@ -91,7 +93,7 @@ def eval_neighbors(t):
 @query("eval_join", E.EVAL_SQL.replace("rank <= 5", "rank <= 7"))
 def eval_join(t):
     corpus, wanted = E.eval_tables(t)
-    queries = corpus.join(wanted, "file_hash", "left_semi").select(F.col("file_hash").alias("query_id"), "vector")
+    queries = point_lookups(corpus, "file_hash", wanted).select(F.col("file_hash").alias("query_id"), "vector")
     hits = K.exact_knn(corpus, queries, 7, E.DIM, id_col="file_hash")
     return R.eval_join(hits, corpus, wanted)
 
@@ -216,7 +218,7 @@ select query_id, md5(concat('You know music well. Someone explores tracks that r
   'or tempo, name at least two matches by artist and title, and invent none.')) as prompt_md5 from ctx""")
 def similarity_prompt(t):
     corpus, wanted = E.eval_tables(t)
-    seeds = corpus.join(wanted, "file_hash", "left_semi")
+    seeds = measured(point_lookups(corpus, "file_hash", wanted))
     queries = seeds.select(F.col("file_hash").alias("query_id"), "vector")
     hits = K.with_payload(K.exact_knn(corpus, queries, 5, E.DIM, id_col="file_hash"), corpus.drop("vector"),
                           "file_hash")
@@ -252,7 +254,7 @@ def answer_cards(t):
     from vectormart.functions.text import cache_key
 
     corpus, wanted = E.eval_tables(t)
-    queries = corpus.join(wanted, "file_hash", "left_semi").select(F.col("file_hash").alias("query_id"), "vector")
+    queries = point_lookups(corpus, "file_hash", wanted).select(F.col("file_hash").alias("query_id"), "vector")
     hits = K.with_payload(K.exact_knn(corpus, queries, 10, E.DIM, id_col="file_hash"), corpus.drop("vector"),
                           "file_hash")
     pairs = corpus.select("artist", "album").distinct()

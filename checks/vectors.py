@@ -11,6 +11,7 @@ from vectormart.functions import vectors as X
 from vectormart.operators import approximate as A
 from vectormart.operators import knn as K
 from vectormart.operators import quality
+from vectormart.operators.catalog import point_lookups
 from vectormart.session import work_folder
 
 DIM = 64
@@ -28,7 +29,7 @@ ranked as (select *, cast(row_number() over (partition by query_id order by roun
 def seeds(t):
     """Id, vector and label of each label's first embedding."""
     first = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
-    return t.embeddings.join(first, "vec_id", "left_semi")
+    return point_lookups(t.embeddings, "vec_id", first)
 
 
 def queries(t):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vectormart import fixed_values as V
 from vectormart.functions.labels import or_default
 from vectormart.functions.text import blank_to_null, strip, year_of
+from vectormart.session import measured
 
 LIST_COLUMNS = ("file_hash", "artist", "album", "title", "date", "genre", "key_key", "key_scale", "bpm",
                 "danceability", "loudness_integrated")
@@ -23,8 +24,8 @@ def point_lookup(df, key, value):
 
 
 def point_lookups(df, key, wanted):
-    """Rows of many keys at once, given as a one-column table."""
-    return df.join(wanted.select(key), key, "left_semi")
+    """Rows of many keys at once, given as a table with the key column."""
+    return df.join(measured(wanted.select(key).distinct()), key, "left_semi")
 
 
 def payload_filter(df, **equals):

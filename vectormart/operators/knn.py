@@ -16,10 +16,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectormart.session import measured
+
 RANK_DECIMALS = 9
 MAX_QUERY_BYTES = 64 << 20
 CELL_BYTES = 64 << 20
-MAX_HIT_ROWS = 1_000_000
 
 
 def _block_search(k, dim, metric, out_names, decimals=RANK_DECIMALS):
@@ -212,15 +213,14 @@ def _search_cells(corpus, queries, k, dim, metric, exclude_self, hit_type, most)
     return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(run, hit_type)
 
 
-def with_payload(hits, corpus, id_col="id", n_queries=None, k=None, prefix=""):
+def with_payload(hits, corpus, id_col="id", prefix=""):
     """Put corpus columns beside each hit.
 
-    The hit list is broadcast only when ``n_queries * k`` proves it small, so that the
-    corpus is scanned in place; otherwise Spark chooses the join from measured sizes.
+    The hits, at most k per query, are written first: the search runs once, and the size
+    of the hit list decides whether the corpus is scanned in place or joined by id.
     """
     payload = corpus.select(
         F.col(id_col).alias("id"),
         *[F.col(c).alias(prefix + c) for c in corpus.columns if c != id_col],
     )
-    small = n_queries is not None and k is not None and n_queries * k <= MAX_HIT_ROWS
-    return (F.broadcast(hits) if small else hits).join(payload, "id")
+    return measured(hits).join(payload, "id")

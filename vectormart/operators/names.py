@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vectormart.functions.text import blank_to_null, name_key, strip
+from vectormart.session import measured
 
 
 def artist_keys(artist_map, lenient=False):
@@ -69,7 +70,7 @@ def match_report(dirs, targets, manifest, lenient=False, prefix=None):
 
 def select_files(manifest, matched):
     """Distinct files below the matched folders, sorted by path."""
-    dirs = matched.select(F.col("path").alias("dir_path"))
+    dirs = measured(matched.select(F.col("path").alias("dir_path")))
     return manifest.join(dirs, "dir_path", "left_semi").select("path").distinct().orderBy("path")
 
 

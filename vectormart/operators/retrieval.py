@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from vectormart import fixed_values as V
 from vectormart.functions.labels import or_default
 from vectormart.functions.text import blank_to_null, key_label
-from vectormart.operators.catalog import track_card
+from vectormart.operators.catalog import point_lookups, track_card
 from vectormart.operators.knn import exact_knn, rank_hits, with_payload
 from vectormart.operators.lookup import attach_artwork
+from vectormart.session import measured
 
 
 def exclude_self_album(hits, seed="query_id", hit="id", seed_album="seed_album", album="album"):
@@ -30,7 +31,7 @@ def overfetch_filter(hits, k, **columns):
 
 
 def similar_tracks(corpus, seeds, k, dim, *, id_col="id", vector_col="vector", group="album", mode="overfetch",
-                   metric="cosine", n_seeds=None):
+                   metric="cosine"):
     """Tracks like each seed, without the seed and its album.
 
     ``overfetch`` reads 3k + 1 hits and drops afterwards, so it may return fewer than
@@ -42,8 +43,8 @@ def similar_tracks(corpus, seeds, k, dim, *, id_col="id", vector_col="vector", g
         return exact_knn(corpus, queries, k, dim, exclude_self=True, exclude_group=group, **args)
     fetched = exact_knn(corpus, queries, V.FETCH_FACTOR_AUDIO * k + 1, dim, **args)
     albums = corpus.select(id_col, F.col(group).alias("album"))
-    placed = with_payload(fetched, albums, id_col, n_seeds, V.FETCH_FACTOR_AUDIO * k + 1)
-    placed = placed.join(queries.select("query_id", F.col(group).alias("seed_album")), "query_id")
+    placed = with_payload(fetched, albums, id_col)
+    placed = placed.join(measured(queries.select("query_id", F.col(group).alias("seed_album"))), "query_id")
     return overfetch_filter(placed, k).select("query_id", "id", "score", "rank")
 
 
@@ -262,10 +263,10 @@ def eval_join(hits, corpus, seeds):
         return [F.coalesce(c, F.lit("")).alias(prefix + c) for c in names] + [
             key_label(F.col("key_key"), F.col("key_scale")).alias(prefix + "key")]
 
-    seed = corpus.join(seeds, "file_hash").select(
+    seed = corpus.join(measured(seeds), "file_hash").select(
         F.col("file_hash").alias("query_id"), F.col("label").alias("seed_label"), *meta("seed_"))
-    near = corpus.select(F.col("file_hash").alias("id"), *meta("neighbor_"))
-    return hits.join(near, "id").join(seed, "query_id").select(
+    near = corpus.select("file_hash", *meta("neighbor_"))
+    return with_payload(hits, near, "file_hash").join(measured(seed), "query_id").select(
         "seed_label", F.col("query_id").alias("seed_file_hash"), "seed_artist", "seed_title", "seed_album",
         "seed_genre", "seed_key", "rank", F.round("score", 6).alias("score"),
         F.col("id").alias("neighbor_file_hash"), "neighbor_artist", "neighbor_title", "neighbor_album",
@@ -275,7 +276,7 @@ def eval_join(hits, corpus, seeds):
 
 def eval_neighbors(corpus, seeds, k, dim, vector_col="vector_z", metric="cosine"):
     """Review table of many seeds (file_hash, label); a seed without a vector is skipped."""
-    queries = corpus.join(seeds.select("file_hash"), "file_hash", "left_semi").select(
+    queries = point_lookups(corpus, "file_hash", seeds).select(
         F.col("file_hash").alias("query_id"), F.col(vector_col).alias("vector"))
     hits = exact_knn(corpus, queries, k, dim, id_col="file_hash", vector_col=vector_col, metric=metric)
     return eval_join(hits, corpus, seeds)

@@ -6,6 +6,7 @@ from vectormart import fixed_values as V
 from vectormart.functions.labels import track_document
 from vectormart.operators import lookup as L
 from vectormart.operators import retrieval as R
+from vectormart.operators.catalog import point_lookups
 from vectormart.operators.collection import Collection, audio_points
 from vectormart.operators.mart import audio_mart, feature_stats
 from vectormart.operators.staging import dedup_latest, exclude_genres, flatten_features, staging_cast
@@ -84,6 +85,6 @@ def most_alike(tracks, k, seeds):
     columns instead of computing the mart again.
     """
     vectors = written(audio_mart(tracks).select("file_hash", "vector_z"), "vectors")
-    queries = vectors.join(seeds, "file_hash", "left_semi").select(
+    queries = point_lookups(vectors, "file_hash", seeds).select(
         F.col("file_hash").alias("query_id"), F.col("vector_z").alias("vector"))
     return R.exact_knn(vectors, queries, k, V.VECTOR_DIM, id_col="file_hash", vector_col="vector_z")

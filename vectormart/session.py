@@ -48,6 +48,15 @@ def work_folder(spark: SparkSession, label="work") -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def measured(df):
+    """Write a derived table that is thought to be small, so its true size decides the join.
+
+    Spark can only guess the size of derived rows, and a high guess would make it shuffle
+    the large side as well.  Read back from files, few rows are broadcast and many are not.
+    """
+    return written(df, "measured")
+
+
 def written(df, label="table"):
     """Write a table to the shared folder and read it back, which cuts its lineage.
 
