@@ -50,9 +50,9 @@ firsts as (select doc_id, w, min(i) as i from words where w <> '' group by doc_i
 select d.doc_id, md5(string_agg(w, ', ' order by i)) as words_md5, count(w) as words
 from documents d left join firsts f on f.doc_id = d.doc_id group by d.doc_id""")
 def list_to_csv(t):
-    joined = D.join_distinct(F.split("text", " "))
-    words = F.array_distinct(F.filter(F.transform(F.split("text", " "), D.strip), lambda x: x != ""))
-    return t.documents.select("doc_id", F.md5(joined).alias("words_md5"), F.size(words).cast("bigint").alias("words"))
+    joined = t.documents.select("doc_id", D.join_distinct(F.split("text", " ")).alias("csv"))
+    words = F.coalesce(F.size(F.split("csv", ", ")), F.lit(0)).cast("bigint")
+    return joined.select("doc_id", F.md5("csv").alias("words_md5"), words.alias("words"))
 
 
 @query("lenient_int", """

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vectormart.fixed_values import DOCUMENT_PATHS, FLAT_COLUMNS, KEY_BLOCKS, TAGS_PATH
-from vectormart.functions.text import blank_to_null, strip
+from vectormart.functions.text import blank_to_null, strip, strip_item
 
 
 def json_path(doc, path, data_type="string"):
@@ -39,16 +39,10 @@ def first_string(doc, path):
 
 def join_distinct(texts):
     """Distinct stripped non-blank strings in first-seen order, joined by ", "."""
-    kept = F.filter(F.transform(texts, strip), lambda x: x.isNotNull() & (x != ""))
+    kept = F.filter(F.transform(texts, strip_item), lambda x: x.isNotNull() & (x != ""))
     return blank_to_null(F.array_join(F.array_distinct(kept), ", "))
 
 
-def first_of(texts):
-    """First non-blank string of an array column, stripped."""
-    kept = F.filter(F.transform(texts, strip), lambda x: x.isNotNull() & (x != ""))
-    return F.try_element_at(kept, F.lit(1))
-
-
 def list_to_csv(doc, path):
     """Distinct strings of a list value joined by ", "; a scalar passes through."""
     return F.when(_is_list(doc, path), join_distinct(strings_of(doc, path))).otherwise(first_string(doc, path))

@@ -14,6 +14,15 @@ def strip(text) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 
 
+def strip_item(item) -> Column:
+    """``strip`` for a lambda variable: most words show no white space at either end."""
+    def is_space(edge):
+        return F.contains(F.lit(WHITESPACE), edge)
+
+    one = F.lit(1)
+    return F.when(is_space(F.left(item, one)) | is_space(F.right(item, one)), strip(item)).otherwise(item)
+
+
 def blank_to_null(text) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -39,15 +48,16 @@ def ascii_fold(text) -> Column:
 
     @F.pandas_udf("string")
     def drop_accents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import sys
         import unicodedata
 
-        accents = {c: None for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
-
         def fold(value):
             if value is None or value.isascii():
                 return value
-            return unicodedata.normalize("NFKD", value).translate(accents)
+            letters = unicodedata.normalize("NFKD", value)
+            # A text holds few different accents, so each is removed in one fast pass.
+            for accent in filter(unicodedata.combining, set(letters)):
+                letters = letters.replace(accent, "")
+            return letters
 
         for batch in batches:
             yield batch.map(fold, na_action="ignore")

@@ -84,17 +84,10 @@ def frozen_zscore(df, frozen, features=V.FEATURES):
 
     A feature missing from the table counts as mean 0 and std 0, which divides by one.
     """
-    pairs = frozen.filter(F.col("feature").isin(*features)).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("m")
-    )
     zero = F.lit(0.0)
-
-    def scored(f):
-        stat = F.col("_frozen")[f]
-        return frozen_z(F.col(f), F.coalesce(stat["mean"], zero), F.coalesce(stat["std"], zero))
-
-    return (
-        df.withColumn("_frozen", pairs.scalar())
-        .withColumn("vector", F.array(*[scored(f) for f in features]))
-        .drop("_frozen")
-    )
+    row = frozen.agg(*[
+        F.coalesce(F.max(F.when(F.col("feature") == f, F.col(stat))), zero).alias(f"{f}_{stat}")
+        for f in features for stat in ("mean", "std")
+    ])
+    vector = F.array(*[frozen_z(F.col(f), F.col(f + "_mean"), F.col(f + "_std")) for f in features])
+    return with_stats(df, row, features).select(*df.columns, vector.alias("vector"))
