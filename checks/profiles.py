@@ -15,10 +15,10 @@ from vectormart.operators import worklist as W
 
 
 @query("feature_stats", tracks_sql("select " + ", ".join(
-    f"{sql6(f'avg({f})')} as {f}_mean, {sql6(f'stddev_samp({f})')} as {f}_std" for f in FEATURES) + " from tracks"))
+    f"{sql6(f'avg({f})', 9)} as {f}_mean, {sql6(f'stddev_samp({f})', 9)} as {f}_std" for f in FEATURES) + " from tracks"))
 def feature_stats(t):
     stats = M.feature_stats(t.tracks)
-    return stats.select(*[r6(F.col(c)).alias(c) for c in stats.columns])
+    return stats.select(*[r6(F.col(c), 9).alias(c) for c in stats.columns])
 
 
 @query("distinct_pairs", tracks_sql("select distinct artist, album from tracks"))

@@ -163,11 +163,12 @@ def exploded(names, digits=6):
         for i, n in enumerate(names))
 
 
-@query("vector_raw", tracks_sql(exploded(FEATURES), CTE_MART))
+@query("vector_raw", tracks_sql(" union all ".join(
+    f"select file_hash, cast({i} as int) as position, {f} as value from tracks" for i, f in enumerate(FEATURES))))
 def vector_raw(t):
     from vectormart.functions.vectors import vector_raw as raw
 
-    return long_vector(t.tracks, raw())
+    return t.tracks.select("file_hash", F.posexplode(raw()).alias("position", "value"))
 
 
 @query("vector_z", tracks_sql(exploded([f + "_z" for f in FEATURES]), CTE_MART))
@@ -201,11 +202,11 @@ def audio_mart(t):
 
 
 @query("stats_cross_join", tracks_sql(
-    "select file_hash, " + ", ".join(f"{sql6(f + s)} as {f}{s}" for f in FEATURES for s in ("_mean", "_std"))
+    "select file_hash, " + ", ".join(f"{sql6(f + s, 9)} as {f}{s}" for f in FEATURES for s in ("_mean", "_std"))
     + " from mart2", CTE_MART + ", mart2 as (select t.file_hash, s.* from tracks t cross join stats s)"))
 def stats_cross_join(t):
     joined = M.with_stats(t.tracks, M.feature_stats(t.tracks))
-    return joined.select("file_hash", *[r6(F.col(f + s)).alias(f + s) for f in FEATURES for s in ("_mean", "_std")])
+    return joined.select("file_hash", *[r6(F.col(f + s), 9).alias(f + s) for f in FEATURES for s in ("_mean", "_std")])
 
 
 @query("frozen_zscore", tracks_sql(exploded([

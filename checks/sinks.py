@@ -98,7 +98,7 @@ def write_stats(t):
     writers.write_stats(stats_table(feature_stats(t.tracks)), folder)
     stored = F.from_json("value", "map<string,struct<mean:double,std:double>>")
     return t.spark.read.text(folder).select(F.explode(stored).alias("feature", "s")).select(
-        "feature", r6(F.col("s.mean")).alias("mean"), r6(F.col("s.std")).alias("std"))
+        "feature", r6(F.col("s.mean"), 9).alias("mean"), r6(F.col("s.std"), 9).alias("std"))
 
 
 @query("write_cache", tracks_sql(

@@ -98,7 +98,7 @@ def scan_lookup_cache(t):
 
 
 STATS = tracks_sql(" union all ".join(
-    f"select '{f}' as feature, {sql6(f'avg({f})')} as mean, {sql6(f'stddev_samp({f})')} as std from tracks"
+    f"select '{f}' as feature, {sql6(f'avg({f})', 9)} as mean, {sql6(f'stddev_samp({f})', 9)} as std from tracks"
     for f in FEATURES))
 
 
@@ -106,5 +106,5 @@ STATS = tracks_sql(" union all ".join(
 def scan_frozen_stats(t):
     folder = work_folder(t.spark, "stats")
     writers.write_stats(stats_table(feature_stats(t.tracks)), folder)
-    return readers.scan_frozen_stats(t.spark, folder).select("feature", r6(F.col("mean")).alias("mean"),
-                                                             r6(F.col("std")).alias("std"))
+    return readers.scan_frozen_stats(t.spark, folder).select("feature", r6(F.col("mean"), 9).alias("mean"),
+                                                             r6(F.col("std"), 9).alias("std"))
