@@ -18,11 +18,10 @@ from vectormart.session import make_session  # noqa: E402
 
 HEADLINE = (
     "most_alike", "audio_mart", "feature_stats", "dedup_copies", "dedup_latest", "vector_z", "frozen_zscore",
-    "flatten_features", "staging_cast", "scan_feature_lines", "track_document", "coverage_profile", "null_profile",
-    "feature_quantiles", "price_quantiles", "lenient_key", "list_to_csv", "match_report", "select_files",
-    "resume_pending", "lookup_pending", "attach_artwork", "cache_stats", "knn_by_id", "knn_cross", "similar_tracks",
-    "similar_tracks_exact", "eval_neighbors", "approx_knn", "diversified_retrieve", "rag_context", "answer_cards",
-    "embed_documents", "hashed_text_vectors", "collection_upsert", "slice_rest", "row_index", "write_parts",
+    "flatten_features", "staging_cast", "track_document", "coverage_profile", "null_profile", "feature_quantiles",
+    "lenient_key", "list_to_csv", "match_report", "select_files", "resume_pending", "lookup_pending",
+    "attach_artwork", "cache_stats", "knn_one", "knn_by_id", "similar_tracks", "eval_neighbors",
+    "diversified_retrieve", "rag_context", "answer_cards", "collection_upsert", "slice_rest", "write_parts",
 )
 
 

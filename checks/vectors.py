@@ -112,6 +112,18 @@ def score_round(t):
     return paired(t).select("query_id", F.col("vec_id").alias("id"), r6(s, 4).alias("score4"), r6(s).alias("score6"))
 
 
+@query("knn_one", f"""with c as (select list(m order by i) as qv from (select i, avg(cast(x as double)) as m from (
+    select unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) u group by i) g),
+s as (select vec_id as id, list_cosine_similarity(qv, cast(embedding as double[])) as score from c cross join embeddings)
+select id, {sql6("score")} as score,
+  cast(row_number() over (order by round(score, 9) desc, id) as int) as rank from s qualify rank <= 10""")
+def knn_one(t):
+    """The rows nearest to the mean of all vectors."""
+    mean = t.embeddings.agg(*[F.avg(F.col("embedding")[i]) for i in range(DIM)]).first()
+    hits = K.knn_one(t.embeddings, list(mean), 10, id_col="vec_id", vector_col="embedding")
+    return hits.select("id", r6(F.col("score")).alias("score"), "rank")
+
+
 def injected(t):
     """Embeddings with faults by label: a missing, a NaN or an infinite element, a short or an absent vector."""
     v, label = F.col("embedding").cast("array<double>"), F.col("label")

@@ -57,6 +57,15 @@ def test_exact_search(spark, rows, metric, bound, k):
     assert found(hits) == brute(rows, queries, k, metric)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+@pytest.mark.parametrize("unrolled", [0, 64])
+def test_single_query(spark, rows, metric, unrolled, monkeypatch):
+    monkeypatch.setattr(knn, "UNROLLED_DIM", unrolled)
+    for q in (rows[1], rows[3], (900, [0.0] * DIM)):
+        hits = knn.knn_one(table(spark, rows), q[1], 7, metric=metric).withColumn("query_id", F.lit(q[0]))
+        assert found(hits) == brute(rows, [q], 7, metric)
+
+
 def test_text_ids_and_exclusions(spark):
     rows = [(f"k{i}", [float(i % 5), 1.0, 0.0, 0.0, 0.0, 0.0], "x" if i < 4 else None) for i in range(10)]
     corpus = table(spark, rows, "string", ", album string")

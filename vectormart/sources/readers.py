@@ -32,7 +32,8 @@ def scan_feature_json(spark, folder, limit=None):
     ``limit`` keeps the first files by path.  Bad files have a NULL ``doc``; see
     ``accepted`` and ``rejected``.
     """
-    files = spark.read.text(f"{folder.rstrip('/')}/*.json", wholetext=True)
+    # A name filter lists the folder once; a path pattern would become one path per file.
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     found = file_provenance(files)
     if limit is not None:
         found = found.orderBy("json_path").limit(limit)
