@@ -12,7 +12,7 @@ from vectormart.operators import knn as K
 from vectormart.operators import retrieval as R
 from vectormart.operators.catalog import point_lookups
 from vectormart.plans import jobs
-from vectormart.session import measured
+from vectormart.session import measured, work_folder
 
 
 @query("knn_filtered", f"""with {E.SCORED}, f as (select *, cast(row_number() over (partition by query_id
@@ -142,9 +142,9 @@ def diversified_retrieve(t):
                                           vector_col="embedding"))
 
 
-@query("embed_documents", """
-select doc_id, cast(length(text) as double) as total from documents where length(trim(text)) > 0""")
-def embed_documents(t):
+def letter_counter():
+    """A deterministic stand-in for an embedding model: 16 counts per text."""
+
     def embed(texts):
         vectors = []
         for text in texts:
@@ -154,7 +154,13 @@ def embed_documents(t):
             vectors.append(vector)
         return vectors
 
-    vectors = R.embed_documents(t.documents, embed, 16, key="doc_id", text="text")
+    return embed
+
+
+@query("embed_documents", """
+select doc_id, cast(length(text) as double) as total from documents where length(trim(text)) > 0""")
+def embed_documents(t):
+    vectors = R.embed_documents(t.documents, letter_counter(), 16, key="doc_id", text="text")
     return vectors.select("doc_id", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
@@ -279,3 +285,24 @@ def audio_points(t):
 
     made = points(t.mart).filter(X.valid_vector(F.col("vector"), V.VECTOR_DIM))
     return made.select(F.col("id").cast("string").alias("id"), "file_hash", "artist", "genre", "vector_profile")
+
+
+@query("text_collection", tracks_sql(f"""select cast(cast(concat('0x', substr(file_hash, 1, 16)) as ubigint) as varchar)
+  as id, file_hash, title, coalesce(date, '') as date, md5({DOC}) as doc_md5, cast(length({DOC}) as double) as total
+from tracks"""))
+def text_collection(t):
+    """Every track described, embedded and stored under its point id."""
+    collection = jobs.load_text_collection(t.tracks, work_folder(t.spark, "collection"), letter_counter(), 16)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return collection.read().select(F.col("id").cast("string").alias("id"), "file_hash", "title", "date",
+                                    F.md5("doc").alias("doc_md5"), total.alias("total"))
+
+
+@query("audio_collection", tracks_sql(f"""select cast(cast(concat('0x', substr(file_hash, 1, 16)) as ubigint) as varchar)
+  as id, file_hash, genre, vector_profile, {sql6("sqrt(list_sum(list_transform(vector_z, lambda x: x * x)))")} as norm
+from (select *, 'audio_v1' as vector_profile from mart) m""", CTE_MART))
+def audio_collection(t):
+    """Every track of the mart stored with its standardised vector."""
+    collection = jobs.load_audio_collection(t.mart, work_folder(t.spark, "collection"))
+    return collection.read().select(F.col("id").cast("string").alias("id"), "file_hash", "genre", "vector_profile",
+                                    r6(F.col("norm")).alias("norm"))

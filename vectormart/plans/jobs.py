@@ -7,7 +7,7 @@ from vectormart.functions.labels import track_document
 from vectormart.operators import lookup as L
 from vectormart.operators import retrieval as R
 from vectormart.operators.catalog import point_lookups
-from vectormart.operators.collection import Collection, audio_points
+from vectormart.operators.collection import AUDIO_PAYLOAD, TEXT_PAYLOAD, Collection, audio_points, text_points
 from vectormart.operators.mart import audio_mart, feature_stats
 from vectormart.operators.staging import dedup_latest, exclude_genres, flatten_features, staging_cast
 from vectormart.session import written
@@ -40,15 +40,25 @@ def mart_job(flat, unique_folder, mart_folder, profile=V.VECTOR_PROFILE):
 
 def load_audio_collection(mart, path, metric="cosine", kind="z", frozen=None):
     """Create the collection if needed and upsert every track of the mart."""
-    payload = ", ".join(f"{c} string" for c in (
-        "file_hash", "artist", "album", "title", "date", "genre", "key_key", "key_scale", "features_version",
-        "vector_profile"))
     collection = Collection(mart.sparkSession, path)
-    collection.init(V.VECTOR_DIM, metric, payload)
+    collection.init(V.VECTOR_DIM, metric, ", ".join(f"{c} string" for c in AUDIO_PAYLOAD))
     collection.upsert(audio_points(mart, kind, frozen), key="file_hash")
     return collection
 
 
+def load_text_collection(mart, path, embed, dim=V.TEXT_DIM):
+    """Describe every track, embed the texts and upsert them; failed texts are skipped.
+
+    The vectors are written once, because embedding is the expensive step.
+    """
+    tracks = describe(mart)
+    vectors = written(R.embed_documents(tracks, embed, dim), "vectors")
+    collection = Collection(mart.sparkSession, path)
+    collection.init(dim, "cosine", ", ".join(f"{c} string" for c in TEXT_PAYLOAD))
+    collection.upsert(text_points(tracks, vectors), key="file_hash")
+    return collection
+
+
 def describe(mart):
     """Tracks with the sentence set that is embedded."""
     return mart.withColumn("doc", track_document())
@@ -67,7 +77,8 @@ def ask(corpus, questions, embed, generate, cache, k, dim, seed=0, diversified=T
         hits = R.exact_knn(corpus, vectors, k, dim)
     placed = R.with_payload(hits, corpus)
     contexts = R.rag_context(placed).join(questions, "query_id")
-    answers = R.batch_generate(R.rag_prompt(contexts), generate)
+    # Written, so that each prompt is answered once however the answers are used.
+    answers = written(R.batch_generate(R.rag_prompt(contexts), generate), "answers")
     return answers, R.answer_cards(placed, cache, answers)
 
 

@@ -79,9 +79,13 @@ def manifest_of(files, root):
     )
 
 
-def scan_artist_map(spark, path):
-    """Resolved artist names as text columns."""
-    return spark.read.csv(path, header=True, schema=ARTIST_MAP_SCHEMA, enforceSchema=False, multiLine=True, escape='"')
+def scan_artist_map(spark, path, line_breaks=False):
+    """Resolved artist names as text columns.
+
+    ``line_breaks`` allows them inside quoted names; such files cannot be split.
+    """
+    return spark.read.csv(path, header=True, schema=ARTIST_MAP_SCHEMA, enforceSchema=False, multiLine=line_breaks,
+                          escape='"')
 
 
 def scan_lookup_cache(spark, path, lines=False):

@@ -4,6 +4,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from vectormart.functions.text import relative_path
+from vectormart.operators.lookup import resolved_entries
 from vectormart.operators.paging import limit_rows
 
 SINGLE_FILE_ROWS = 1_000_000
@@ -67,5 +68,4 @@ def cache_json(cache, marker):
 
 def write_cache(cache, folder):
     """The flat cache table without entries to be tried again."""
-    cache.filter("status <> 'retry'").select("cache_key", "artist", "album", "artwork_url").write.mode(
-        "overwrite").parquet(folder)
+    resolved_entries(cache).write.mode("overwrite").parquet(folder)
