@@ -58,9 +58,7 @@ def test_exact_search(spark, rows, metric, bound, k):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot"])
-@pytest.mark.parametrize("unrolled", [0, 64])
-def test_single_query(spark, rows, metric, unrolled, monkeypatch):
-    monkeypatch.setattr(knn, "UNROLLED_DIM", unrolled)
+def test_single_query(spark, rows, metric):
     for q in (rows[1], rows[3], (900, [0.0] * DIM)):
         hits = knn.knn_one(table(spark, rows), q[1], 7, metric=metric).withColumn("query_id", F.lit(q[0]))
         assert found(hits) == brute(rows, [q], 7, metric)

@@ -10,22 +10,17 @@ driver memory.
 Scores that agree to nine decimals count as equal and are ordered by id.
 """
 
-import math
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectormart.functions.vectors import dot, norm
 from vectormart.session import measured
 
 RANK_DECIMALS = 9
 MAX_QUERY_BYTES = 64 << 20
 CELL_BYTES = 64 << 20
-UNROLLED_DIM = 64
 
 
 def _block_search(k, dim, metric, out_names, decimals=RANK_DECIMALS):
@@ -146,31 +141,15 @@ def exact_knn(corpus, queries, k, dim, *, id_col="id", vector_col="vector", quer
     return rank_hits(hits, k, [F.col("place").desc(), F.col("id").asc()]).drop("place")
 
 
-def knn_one(corpus, vector, k, *, id_col="id", vector_col="vector", metric="cosine", norm_col=None):
-    """The k best rows for a single query vector: (id, score, rank).
+def knn_one(corpus, vector, k, **columns):
+    """The k best rows for one query vector given as numbers: (id, score, rank).
 
-    One query needs no Python: a short product is unrolled into the generated code of
-    the scan, and a top-k per task is all that is shuffled.  ``norm_col`` names stored
-    lengths, as collections keep them.
+    Measured against expressions over the array elements, the block search is the faster
+    plan for a single query too.
     """
-    dim, v, query = len(vector), F.col(vector_col), [float(q) for q in vector]
-    if dim <= UNROLLED_DIM:
-        elements = [F.get(v, F.lit(i)).cast("double") for i in range(dim)]
-        product = reduce(lambda a, b: a + b, [x * F.lit(q) for x, q in zip(elements, query)])
-        length = F.sqrt(reduce(lambda a, b: a + b, [x * x for x in elements]))
-    else:
-        product, length = dot(v, F.lit(query)), norm(v)
-    if metric == "cosine":
-        own = math.sqrt(sum(q * q for q in query)) or 1.0
-        length = F.col(norm_col) if norm_col else length
-        product = F.coalesce(product / (F.nullif(length, F.lit(0.0)) * F.lit(own)), product)
-    whole = (F.size(v) == dim) & (F.abs(F.col("score")) < F.lit(float("inf")))
-    scored = corpus.withColumn("score", product).filter(whole)
-    best = (
-        scored.select(F.col(id_col).alias("id"), "score")
-        .orderBy(F.round("score", RANK_DECIMALS).desc(), F.col("id").asc()).limit(k)
-    )
-    return best.withColumn("query_id", F.lit(0)).transform(lambda hits: rank_hits(hits, k)).drop("query_id")
+    query = [float(x) for x in vector]
+    asked = corpus.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("vector"))
+    return exact_knn(corpus, asked, k, len(query), **columns).drop("query_id")
 
 
 def rank_hits(hits, k, order=None):
