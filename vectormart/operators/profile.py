@@ -6,6 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vectormart.fixed_values import FEATURES
+from vectormart.session import measured
+
+BRACKET_SLICES = 1000
 
 
 def row_count(df):
@@ -75,7 +78,8 @@ def feature_quantiles(df, probabilities=(0.1, 0.5, 0.9), features=FEATURES, accu
     2. One pass counts the rows below each bracket and keeps the nearest value on
        either side of it.
     3. Only rows inside a bracket, about 4 in ``accuracy``, are counted per distinct
-       value and walked in order to the wanted ranks.
+       value and per slice of the bracket; the slices that hold the wanted ranks are
+       walked in order.
     """
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]))
@@ -90,7 +94,8 @@ def feature_quantiles(df, probabilities=(0.1, 0.5, 0.9), features=FEATURES, accu
         )
         for i, p in enumerate(probabilities)
     ])
-    brackets = (
+    # Brackets, targets and the rows inside are few and written, so each pass runs once.
+    brackets = measured(
         long.groupBy("feature")
         .agg(F.percentile_approx("value", edges, accuracy).alias("edges"))
         .select("feature", F.inline(wanted))
@@ -104,35 +109,56 @@ def feature_quantiles(df, probabilities=(0.1, 0.5, 0.9), features=FEATURES, accu
         F.min(F.when(value > high, value)).alias("value_after"),
     )
     position = F.col("p") * (F.col("n") - 1)
-    targets = counts.select(
+    targets = measured(counts.select(
         "*", F.floor(position).alias("rank_low"), F.ceil(position).alias("rank_high"),
         (position - F.floor(position)).alias("fraction"),
+    ))
+    inside = measured(
+        placed.filter((value >= low) & (value <= high))
+        .groupBy("feature", "p", "value", _slice(value, low, high).alias("slice")).agg(F.count("*").alias("copies"))
     )
-    inside = placed.filter((value >= low) & (value <= high)).groupBy("feature", "p", "value").agg(
-        F.count("*").alias("copies")
-    )
-    in_order = Window.partitionBy("feature", "p").orderBy("value")
-    walked = (
-        inside.withColumn("upto", F.sum("copies").over(in_order))
-        .join(F.broadcast(targets), ["feature", "p"])
-        .withColumn("last", F.col("below") + F.col("upto") - 1)
-        .withColumn("first", F.col("last") - F.col("copies") + 1)
-    )
-
-    def value_at(rank):
-        hit = (F.col("first") <= F.col(rank)) & (F.col(rank) <= F.col("last"))
-        return F.max(F.when(hit, value))
-
-    found = walked.groupBy("feature", "p").agg(
-        value_at("rank_low").alias("at_low"), value_at("rank_high").alias("at_high"),
-        F.first("fraction").alias("fraction"), F.first("rank_low").alias("rank_low"),
-        F.first("rank_high").alias("rank_high"), F.first("below").alias("below"),
-        F.first("value_before").alias("value_before"), F.first("value_after").alias("value_after"),
-    )
+    found = _walk(inside, targets)
+    rejoined = targets.join(F.broadcast(found), ["feature", "p"], "left")
 
     def settled(at, rank):
         outside = F.when(F.col(rank) < F.col("below"), F.col("value_before")).otherwise(F.col("value_after"))
         return F.coalesce(F.col(at), outside)
 
     a, b = settled("at_low", "rank_low"), settled("at_high", "rank_high")
-    return found.select("feature", "p", (a + (b - a) * F.col("fraction")).alias("quantile"))
+    return rejoined.select("feature", "p", (a + (b - a) * F.col("fraction")).alias("quantile"))
+
+
+def _slice(value, low, high):
+    """Number of the equal slice of a bracket that holds a value; never falls as values grow."""
+    width = high - low
+    share = F.when((width > 0) & (width < float("inf")), (value - low) / width).otherwise(0.0)
+    return F.least(F.floor(share * BRACKET_SLICES), F.lit(BRACKET_SLICES - 1)).cast("int")
+
+
+def _walk(inside, targets):
+    """Values at the wanted ranks: first find the slices that hold them, then order only those."""
+    ranks = F.broadcast(targets.select("feature", "p", "below", "rank_low", "rank_high"))
+
+    def ends(copies, start, by):
+        """First and last rank of each row, counted from ``start`` in order."""
+        upto = F.sum(copies).over(by)
+        return (F.col(start) + upto - F.col(copies)).alias("first"), (F.col(start) + upto - 1).alias("last")
+
+    def holds(rank):
+        return (F.col("first") <= F.col(rank)) & (F.col(rank) <= F.col("last"))
+
+    slices = inside.groupBy("feature", "p", "slice").agg(F.sum("copies").alias("in_slice")).join(ranks, ["feature", "p"])
+    over_slices = Window.partitionBy("feature", "p").orderBy("slice")
+    kept = (
+        slices.select("feature", "p", "slice", "rank_low", "rank_high", *ends("in_slice", "below", over_slices))
+        .filter(holds("rank_low") | holds("rank_high"))
+        .withColumnRenamed("first", "slice_first").drop("last")
+    )
+    # At most two slices per feature and probability.
+    over_values = Window.partitionBy("feature", "p", "slice").orderBy("value")
+    walked = inside.join(F.broadcast(kept), ["feature", "p", "slice"]).select(
+        "feature", "p", "value", "rank_low", "rank_high", *ends("copies", "slice_first", over_values))
+    return walked.groupBy("feature", "p").agg(
+        F.max(F.when(holds("rank_low"), F.col("value"))).alias("at_low"),
+        F.max(F.when(holds("rank_high"), F.col("value"))).alias("at_high"),
+    )
