@@ -89,6 +89,41 @@ def buckets_of(vocabulary, buckets):
     return ((hashes ^ (hashes >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
 
 
+def by_bucket(vocabulary, buckets):
+    """(bucket, places of its words in the vocabulary)."""
+    if not len(vocabulary):
+        return []
+    bucket = buckets_of(vocabulary, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return [(int(bucket[g[0]]), g) for g in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)]
+
+
+def table_of(rows, schema):
+    return pa.table([pa.array([row[i] for row in rows], kind) for i, kind in enumerate(schema.types)], schema=schema)
+
+
+def zipped(raw):
+    return pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+
+
+def unzipped(value, raw):
+    return pa.decompress(value, raw, "zstd")
+
+
+def deflated(values):
+    """Packed integers, in as many bytes each as the largest needs, with the size before packing."""
+    top = int(values.max()) if len(values) else 0
+    raw = values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+    return zipped(raw), len(raw)
+
+
+def inflated(value, raw, count):
+    """The integers of ``deflated``; their number tells how many bytes each takes."""
+    if not count:
+        return np.zeros(0, np.int64)
+    return np.frombuffer(unzipped(value, raw), f"<u{raw // count}").astype(np.int64)
+
+
 def encode_by_distinct_words(docs, tokenizer, finish, schema, names):
     """Encode (doc_id, text) rows and give ids of each slice of documents to ``finish``.
 
@@ -99,44 +134,40 @@ def encode_by_distinct_words(docs, tokenizer, finish, schema, names):
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-    lists = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("sizes", pa.binary()), ("words", pa.binary()),
-                       ("raw_sizes", pa.int64()), ("raw_words", pa.int64())])
+    lists = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("sizes", pa.binary()),
+                       ("words", pa.binary()), ("raw_sizes", pa.int64()), ("raw_words", pa.int64())])
 
     def listed(key, table):
+        """The distinct words of one block, by bucket."""
         vocabulary, _ = split_words(table.column("text").combine_chunks())
-        rows = {name: [] for name in lists.names}
-        if len(vocabulary):
-            bucket = buckets_of(vocabulary, blocks)
-            order = np.argsort(bucket, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                data, offsets = flat_binary(vocabulary.take(pa.array(part)))
-                sizes = np.diff(offsets).astype(np.uint32).tobytes()
-                for name, value in zip(lists.names, (key[0].as_py(), int(bucket[part[0]]), pa.compress(sizes, "zstd", asbytes=True), pa.compress(data.tobytes(), "zstd", asbytes=True), len(sizes), len(data))):
-                    rows[name].append(value)
-        return pa.table(rows, schema=lists)
-
-    coded = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("lengths", pa.binary()), ("ids", pa.binary()),
-                       ("raw_lengths", pa.int64()), ("raw_ids", pa.int64())])
+        rows = []
+        for bucket, places in by_bucket(vocabulary, blocks):
+            data, offsets = flat_binary(vocabulary.take(pa.array(places)))
+            sizes, raw_sizes = deflated(np.diff(offsets))
+            rows.append((key[0].as_py(), bucket, len(places), sizes, zipped(data.tobytes()), raw_sizes, len(data)))
+        return table_of(rows, lists)
+
+    coded = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("lengths", pa.binary()),
+                       ("ids", pa.binary()), ("raw_lengths", pa.int64()), ("raw_ids", pa.int64()), ("n_ids", pa.int64())])
 
     def encoded(key, table):
         """All lists of one bucket of words: encode each distinct word once and answer every list."""
         asked = []
         for row in table.to_pylist():
-            sizes = np.frombuffer(pa.decompress(row["sizes"], row["raw_sizes"], "zstd"), np.uint32).astype(np.int64)
-            data = np.frombuffer(pa.decompress(row["words"], row["raw_words"], "zstd"), np.uint8)
+            sizes = inflated(row["sizes"], row["raw_sizes"], row["n"])
+            data = np.frombuffer(unzipped(row["words"], row["raw_words"]), np.uint8)
             asked.append((row["block"], binary_of(data, sizes)))
         every = pa.chunked_array([words for _, words in asked]).combine_chunks().dictionary_encode()
         codes = every.indices.to_numpy(zero_copy_only=False)
         lengths, ids = Encoder.of(tokenizer).encode(every.dictionary)
-        rows, at = {name: [] for name in coded.names}, 0
+        rows, at = [], 0
         for block, words in asked:
             own = codes[at:at + len(words)]
             at += len(words)
             taken, _ = gathered(own, lengths, ids)
-            counts, taken = lengths[own].astype(np.uint32).tobytes(), taken.tobytes()
-            for name, value in zip(coded.names, (block, key[0].as_py(), pa.compress(counts, "zstd", asbytes=True), pa.compress(taken, "zstd", asbytes=True), len(counts), len(taken))):
-                rows[name].append(value)
-        return pa.table(rows, schema=coded)
+            (counts, raw_counts), (packed, raw_ids) = deflated(lengths[own]), deflated(taken)
+            rows.append((block, key[0].as_py(), len(own), counts, packed, raw_counts, raw_ids, len(taken)))
+        return table_of(rows, coded)
 
     def placed(key, table, answers):
         """One block: the ids of its distinct words take the places of the words."""
@@ -144,17 +175,14 @@ def encode_by_distinct_words(docs, tokenizer, finish, schema, names):
         vocabulary, slices = split_words(texts)
         lengths, firsts = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
         values, at = [], 0
-        if len(vocabulary):
-            bucket = buckets_of(vocabulary, blocks)
-            order = np.argsort(bucket, kind="stable")
-            groups = {int(bucket[g[0]]): g for g in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)}
-            for row in answers.to_pylist():
-                own = groups[row["bucket"]]
-                counts = np.frombuffer(pa.decompress(row["lengths"], row["raw_lengths"], "zstd"), np.uint32).astype(np.int64)
-                lengths[own], firsts[own] = counts, at + np.cumsum(counts) - counts
-                values.append(np.frombuffer(pa.decompress(row["ids"], row["raw_ids"], "zstd"), np.uint32))
-                at += len(values[-1])
-        values = np.concatenate(values) if values else np.zeros(0, np.uint32)
+        groups = dict(by_bucket(vocabulary, blocks))
+        for row in answers.to_pylist():
+            own = groups[row["bucket"]]
+            counts = inflated(row["lengths"], row["raw_lengths"], row["n"])
+            lengths[own], firsts[own] = counts, at + np.cumsum(counts) - counts
+            values.append(inflated(row["ids"], row["raw_ids"], row["n_ids"]))
+            at += len(values[-1])
+        values = np.concatenate(values) if values else np.zeros(0, np.int64)
         out = []
         for first, last, codes, begins in slices:
             taken = lengths[codes]
@@ -164,9 +192,9 @@ def encode_by_distinct_words(docs, tokenizer, finish, schema, names):
         return pa.concat_tables(out)
 
     words = dealt.groupBy("block").applyInArrow(
-        listed, "block long, bucket long, sizes binary, words binary, raw_sizes long, raw_words long")
+        listed, "block long, bucket long, n long, sizes binary, words binary, raw_sizes long, raw_words long")
     answers = words.groupBy("bucket").applyInArrow(
-        encoded, "block long, bucket long, lengths binary, ids binary, raw_lengths long, raw_ids long")
+        encoded, "block long, bucket long, n long, lengths binary, ids binary, raw_lengths long, raw_ids long, n_ids long")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(placed, schema).select(*names)
 
 

@@ -4,7 +4,8 @@ Used inside Arrow functions.  A *word* is a run of white space with what follows
 next white space.  It begins where an ASCII white-space character follows a character that is
 surely none, and there every byte-level tokenizer of the usual pattern begins a new piece as
 well, so the ids of a text are the ids of its words one after another.  Where it is doubtful
-whether a character is white space nothing is cut: words get longer, ids stay right.
+whether a character is white space nothing is cut: words get longer, ids stay right.  Punctuation after a letter is a
+word of its own for the same reason (an apostrophe is not, as it may begin a contraction).
 """
 
 import os
@@ -18,6 +19,10 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 # Printable ASCII; letters of the Latin-1 block (lead byte C3) are added in ``cut``.
 SOLID = np.zeros(256, bool)
 SOLID[0x21:0x7F] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK = SOLID & ~LETTER
+MARK[[*range(0x30, 0x3A), 0x27]] = False
 STEP_BYTES = 8 << 20
 
 
@@ -44,9 +49,11 @@ def cut(data, offsets):
     """Words of all texts, and for each text the number of the first word (one more at the end)."""
     begins = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
-        solid = SOLID[data]
-        solid[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3)
-        begins[1:-1] = SPACE[data[1:]] & solid[:-1]
+        solid, letter = SOLID[data], LETTER[data]
+        latin = (data[1:] >= 0x80) & (data[:-1] == 0xC3)
+        solid[1:] |= latin
+        letter[1:] |= latin & (data[1:] != 0x97) & (data[1:] != 0xB7)  # the signs for times and divided by
+        begins[1:-1] = SPACE[data[1:]] & solid[:-1] | MARK[data[1:]] & letter[:-1]
     begins[offsets] = True
     starts = np.flatnonzero(begins[:-1])
     return binary(data, starts), np.searchsorted(starts, offsets)
