@@ -2,7 +2,7 @@
 
 from public_tokenizers import path as tokenizer_path
 
-from vectormart.llm import bpe, token_files
+from vectormart.llm import bpe, exact_dedup, fingerprints, mixing, sharding, token_files
 from vectormart.session import work_folder
 
 BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
@@ -13,15 +13,34 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op2_sharding(spark, sf_dir):
+    return sharding.placements(documents(spark, sf_dir))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints_beside_edits(documents(spark, sf_dir))
+
+
+def op6_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
 def op8_token_files(spark, sf_dir):
     path = work_folder(spark, "tokens")
     token_files.write_token_files(documents(spark, sf_dir), path, BYTE_BPE, END_ID)
     return token_files.token_file_digests(spark, path)
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op8_token_files": op8_token_files}
-SQL = {}
+def op9_mixing(spark, sf_dir):
+    return mixing.mixed(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op2_sharding": op2_sharding, "op4_bpe": op4_bpe, "op5_fingerprints": op5_fingerprints,
+    "op6_exact_dedup": op6_exact_dedup, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing,
+}
+SQL = {"op2_sharding": sharding.placement_sql(), "op6_exact_dedup": exact_dedup.GROUPS_SQL}
