@@ -10,6 +10,8 @@ runs, a few per range, are compared in full across ranges.
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vectormart.session import written
+
 START = 32
 
 
@@ -46,7 +48,8 @@ def exact_groups(docs, id="doc_id", text="text", carry=()):
         F.sha2("normal", 256).alias("sha"),
         F.when(F.col("first") & ((key == F.col("low")) | (key == F.col("high"))), F.col("normal")).alias("edge"))
     own = Window.partitionBy("range", "run")
-    sized = runs.withColumns({"least": F.min("id").over(own), "size": F.count("*").over(own)})
+    # Written once: what follows reads it twice and must see the same ranges.
+    sized = written(runs.withColumns({"least": F.min("id").over(own), "size": F.count("*").over(own)}), "runs")
     edges = sized.filter("edge is not null").select("range", "run", "edge", "least", "size")
     across = Window.partitionBy("edge")
     merged = edges.select(
