@@ -237,6 +237,21 @@ def digests(docs, tokenizer):
         ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def encoded_and_decoded(docs, tokenizer):
+    """(doc_id, n_tokens, ids, decoded_sha256): the ids of every text, and a digest of what they decode to."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+    def finish(doc_ids, ids, places):
+        pieces, stops = joined(Pieces.of(tokenizer).pieces, ids, places)
+        decoded = [hashlib.sha256(decoded_bytes(pieces[a:b])).hexdigest() for a, b in zip(stops[:-1], stops[1:])]
+        lists = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return pa.table([doc_ids, pa.array(np.diff(places)), lists, pa.array(decoded)], schema=out)
+
+    return encode_by_distinct_words(
+        docs, tokenizer, finish, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string",
+        ("doc_id", "n_tokens", "ids", "decoded_sha256"))
+
+
 def decoded_bytes(pieces):
     """UTF-8 of the decoded text: bytes that are no UTF-8 become replacement characters."""
     return str(pieces, "utf-8", "replace").encode("utf-8")

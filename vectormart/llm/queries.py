@@ -2,10 +2,12 @@
 
 from public_tokenizers import path as tokenizer_path
 
-from vectormart.llm import bpe, exact_dedup, fingerprints, mixing, sharding, token_files
+from vectormart.llm import (bpe, exact_dedup, fingerprints, language, mixing, near_dedup, pii, sharding, span_dedup,
+                            token_files)
 from vectormart.session import work_folder
 
 BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
+PIECES = tokenizer_path("piece_bpe_32k.model")
 END_ID = 2
 
 
@@ -13,10 +15,18 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op1_span_dedup(spark, sf_dir):
+    return span_dedup.repeats(documents(spark, sf_dir))
+
+
 def op2_sharding(spark, sf_dir):
     return sharding.placements(documents(spark, sf_dir))
 
 
+def op3_pii(spark, sf_dir):
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), BYTE_BPE)
 
@@ -29,6 +39,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_token_files(spark, sf_dir):
     path = work_folder(spark, "tokens")
     token_files.write_token_files(documents(spark, sf_dir), path, BYTE_BPE, END_ID)
@@ -39,8 +53,11 @@ def op9_mixing(spark, sf_dir):
     return mixing.mixed(documents(spark, sf_dir))
 
 
-QUERIES = {
-    "op2_sharding": op2_sharding, "op4_bpe": op4_bpe, "op5_fingerprints": op5_fingerprints,
-    "op6_exact_dedup": op6_exact_dedup, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing,
-}
+def op10_language(spark, sf_dir):
+    return language.predictions(documents(spark, sf_dir), PIECES)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_span_dedup, op2_sharding, op3_pii, op4_bpe, op5_fingerprints, op6_exact_dedup, op7_near_dedup, op8_token_files,
+    op9_mixing, op10_language)}
 SQL = {"op2_sharding": sharding.placement_sql(), "op6_exact_dedup": exact_dedup.GROUPS_SQL}
