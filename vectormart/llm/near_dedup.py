@@ -7,11 +7,15 @@ probability 1 - (1 - (1 - s^2)^9)^2: 0.00002 at 0.85 and 0.0002 at 0.8.
 
 Texts with equal sets are one *class*, named by its smallest id, before anything else; only classes that
 share a key with another one go on.  Within a key classes are compared with one member, its centre.
-Classes that are found to hang together are merged, the keys that still hold more than one group are compared with
-another centre, and so on until a round finds no link.  So a group of n near copies costs about n
+Pairs whose 36 minhashes agree so rarely that a link is out of question (probability below 0.000001) and pairs
+whose sizes rule a link out are dropped; all others are compared on their full sets.  Classes that are found
+to hang together are merged, the keys that still hold more than one group are compared with another
+centre, and so on until two rounds in a row find no link.  So a group of n near copies costs about n
 comparisons per round and no list of all its pairs.
 """
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -20,7 +24,8 @@ from vectormart.llm.words import SPACE, binary, distinct, flat, steps
 from vectormart.session import written
 
 COLLECTION, ROWS = 9, 2
-LEAST_ROUNDS, MOST_STEPS = 3, 60
+MINHASHES = 2 * COLLECTION * ROWS
+QUIET_ROUNDS, MOST_STEPS, UNLIKELY = 2, 60, 1e-6
 MISSING_ID = -(1 << 63)
 
 
@@ -86,8 +91,8 @@ def per_text(function, values, places, empty):
 
 
 def signatures(docs, width, id="doc_id", text="text"):
-    """(id, n, s1, s2, subs): set size, a 128-bit name of the set, and the hashes of both collections."""
-    multipliers = mixed(np.arange(1, 2 * COLLECTION * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    """(id, n, s1, s2, subs, mins): set size, a 128-bit name of the set, the hashes of both collections, the minhashes."""
+    multipliers = mixed(np.arange(1, MINHASHES + 1, dtype=np.uint64)) | np.uint64(1)
     additions = mixed(multipliers)
 
     def run(batches):
@@ -96,17 +101,34 @@ def signatures(docs, width, id="doc_id", text="text"):
                 part = batch.slice(first, last - first)
                 values, places = shingle_sets(part.column("text"), width)
                 subs = np.zeros((2 * COLLECTION, len(part)), np.uint64)
-                for i in range(2 * COLLECTION * ROWS):
+                mins = np.zeros((MINHASHES, len(part)), np.uint32)
+                for i in range(MINHASHES):
                     least = per_text(np.minimum, values * multipliers[i] + additions[i], places, 0)
+                    mins[i] = mixed(least) >> np.uint64(32)
                     subs[i // ROWS] = mixed(subs[i // ROWS] * np.uint64(3) + least)
                 names = [per_text(np.add, mixed(values + np.uint64(salt)), places, 0).view(np.int64) for salt in (1, 2)]
-                flat_subs = pa.array(np.ascontiguousarray(subs.T).reshape(-1).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * 2 * COLLECTION), flat_subs)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(np.diff(places)), *map(pa.array, names), lists], names=["id", "n", "s1", "s2", "subs"])
+                    [part.column("id"), pa.array(np.diff(places)), *map(pa.array, names), rows_of(subs.view(np.int64)), rows_of(mins.view(np.int32))],
+                    names=["id", "n", "s1", "s2", "subs", "mins"])
 
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(MISSING_ID)).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, subs array<long>")
+    return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, subs array<long>, mins array<int>")
+
+
+def rows_of(columns):
+    """A list per text from one array of values per position."""
+    height, width = columns.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(width + 1, dtype=np.int32) * height), pa.array(np.ascontiguousarray(columns.T).reshape(-1)))
+
+
+def least_agreement(similarity):
+    """The fewest equal minhashes at which a link of that similarity is not yet out of question."""
+    share, total = similarity / 100, 0.0
+    for equal in range(MINHASHES + 1):
+        total += comb(MINHASHES, equal) * share ** equal * (1 - share) ** (MINHASHES - equal)
+        if total > UNLIKELY:
+            return equal
+    return MINHASHES
 
 
 def full_sets(docs, members, width, id="doc_id", text="text"):
@@ -157,7 +179,7 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
     one document to the links; rows without an id share a component name, null, if linked or wordless.
     """
     marks = written(signatures(docs, width, id, text), "signatures")
-    classes = marks.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("subs").alias("subs"))
+    classes = marks.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("subs").alias("subs"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     named = written(classes, "classes")
     keys = F.array(*[
         F.xxhash64(F.lit(i * COLLECTION + j), F.element_at("subs", i + 1), F.element_at("subs", COLLECTION + j + 1))
@@ -166,12 +188,14 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
     # Partial aggregation thins a key that many classes share; AQE may split its rows in the join.
     shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
     buckets = written(keyed.join(shared, "key"), "buckets")
-    members = buckets.select("rep").distinct()
+    members = written(buckets.select("rep").distinct(), "members")
+    # A member's row may be repeated where an id is; the first one speaks for it.
+    sketches = written(named.join(members, "rep", "left_semi").select("rep", "n", "mins").dropDuplicates(["rep"]), "sketches")
     sets = written(full_sets(docs, members, width, id, text), "sets")
     groups = written(members.withColumn("group", F.col("rep")), "groups")
 
-    turn = 0
-    while True:
+    turn = quiet = 0
+    while quiet < QUIET_ROUNDS:
         now = buckets.join(groups, "rep")
         side = F.min if turn % 2 == 0 else F.max
         pick = F.struct("group", F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep")
@@ -179,18 +203,23 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
         centres = centres.filter("low < high").select("key", F.col("pick.rep").alias("centre"), F.col("pick.group").alias("central"))
         # Keys whose classes hang together already are done for good.
         open_ = written(now.join(centres, "key").select("key", "rep", "group", "centre", "central"), "open")
-        pairs = written(open_.filter("group != central").select("rep", "centre").distinct(), "pairs")
+        pairs = open_.filter("group != central").select("rep", "centre").distinct()
+        close = pairs.join(sketches, "rep").join(sketches.withColumnsRenamed({"rep": "centre", "n": "m", "mins": "others"}), "centre")
+        agree = F.size(F.filter(F.zip_with("mins", "others", lambda x, y: x == y), lambda same: same))
+        fits = (100 * F.least("n", "m") >= similarity * F.greatest("n", "m")) & (agree >= least_agreement(similarity))
+        pairs = written(close.filter(fits).select("rep", "centre"), "pairs")
         one = pairs.join(sets, "rep").withColumnRenamed("set", "own")
         two = one.join(sets.withColumnsRenamed({"rep": "centre", "set": "other"}), "centre")
         common = F.size(F.array_intersect("own", "other"))
         links = written(two.select(F.col("rep").alias("a"), F.col("centre").alias("b"), (
             100 * common >= similarity * (F.size("own") + F.size("other") - common)).alias("linked")).filter("linked").select("a", "b"), "links")
-        found = bool(links.head(1))
-        if found:
-            groups = merged(groups, links)
-        turn += 1
-        if turn >= LEAST_ROUNDS and not found or not pairs.head(1):
+        if links.head(1):
+            groups, quiet = merged(groups, links), 0
+        elif not open_.head(1):
             break
+        else:
+            quiet += 1
+        turn += 1
         buckets = open_.select("key", "rep")
 
     component = groups.select("rep", "group")
