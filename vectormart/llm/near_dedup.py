@@ -208,7 +208,8 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
         agree = F.size(F.filter(F.zip_with("mins", "others", lambda x, y: x == y), lambda same: same))
         fits = (100 * F.least("n", "m") >= similarity * F.greatest("n", "m")) & (agree >= least_agreement(similarity))
         pairs = written(close.filter(fits).select("rep", "centre"), "pairs")
-        one = pairs.join(sets, "rep").withColumnRenamed("set", "own")
+        # Written, so that few pairs are seen to be few and do not set all sets moving.
+        one = written(pairs.join(sets, "rep").withColumnRenamed("set", "own"), "one")
         two = one.join(sets.withColumnsRenamed({"rep": "centre", "set": "other"}), "centre")
         common = F.size(F.array_intersect("own", "other"))
         links = written(two.select(F.col("rep").alias("a"), F.col("centre").alias("b"), (
