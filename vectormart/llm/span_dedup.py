@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vectormart.llm.words import SPACE, binary, distinct, flat, steps
+from vectormart.session import written
 
-LONG, RUN, RUN_WORDS = 12, 3, 20
+LONG, RUN, RUN_WORDS = 24, 3, 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -56,7 +57,7 @@ def sentences(texts):
     last = END[data[ends - 1]] | (lines[following] > lines[ends]) | (np.append(text_end[1:], -1) != text_end)
     sentence = np.append(0, np.cumsum(last)[:-1])
     lengthy = np.bincount(sentence)[sentence] > LONG
-    last |= lengthy & (PAUSE[data[ends - 1]] | (hashes >> np.uint64(61) == 0))
+    last |= lengthy & (PAUSE[data[ends - 1]] | (hashes >> np.uint64(60) == 0))
     first_words = np.append(0, np.flatnonzero(last)[:-1] + 1)
     powers = np.cumprod(np.append(np.uint64(1), np.full(len(starts) - 1, BASE)), dtype=np.uint64)
     sums = np.append(np.uint64(0), np.cumsum(hashes * powers, dtype=np.uint64))
@@ -111,7 +112,7 @@ def without_repeats(docs, id="doc_id", text="text"):
     sentence stays.  Every row stays, though its text may become empty.
     """
     place = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id}`").cast("long").alias("id"),
-                        F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
+                        F.col(f"`{text}`").alias("text"), F.hash(F.col(f"`{text}`")).alias("mark"))
 
     def listed(batches):
         for batch in batches:
@@ -123,10 +124,11 @@ def without_repeats(docs, id="doc_id", text="text"):
                     [part.column("id").take(at), part.column("mark").take(at), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(hashes)],
                     names=["id", "mark", "first", "last", "hash"])
 
-    runs = place.filter("text is not null").select("id", "mark", "text").mapInArrow(listed, "id long, mark long, first int, last int, hash long")
+    runs = place.filter("text is not null").select("id", "mark", "text").mapInArrow(listed, "id long, mark int, first int, last int, hash long")
+    runs = written(runs, "runs")
     here = F.struct("id", "mark", "first")
     # Partial aggregation thins a hot hash before the shuffle; AQE may split its rows in the join.
-    origin = runs.groupBy("hash").agg(F.min(here).alias("low"), F.max(here).alias("high")).filter("low != high").select("hash", "low")
+    origin = runs.groupBy("hash").agg(F.min(here).alias("low"), F.count("*").alias("times")).filter("times > 1").select("hash", "low")
     repeats = runs.join(origin, "hash").filter(~here.eqNullSafe(F.col("low")))
     covered = repeats.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("covered"))
 
