@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vectormart.llm.words import SPACE, binary, distinct, flat, steps
-from vectormart.session import written
+from vectormart.session import work_folder
 
 LONG, RUN, RUN_WORDS = 24, 3, 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +125,9 @@ def without_repeats(docs, id="doc_id", text="text"):
                     names=["id", "mark", "first", "last", "hash"])
 
     runs = place.filter("text is not null").select("id", "mark", "text").mapInArrow(listed, "id long, mark int, first int, last int, hash long")
-    runs = written(runs, "runs")
+    path = work_folder(docs.sparkSession, "runs")
+    runs.write.option("compression", "zstd").parquet(path)
+    runs = docs.sparkSession.read.schema(runs.schema).parquet(path)
     here = F.struct("id", "mark", "first")
     # Partial aggregation thins a hot hash before the shuffle; AQE may split its rows in the join.
     origin = runs.groupBy("hash").agg(F.min(here).alias("low"), F.count("*").alias("times")).filter("times > 1").select("hash", "low")
