@@ -65,7 +65,7 @@ def weighted_sample(hits, k, seed=0):
     Before each draw a candidate weighs its score minus the lowest remaining score plus
     0.01, so the weights shift from draw to draw.  Draws depend only on the seed, the
     query and the draw number: a task that runs again repeats them.  The pool of a
-    query is its fetched hits, at most 50 rows.
+    query is all hits it was given; searches bound it by their k.
     """
     columns = ["query_id", "rank", "score", "id"]
     floor = V.SAMPLE_FLOOR
@@ -73,34 +73,29 @@ def weighted_sample(hits, k, seed=0):
     def draw(pool: pd.DataFrame) -> pd.DataFrame:
         import hashlib
 
+        import numpy as np
+
         pool = pool.sort_values("rank")
-        remaining, taken = list(pool["score"]), []
-        rows = list(range(len(pool)))
-        for turn in range(min(k, len(rows))):
-            name = f"{seed}|{pool['query_id'].iloc[0]}|{turn}"
-            uniform = int(hashlib.md5(name.encode("utf-8")).hexdigest()[:13], 16) / float(16 ** 13)
-            lowest = min(remaining)
-            weights = [s - lowest + floor for s in remaining]
-            point, run, pick = uniform * sum(weights), 0.0, len(rows) - 1
-            for i, w in enumerate(weights):
-                run += w
-                if run >= point:
-                    pick = i
-                    break
-            taken.append(rows.pop(pick))
-            remaining.pop(pick)
-        return pool.iloc[sorted(taken)]
-
-    pool = hits.filter(F.col("rank") <= V.FETCH_LIMIT_TEXT).select(*columns)
+        scores, query = pool["score"].to_numpy(float), pool["query_id"].iloc[0]
+        left = np.ones(len(scores), bool)
+        for turn in range(min(k, len(scores))):
+            digits = hashlib.md5(f"{seed}|{query}|{turn}".encode("utf-8")).hexdigest()[:13]
+            mass = np.cumsum(np.where(left, scores - scores[left].min() + floor, 0.0))
+            reached = left & (mass >= int(digits, 16) / float(16 ** 13) * mass[-1])
+            left[np.argmax(reached)] = False
+        return pool[~left]
+
+    pool = hits.select(*columns)
     return pool.groupBy("query_id").applyInPandas(draw, pool.schema)
 
 
-def fetch_size(k):
-    return min(V.FETCH_FACTOR_TEXT * k, V.FETCH_LIMIT_TEXT)
+def fetch_size(k, limit=V.FETCH_LIMIT_TEXT):
+    """Five times k, held at ``limit``, and never below k."""
+    return max(k, min(V.FETCH_FACTOR_TEXT * k, limit))
 
 
 def diversified_retrieve(corpus, queries, k, dim, seed=0, **args):
-    """Fetch min(5k, 50) hits per query, sample k by weight, back in score order."""
+    """Fetch ``fetch_size(k)`` hits per query, sample k by weight, back in score order."""
     fetched = exact_knn(corpus, queries, fetch_size(k), dim, **args)
     return resort_hits(weighted_sample(fetched, k, seed))
 
@@ -142,7 +137,8 @@ def hashed_text_vectors(docs, dim=V.TEXT_DIM, key="file_hash", text="doc"):
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
     from pyspark.ml.functions import vector_to_array
 
-    words = Tokenizer(inputCol=text, outputCol="words").transform(docs.select(key, text))
+    present = docs.select(key, text).filter(F.col(text).isNotNull())
+    words = Tokenizer(inputCol=text, outputCol="words").transform(present)
     counts = HashingTF(numFeatures=dim, inputCol="words", outputCol="counts").transform(words)
     weighted = IDF(inputCol="counts", outputCol="weighted").fit(counts).transform(counts)
     unit = Normalizer(inputCol="weighted", outputCol="unit").transform(weighted)
