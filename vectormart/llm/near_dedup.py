@@ -26,6 +26,7 @@ from vectormart.session import written
 COLLECTION, ROWS = 9, 2
 MINHASHES = 2 * COLLECTION * ROWS
 QUIET_ROUNDS, MOST_STEPS, UNLIKELY = 2, 60, 1e-6
+PAIRS_AT_ONCE = 64
 MISSING_ID = -(1 << 63)
 
 
@@ -131,19 +132,50 @@ def least_agreement(similarity):
     return MINHASHES
 
 
-def full_sets(docs, members, width, id="doc_id", text="text"):
-    """(rep, set): the shingle hashes of the documents that name a class in ``members`` (rep)."""
+def packed_texts(docs, members, id="doc_id", text="text"):
+    """(rep, packed): the texts that name a class in ``members`` (rep), packed before they move, one per rep.
+
+    A packed text is a fraction of its set of 64-bit shingle hashes, which do not compress.
+    """
 
     def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor().compress
         for batch in batches:
             for first, last in steps(batch.column("text")):
                 part = batch.slice(first, last - first)
-                values, places = shingle_sets(part.column("text"), width)
-                lists = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), lists], names=["rep", "set"])
+                texts = [pack((t or "").encode("utf-8")) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(texts, pa.binary())], names=["rep", "packed"])
 
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(MISSING_ID)).alias("rep"), F.col(text).alias("text"))
-    return rows.join(members, "rep", "left_semi").mapInArrow(run, "rep long, set array<long>").dropDuplicates(["rep"])
+    return rows.mapInArrow(run, "rep long, packed binary").join(members, "rep", "left_semi").dropDuplicates(["rep"])
+
+
+def confirmed(pairs, width, similarity):
+    """(a, b): the pairs (rep, own, centre, other) of packed texts whose full sets are alike enough."""
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for first in range(0, len(batch), PAIRS_AT_ONCE):
+                part = batch.slice(first, PAIRS_AT_ONCE).to_pydict()
+                centres = dict(zip(part["centre"], part["other"]))
+                place = {centre: len(part["own"]) + i for i, centre in enumerate(centres)}
+                texts = [unpack(t) for t in [*part["own"], *centres.values()]]
+                values, places = shingle_sets(pa.array(texts, pa.large_binary()), width)
+                sets = [values[i:j] for i, j in zip(places[:-1], places[1:])]
+                linked = []
+                for i, centre in enumerate(part["centre"]):
+                    own, other = sets[i], sets[place[centre]]
+                    common = np.intersect1d(own, other, assume_unique=True).size
+                    linked.append(100 * common >= similarity * (own.size + other.size - common))
+                found = [(r, c) for r, c, yes in zip(part["rep"], part["centre"], linked) if yes]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.select("rep", "own", "centre", "other").mapInArrow(run, "a long, b long")
 
 
 def merged(groups, links):
@@ -191,7 +223,7 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
     members = written(buckets.select("rep").distinct(), "members")
     # A member's row may be repeated where an id is; the first one speaks for it.
     sketches = written(named.join(members, "rep", "left_semi").select("rep", "n", "mins").dropDuplicates(["rep"]), "sketches")
-    sets = written(full_sets(docs, members, width, id, text), "sets")
+    texts = written(packed_texts(docs, members, id, text), "texts")
     groups = written(members.withColumn("group", F.col("rep")), "groups")
 
     turn = quiet = 0
@@ -208,12 +240,10 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
         agree = F.size(F.filter(F.zip_with("mins", "others", lambda x, y: x == y), lambda same: same))
         fits = (100 * F.least("n", "m") >= similarity * F.greatest("n", "m")) & (agree >= least_agreement(similarity))
         pairs = written(close.filter(fits).select("rep", "centre"), "pairs")
-        # Written, so that few pairs are seen to be few and do not set all sets moving.
-        one = written(pairs.join(sets, "rep").withColumnRenamed("set", "own"), "one")
-        two = one.join(sets.withColumnsRenamed({"rep": "centre", "set": "other"}), "centre")
-        common = F.size(F.array_intersect("own", "other"))
-        links = written(two.select(F.col("rep").alias("a"), F.col("centre").alias("b"), (
-            100 * common >= similarity * (F.size("own") + F.size("other") - common)).alias("linked")).filter("linked").select("a", "b"), "links")
+        # Written, so that few pairs are seen to be few and do not set all texts moving.
+        one = written(pairs.join(texts, "rep").withColumnRenamed("packed", "own"), "one")
+        two = one.join(texts.withColumnsRenamed({"rep": "centre", "packed": "other"}), "centre")
+        links = written(confirmed(two, width, similarity), "links")
         if links.head(1):
             groups, quiet = merged(groups, links), 0
         elif not open_.head(1):
