@@ -24,7 +24,7 @@ LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 MARK = SOLID & ~LETTER
 MARK[[*range(0x30, 0x3A), 0x27]] = False
 MARK[[0x3C, 0x3E, 0x7C]] = False  # < > | may belong to a special token, which must stay whole
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def flat(column):
