@@ -20,11 +20,10 @@ def points(t):
                                "label")
 
 
-@query("write_parts", "select l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag from lineitem")
+@query("write_parts", "select * from lineitem")
 def write_parts(t):
     folder = work_folder(t.spark, "parts")
-    writers.write_parts(
-        t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"), folder, 5000)
+    writers.write_parts(t.lineitem, folder, 5000)
     return t.spark.read.parquet(folder)
 
 

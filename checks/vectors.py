@@ -7,6 +7,7 @@ their number follows the data but stays small beside it.
 from pyspark.sql import functions as F
 
 from checks.base import query, r6, sql6
+from vectormart.functions.numbers import rounded
 from vectormart.functions import vectors as X
 from vectormart.operators import approximate as A
 from vectormart.operators import knn as K
@@ -53,10 +54,11 @@ def top_sql(k):
 
 # Embeddings under text keys, with part names as their metadata.
 CTE_EVAL = f"""
-corpus as (select md5(cast(vec_id as varchar)) as file_hash, p_brand as artist, p_name as title, p_type as album,
+corpus as (select md5(cast(vec_id as varchar)) as file_hash, coalesce(p_brand, 'no brand') as artist,
+    coalesce(p_name, concat('part ', vec_id)) as title, coalesce(p_type, 'no type') as album,
     cast(label as varchar) as genre, case when label < 8 then 'C' end as key_key, 'major' as key_scale,
     cast(embedding as double[]) as vector, vec_id
-  from embeddings join part on p_partkey = vec_id),
+  from embeddings left join part on p_partkey = vec_id),
 eval_seeds as (select md5(cast(min(vec_id) as varchar)) as file_hash, concat('label ', label) as label
   from embeddings group by label)"""
 EVAL_SQL = f"""with {CTE_EVAL},
@@ -74,9 +76,10 @@ from r where rank <= 5"""
 
 
 def eval_tables(t):
-    corpus = t.embeddings.join(t.part, F.col("p_partkey") == F.col("vec_id")).select(
-        F.md5(F.col("vec_id").cast("string")).alias("file_hash"), F.col("p_brand").alias("artist"),
-        F.col("p_name").alias("title"), F.col("p_type").alias("album"),
+    corpus = t.embeddings.join(t.part, F.col("p_partkey") == F.col("vec_id"), "left").select(
+        F.md5(F.col("vec_id").cast("string")).alias("file_hash"), F.coalesce("p_brand", F.lit("no brand")).alias("artist"),
+        F.coalesce("p_name", F.concat(F.lit("part "), F.col("vec_id").cast("string"))).alias("title"),
+        F.coalesce("p_type", F.lit("no type")).alias("album"),
         F.col("label").cast("string").alias("genre"), F.when(F.col("label") < 8, "C").alias("key_key"),
         F.lit("major").alias("key_scale"), F.col("embedding").alias("vector"))
     wanted = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select(
@@ -109,7 +112,8 @@ def dot_score(t):
                       "from scored where seed_label = label")
 def score_round(t):
     s = X.score(F.col("a"), F.col("b"))
-    return paired(t).select("query_id", F.col("vec_id").alias("id"), r6(s, 4).alias("score4"), r6(s).alias("score6"))
+    return paired(t).select("query_id", F.col("vec_id").alias("id"),
+                            *[(rounded(s, n) + F.lit(0.0)).alias(f"score{n}") for n in (4, 6)])
 
 
 @query("knn_one", f"""with c as (select list(m order by i) as qv from (select i, avg(cast(x as double)) as m from (

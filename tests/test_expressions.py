@@ -152,6 +152,7 @@ def test_one_decimal_like_python(column):
     given = [0.25, 0.35, 13.45, -13.45, 0.05, 2.675, 99.95, 0.0, 1e6 + 0.05, -7.25, 119.99]
     assert column(given + [None, math.nan], catalog.one_decimal, "double") == [f"{x:.1f}" for x in given] + [
         V.DASH, V.DASH]
+    assert column([1e20, -1e20, math.inf, -math.inf], catalog.one_decimal, "double") == [f"{x:.1f}" for x in (1e20, -1e20, math.inf, -math.inf)]
 
 
 def test_art_response(column):

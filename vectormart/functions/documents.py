@@ -103,11 +103,12 @@ def parse_documents(df, text="value", doc="doc"):
     """Add the document of a JSON text column as a struct; NULL for text that is no JSON.
 
     A part of an unexpected JSON type reads as NULL.  The parser reports such documents
-    like broken ones, so only those are parsed a second time to tell them apart.
+    like broken ones, so only those are parsed a second time to tell them apart.  The
+    parsed value is generated, not projected: later filters on it cannot repeat the parser.
     """
     mark = "_unread"
     kind = document_type()[:-1] + f",{mark}:string>"
     parsed = F.from_json(F.col(text), kind, {"columnNameOfCorruptRecord": mark})
     unread = F.col(f"{doc}.{mark}")
     broken = F.when(unread.isNotNull(), F.try_parse_json(unread).isNull()).otherwise(F.lit(False))
-    return df.withColumn(doc, parsed).withColumn(doc, F.when(~broken, F.col(doc).dropFields(mark)))
+    return df.select("*", F.explode(F.array(parsed)).alias(doc)).withColumn(doc, F.when(~broken, F.col(doc).dropFields(mark)))

@@ -85,13 +85,17 @@ def track_card(df):
     )
 
 
+WHOLE_FROM = float(1 << 52)
+
+
 def one_decimal(value):
     """Number with one decimal, rounded from its exact binary value; a dash when missing.
 
     Ten times the number is held as a sum and its rounding error, so that 0.25 goes to
-    the even 0.2 while 13.45, which is stored a little below that, goes to 13.4.
+    the even 0.2 while 13.45, which is stored a little below that, goes to 13.4.  From
+    2^52 on a double has no fraction and is printed as it is; infinity is "inf".
     """
-    size = F.abs(value)
+    size = F.when(F.abs(value) < WHOLE_FROM, F.abs(value))
     eight, two = size * 8.0, size * 2.0
     tenfold = eight + two
     rest = tenfold - eight
@@ -101,7 +105,13 @@ def one_decimal(value):
     up = (above > 0) | ((above == 0) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2)) == 1))))
     tenths = whole + F.when(up, 1).otherwise(0)
     text = F.concat(F.when(value < 0, "-").otherwise(""), F.format_string("%.1f", tenths / 10.0))
-    return F.when(value.isNull() | F.isnan(value), F.lit(V.DASH)).otherwise(text)
+    endless = F.abs(value) == float("inf")
+    return (
+        F.when(value.isNull() | F.isnan(value), F.lit(V.DASH))
+        .when(endless, F.when(value < 0, "-inf").otherwise("inf"))
+        .when(F.abs(value) >= WHOLE_FROM, F.format_string("%.1f", value))
+        .otherwise(text)
+    )
 
 
 def feature_inspector(df):

@@ -16,7 +16,7 @@ def limit_rows(df, n, *order):
 
 
 def slice_rows(df, start, limit, *order):
-    """Rows ``[start, start + limit)`` of the sorted table; a limit of 0 means all the rest.
+    """Rows ``[start, start + limit)`` of the sorted table, in order; a limit of 0 means all the rest.
 
     ``order`` must identify a row, else equal rows may change places between runs.
     """
@@ -30,7 +30,7 @@ def slice_rows(df, start, limit, *order):
     kept = F.col("row_index") >= start
     if limit:
         kept = kept & (F.col("row_index") < start + limit)
-    return indexed.filter(kept).drop("row_index")
+    return indexed.filter(kept).orderBy("row_index").drop("row_index")
 
 
 def row_index(df, *ordering):

@@ -35,13 +35,17 @@ def similar_tracks(corpus, seeds, k, dim, *, id_col="id", vector_col="vector", g
     """Tracks like each seed, without the seed and its album.
 
     ``overfetch`` reads 3k + 1 hits and drops afterwards, so it may return fewer than
-    k; ``exact`` drops inside the search and always finds k if they exist.
+    k; ``exact`` drops inside the search and always finds k if they exist.  Without a
+    ``group`` only the seed itself is left out.
     """
-    queries = seeds.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("vector"), F.col(group))
+    album = [F.col(group)] if group else []
+    queries = seeds.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("vector"), *album)
     args = dict(id_col=id_col, vector_col=vector_col, query_vector="vector", metric=metric)
     if mode == "exact":
         return exact_knn(corpus, queries, k, dim, exclude_self=True, exclude_group=group, **args)
     fetched = exact_knn(corpus, queries, V.FETCH_FACTOR_AUDIO * k + 1, dim, **args)
+    if not group:
+        return rank_hits(fetched.filter("id != query_id").drop("rank"), k).select("query_id", "id", "score", "rank")
     albums = corpus.select(id_col, F.col(group).alias("album"))
     placed = with_payload(fetched, albums, id_col)
     placed = placed.join(measured(queries.select("query_id", F.col(group).alias("seed_album"))), "query_id")
@@ -241,12 +245,12 @@ def pick_hero(hits):
     return named.withColumn("role", F.when(F.col("_lead") == 1, "hero").otherwise("supporting")).drop("_lead")
 
 
-def answer_cards(hits, cache, answers=None):
-    """Hero and up to five supporting cards per query, in rank order, with the answer."""
+def answer_cards(hits, cache, answers=None, supporting=V.SUPPORTING_CARDS):
+    """Hero and up to ``supporting`` more cards per query, in rank order, with the answer."""
     roles = pick_hero(attach_artwork(hits, cache))
     kept_order = Window.partitionBy("query_id", "role").orderBy("rank")
     cards = track_card(roles.withColumn("place", F.row_number().over(kept_order)).filter(
-        (F.col("role") == "hero") | (F.col("place") <= V.SUPPORTING_CARDS)
+        (F.col("role") == "hero") | (F.col("place") <= supporting)
     ))
     return cards.join(answers.select("query_id", "answer"), "query_id", "left") if answers is not None else cards
 

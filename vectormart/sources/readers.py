@@ -15,13 +15,16 @@ ARTIST_MAP_SCHEMA = "artist_raw string, canonical_name string, mbid string"
 def file_provenance(df):
     """Source path and its last change as UTC text such as 2024-01-31T09:30:00.123456Z.
 
-    Like ISO notation, the fraction is left out when it is zero.
+    Like ISO notation, the fraction is left out when it is zero.  Spark gives the path
+    as a percent-encoded URI; it is decoded, so that it names the file as listings do.
     """
+    uri = F.col("_metadata.file_path")
+    path = F.coalesce(F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), uri)
     changed = F.to_utc_timestamp(F.col("_metadata.file_modification_time"), F.current_timezone())
     text = F.date_format(changed, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return df.select(
         "*",
-        F.col("_metadata.file_path").alias("json_path"),
+        path.alias("json_path"),
         F.concat(F.regexp_replace(text, r"\.000000$", ""), F.lit("Z")).alias("extracted_at"),
     )
 

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from vectormart.functions.text import relative_path
 from vectormart.operators.lookup import resolved_entries
 from vectormart.operators.paging import limit_rows
-
-SINGLE_FILE_ROWS = 1_000_000
+from vectormart.session import written
 
 
 def _counted(df):
@@ -25,10 +24,9 @@ def write_parts(df, folder, chunk_rows=5000, mode="overwrite"):
     return seen.get["rows"]
 
 
-def write_single(df, folder, max_rows=SINGLE_FILE_ROWS):
-    """One Parquet file for an output that fits one; a larger one is written in parallel parts."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    (df.coalesce(1) if small else df).write.mode("overwrite").parquet(folder)
+def write_single(df, folder):
+    """One Parquet file at any size.  All tasks work the rows out; one task only copies them."""
+    written(df, "single").coalesce(1).write.mode("overwrite").parquet(folder)
 
 
 def write_sample(df, folder, rows=500, order=("file_hash",)):
