@@ -226,7 +226,7 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
     texts = written(packed_texts(docs, members, id, text), "texts")
     groups = written(members.withColumn("group", F.col("rep")), "groups")
 
-    turn = quiet = 0
+    turn, quiet, settled = 0, 0, None
     while quiet < QUIET_ROUNDS:
         now = buckets.join(groups, "rep")
         side = F.min if turn % 2 == 0 else F.max
@@ -239,9 +239,14 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
         close = pairs.join(sketches, "rep").join(sketches.withColumnsRenamed({"rep": "centre", "n": "m", "mins": "others"}), "centre")
         agree = F.size(F.filter(F.zip_with("mins", "others", lambda x, y: x == y), lambda same: same))
         fits = (100 * F.least("n", "m") >= similarity * F.greatest("n", "m")) & (agree >= least_agreement(similarity))
-        pairs = written(close.filter(fits).select("rep", "centre"), "pairs")
+        ordered = [F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y")]
+        pairs = close.filter(fits).select("rep", "centre", *ordered)
+        # A pair that was compared in an earlier round keeps its answer.
+        pairs = written(pairs if settled is None else pairs.join(settled, ["x", "y"], "left_anti"), "pairs")
+        now_settled = pairs.select("x", "y")
+        settled = now_settled if settled is None else written(settled.unionAll(now_settled), "settled")
         # Written, so that few pairs are seen to be few and do not set all texts moving.
-        one = written(pairs.join(texts, "rep").withColumnRenamed("packed", "own"), "one")
+        one = written(pairs.drop("x", "y").join(texts, "rep").withColumnRenamed("packed", "own"), "one")
         two = one.join(texts.withColumnsRenamed({"rep": "centre", "packed": "other"}), "centre")
         links = written(confirmed(two, width, similarity), "links")
         if links.head(1):
