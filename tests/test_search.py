@@ -246,3 +246,10 @@ def test_streaming_twice(spark, tmp_path):
     write(folder, "c.json", document("k2"))
     streams.stream_ingest(spark, folder, out, marks, files_per_batch=1)
     assert sorted(r["file_hash"] for r in spark.read.parquet(out).collect()) == ["k1", "k2"]
+
+
+def test_similar_tracks_without_a_group(spark):
+    corpus = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(6)], "id int, vector array<double>")
+    for mode in ("overfetch", "exact"):
+        hits = retrieval.similar_tracks(corpus, corpus.filter("id = 0"), 2, 2, group=None, mode=mode)
+        assert [(r["id"], r["rank"]) for r in hits.orderBy("rank").collect()] == [(1, 1), (2, 2)]
