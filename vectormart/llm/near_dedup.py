@@ -92,7 +92,7 @@ def per_text(function, values, places, empty):
 
 
 def signatures(docs, width, id="doc_id", text="text"):
-    """(id, n, s1, s2, subs, mins): set size, a 128-bit name of the set, the hashes of both collections, the minhashes."""
+    """(id, n, s1, s2, mins): set size, a 128-bit name of the set, the minhashes of both collections."""
     multipliers = mixed(np.arange(1, MINHASHES + 1, dtype=np.uint64)) | np.uint64(1)
     additions = mixed(multipliers)
 
@@ -101,19 +101,17 @@ def signatures(docs, width, id="doc_id", text="text"):
             for first, last in steps(batch.column("text")):
                 part = batch.slice(first, last - first)
                 values, places = shingle_sets(part.column("text"), width)
-                subs = np.zeros((2 * COLLECTION, len(part)), np.uint64)
                 mins = np.zeros((MINHASHES, len(part)), np.uint32)
                 for i in range(MINHASHES):
                     least = per_text(np.minimum, values * multipliers[i] + additions[i], places, 0)
                     mins[i] = mixed(least) >> np.uint64(32)
-                    subs[i // ROWS] = mixed(subs[i // ROWS] * np.uint64(3) + least)
                 names = [per_text(np.add, mixed(values + np.uint64(salt)), places, 0).view(np.int64) for salt in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(np.diff(places)), *map(pa.array, names), rows_of(subs.view(np.int64)), rows_of(mins.view(np.int32))],
-                    names=["id", "n", "s1", "s2", "subs", "mins"])
+                    [part.column("id"), pa.array(np.diff(places)), *map(pa.array, names), rows_of(mins.view(np.int32))],
+                    names=["id", "n", "s1", "s2", "mins"])
 
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(MISSING_ID)).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, subs array<long>, mins array<int>")
+    return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, mins array<int>")
 
 
 def rows_of(columns):
@@ -211,10 +209,11 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
     one document to the links; rows without an id share a component name, null, if linked or wordless.
     """
     marks = written(signatures(docs, width, id, text), "signatures")
-    classes = marks.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("subs").alias("subs"), F.first("n").alias("n"), F.first("mins").alias("mins"))
+    classes = marks.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     named = written(classes, "classes")
+    small = [[F.col("mins")[i * ROWS + r] for r in range(ROWS)] for i in range(2 * COLLECTION)]
     keys = F.array(*[
-        F.xxhash64(F.lit(i * COLLECTION + j), F.element_at("subs", i + 1), F.element_at("subs", COLLECTION + j + 1))
+        F.xxhash64(F.lit(i * COLLECTION + j), *small[i], *small[COLLECTION + j])
         for i in range(COLLECTION) for j in range(COLLECTION)])
     keyed = named.select("rep", F.explode(keys).alias("key"))
     # Partial aggregation thins a key that many classes share; AQE may split its rows in the join.
