@@ -177,7 +177,10 @@ def confirmed(pairs, width, similarity):
 
 
 def merged(groups, links):
-    """(rep, group) after joining groups that a link (a, b) connects; a group is named by its smallest rep."""
+    """(rep, group) after joining groups that a link (a, b) connects, and (group, name) of those that took part.
+
+    A group is named by its smallest rep.
+    """
     edges = links.join(groups.withColumnsRenamed({"rep": "a", "group": "x"}), "a").join(
         groups.withColumnsRenamed({"rep": "b", "group": "y"}), "b").filter("x != y")
     edges = edges.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e"))
@@ -197,8 +200,9 @@ def merged(groups, links):
             break
     else:
         raise RuntimeError("components did not settle")
-    renamed = groups.join(names.withColumnsRenamed({"x": "group"}), "group", "left")
-    return written(renamed.select("rep", F.coalesce("name", "group").alias("group")), "groups")
+    names = names.withColumnsRenamed({"x": "group"})
+    renamed = groups.join(names, "group", "left")
+    return written(renamed.select("rep", F.coalesce("name", "group").alias("group")), "groups"), names
 
 
 def near_groups(docs, width, similarity, id="doc_id", text="text"):
@@ -217,8 +221,8 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
         for i in range(COLLECTION) for j in range(COLLECTION)])
     keyed = named.select("rep", F.explode(keys).alias("key"))
     # Partial aggregation thins a key that many classes share; AQE may split its rows in the join.
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
-    buckets = written(keyed.join(shared, "key"), "buckets")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1").select("key")
+    buckets = written(keyed.join(shared, "key").withColumn("group", F.col("rep")), "buckets")
     members = written(buckets.select("rep").distinct(), "members")
     # A member's row may be repeated where an id is; the first one speaks for it.
     sketches = written(named.join(members, "rep", "left_semi").select("rep", "n", "mins").dropDuplicates(["rep"]), "sketches")
@@ -227,13 +231,12 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
 
     turn, quiet, settled = 0, 0, None
     while quiet < QUIET_ROUNDS:
-        now = buckets.join(groups, "rep")
-        side = F.min if turn % 2 == 0 else F.max
+        side, opposite = (F.min, F.max) if turn % 2 == 0 else (F.max, F.min)
         pick = F.struct("group", F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep")
-        centres = now.groupBy("key").agg(side(pick).alias("pick"), F.min("group").alias("low"), F.max("group").alias("high"))
-        centres = centres.filter("low < high").select("key", F.col("pick.rep").alias("centre"), F.col("pick.group").alias("central"))
+        centres = buckets.groupBy("key").agg(side(pick).alias("pick"), opposite("group").alias("far"))
+        centres = centres.filter("pick.group != far").select("key", F.col("pick.rep").alias("centre"), F.col("pick.group").alias("central"))
         # Keys whose classes hang together already are done for good.
-        open_ = written(now.join(centres, "key").select("key", "rep", "group", "centre", "central"), "open")
+        open_ = written(buckets.join(centres, "key").select("key", "rep", "group", "centre", "central"), "open")
         pairs = open_.filter("group != central").select("rep", "centre").distinct()
         close = pairs.join(sketches, "rep").join(sketches.withColumnsRenamed({"rep": "centre", "n": "m", "mins": "others"}), "centre")
         agree = F.size(F.filter(F.zip_with("mins", "others", lambda x, y: x == y), lambda same: same))
@@ -248,14 +251,17 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
         one = written(pairs.drop("x", "y").join(texts, "rep").withColumnRenamed("packed", "own"), "one")
         two = one.join(texts.withColumnsRenamed({"rep": "centre", "packed": "other"}), "centre")
         links = written(confirmed(two, width, similarity), "links")
+        buckets = open_.select("key", "rep", "group")
         if links.head(1):
-            groups, quiet = merged(groups, links), 0
+            groups, names = merged(groups, links)
+            # Only rows of renamed groups change; a round without links leaves the table as it is.
+            buckets = written(buckets.join(names, "group", "left").select("key", "rep", F.coalesce("name", "group").alias("group")), "buckets")
+            quiet = 0
         elif not open_.head(1):
             break
         else:
             quiet += 1
         turn += 1
-        buckets = open_.select("key", "rep")
 
     component = groups.select("rep", "group")
     by_class = named.select("s1", "s2", "rep").join(component, "rep", "left").select(
