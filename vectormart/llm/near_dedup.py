@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vectormart.llm.words import SPACE, binary, distinct, flat, steps
-from vectormart.session import written
+from vectormart.session import work_folder, written
 
 COLLECTION, ROWS = 9, 2
 MINHASHES = 2 * COLLECTION * ROWS
@@ -150,6 +150,15 @@ def packed_texts(docs, members, id="doc_id", text="text"):
     return rows.mapInArrow(run, "rep long, packed binary").join(members, "rep", "left_semi").dropDuplicates(["rep"])
 
 
+def bucketed(df, label, column):
+    """``df`` in files by ``column``, so that joins on it leave it in place, and the name of its table, to be dropped by the caller."""
+    spark = df.sparkSession
+    path = work_folder(spark, label)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(table)
+    return spark.table(table), table
+
+
 def confirmed(pairs, width, similarity):
     """(a, b): the pairs (rep, own, centre, other) of packed texts whose full sets are alike enough."""
 
@@ -212,6 +221,7 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
     empty, white space) are linked with nothing and are their own component.  Rows that repeat an id are
     one document to the links; rows without an id share a component name, null, if linked or wordless.
     """
+    spark = docs.sparkSession
     marks = written(signatures(docs, width, id, text), "signatures")
     classes = marks.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     named = written(classes, "classes")
@@ -226,7 +236,7 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
     members = written(buckets.select("rep").distinct(), "members")
     # A member's row may be repeated where an id is; the first one speaks for it.
     sketches = written(named.join(members, "rep", "left_semi").select("rep", "n", "mins").dropDuplicates(["rep"]), "sketches")
-    texts = written(packed_texts(docs, members, id, text), "texts")
+    texts, table = bucketed(packed_texts(docs, members, id, text), "texts", "rep")
     groups = written(members.withColumn("group", F.col("rep")), "groups")
 
     turn, quiet, settled = 0, 0, None
@@ -247,9 +257,10 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
         pairs = written(pairs if settled is None else pairs.join(settled, ["x", "y"], "left_anti"), "pairs")
         now_settled = pairs.select("x", "y")
         settled = now_settled if settled is None else written(settled.unionAll(now_settled), "settled")
-        # Written, so that few pairs are seen to be few and do not set all texts moving.
-        one = written(pairs.drop("x", "y").join(texts, "rep").withColumnRenamed("packed", "own"), "one")
-        two = one.join(texts.withColumnsRenamed({"rep": "centre", "packed": "other"}), "centre")
+        # The table of texts lies in buckets and stays there; pairs come to it, and centres, which may have many pairs, are taken out.
+        one = pairs.drop("x", "y").join(texts, "rep").withColumnRenamed("packed", "own")
+        centred = written(pairs.select(F.col("centre").alias("rep")).distinct().join(texts, "rep"), "centres")
+        two = one.join(centred.withColumnsRenamed({"rep": "centre", "packed": "other"}), "centre")
         links = written(confirmed(two, width, similarity), "links")
         buckets = open_.select("key", "rep", "group")
         if links.head(1):
@@ -263,6 +274,7 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
             quiet += 1
         turn += 1
 
+    spark.sql(f"DROP TABLE {table}")
     component = groups.select("rep", "group")
     by_class = named.select("s1", "s2", "rep").join(component, "rep", "left").select(
         "s1", "s2", F.coalesce("group", "rep").alias("component"))
