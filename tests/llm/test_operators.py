@@ -134,6 +134,17 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_between_extremes(spark):
+    # A family below the threshold, and in the midst of its ids two texts that are linked.
+    shared = " ".join(f"word{i}" for i in range(302))
+    told = [(i, f"{shared} " + " ".join(f"own{i}x{j}" for j in range(10 if i in (60, 61) else 70))) for i in range(122)]
+    sets = {i: shingles(t, 3) for i, t in told}
+    alike = [(a, b) for a, b in combinations(range(122), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert alike == [(60, 61)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(told, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: 60 if i == 61 else i for i in range(122)}
+
+
 def luhn(value):
     number = [int(c) for c in reversed(re.sub("[^0-9]", "", value))]
     return sum(n if i % 2 == 0 else 2 * n - 9 * (n > 4) for i, n in enumerate(number)) % 10 == 0

@@ -12,6 +12,11 @@ whose sizes rule a link out are dropped; all others are compared on their full s
 to hang together are merged, the keys that still hold more than one group are compared with another
 centre, and so on until two rounds in a row find no link.  So a group of n near copies costs about n
 comparisons per round and no list of all its pairs.
+
+Centres alone leave pairs out, so an exact pass follows: in every key that still holds more than one group all
+classes meet in blocks of about ``BLOCK``.  Every pair of different groups that was not compared yet, and that
+its sizes and minhashes do not rule out, is compared on the full sets, at the first key that it shares.  After it
+no such pair is left.
 """
 
 from math import comb
@@ -27,6 +32,8 @@ COLLECTION, ROWS = 9, 2
 MINHASHES = 2 * COLLECTION * ROWS
 QUIET_ROUNDS, MOST_STEPS, UNLIKELY = 2, 60, 1e-6
 PAIRS_AT_ONCE = 64
+BLOCK, PLACES = 64, 128
+CELL = ["key", "p", "q"]
 MISSING_ID = -(1 << 63)
 
 
@@ -185,6 +192,83 @@ def confirmed(pairs, width, similarity):
     return pairs.select("rep", "own", "centre", "other").mapInArrow(run, "a long, b long")
 
 
+def in_cells(buckets, sketches):
+    """(key, p, q, classes): the classes of every open key, by twos of blocks; block p meets block q.
+
+    Two classes of a key have been compared in the first round, so only keys of three or more are open here.
+    """
+    counts = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
+    counts = counts.filter("m > 2 and low != high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = buckets.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(BLOCK)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "rep", "group", "own")
+    return rows.join(sketches, "rep").groupBy(*CELL).agg(F.collect_list(F.struct("rep", "group", "n", "own", "mins")).alias("classes"))
+
+
+def fitting(cells, similarity):
+    """(key, p, q, x, y): pairs of a cell that are of different groups and whose sizes and minhashes allow a link.
+
+    A pair that shares several keys is given at the first of them only.
+    """
+    least = least_agreement(similarity)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("classes")
+            offsets = lists.offsets.to_numpy()
+            rep, group, n, own, mins = lists.values.flatten()
+            rep, group, n, own = (x.to_numpy() for x in (rep, group, n, own))
+            mins = mins.flatten().to_numpy().reshape(-1, MINHASHES)
+            found = []
+            for i, (key, p, q) in enumerate(zip(*[batch.column(c).to_pylist() for c in CELL])):
+                here = slice(offsets[i], offsets[i + 1])
+                one, two = np.flatnonzero(own[here] == p) + offsets[i], np.flatnonzero(own[here] == q) + offsets[i]
+                first, second = divmod(key % PLACES, COLLECTION)
+                few, many = np.minimum(n[one][:, None], n[two]), np.maximum(n[one][:, None], n[two])
+                fits = (group[one][:, None] != group[two]) & (100 * few >= similarity * many)
+                if p == q:
+                    fits &= one[:, None] < two
+                a, b = np.nonzero(fits)
+                a, b = one[a], two[b]
+                same = mins[a] == mins[b]
+                small = same.reshape(len(a), 2, COLLECTION, ROWS).all(axis=3)
+                good = (same.sum(axis=1) >= least) & small[:, 0, first] & small[:, 1, second]
+                good &= (small[:, 0].argmax(axis=1) == first) & (small[:, 1].argmax(axis=1) == second)
+                a, b = rep[a[good]], rep[b[good]]
+                found.append((np.full(len(a), key), np.full(len(a), p), np.full(len(a), q), np.minimum(a, b), np.maximum(a, b)))
+            kinds = (np.int64, np.int32, np.int32, np.int64, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(kind)) if found else pa.array([], pa.from_numpy_dtype(kind)) for x, kind in zip(zip(*found) if found else kinds, kinds)], names=[*CELL, "x", "y"])
+
+    return cells.mapInArrow(run, "key long, p int, q int, x long, y long")
+
+
+def confirmed_in_cells(pairs, texts, width, similarity):
+    """(a, b): the pairs (key, p, q, x, y) whose full sets are alike enough.  A text goes once to a cell, however many pairs it has there."""
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            found = []
+            for i in range(len(batch)):
+                cell = batch.slice(i, 1).to_pydict()
+                place = {t["rep"]: k for k, t in enumerate(cell["texts"][0])}
+                values, places = shingle_sets(pa.array([unpack(t["packed"]) for t in cell["texts"][0]], pa.large_binary()), width)
+                sets = [values[a:b] for a, b in zip(places[:-1], places[1:])]
+                for pair in cell["pairs"][0]:
+                    x, y = sets[place[pair["x"]]], sets[place[pair["y"]]]
+                    common = np.intersect1d(x, y, assume_unique=True).size
+                    if 100 * common >= similarity * (x.size + y.size - common):
+                        found.append((pair["x"], pair["y"]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    held = pairs.select(*CELL, F.explode(F.array("x", "y")).alias("rep")).distinct().join(texts, "rep")
+    held = held.groupBy(*CELL).agg(F.collect_list(F.struct("rep", "packed")).alias("texts"))
+    asked = pairs.groupBy(*CELL).agg(F.collect_list(F.struct("x", "y")).alias("pairs"))
+    return held.join(asked, CELL).select("texts", "pairs").mapInArrow(run, "a long, b long")
+
+
 def merged(groups, links):
     """(rep, group) after joining groups that a link (a, b) connects, and (group, name) of those that took part.
 
@@ -226,8 +310,9 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
     classes = marks.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     named = written(classes, "classes")
     small = [[F.col("mins")[i * ROWS + r] for r in range(ROWS)] for i in range(2 * COLLECTION)]
+    # The last bits of a key name its place among the keys of a class.
     keys = F.array(*[
-        F.xxhash64(F.lit(i * COLLECTION + j), *small[i], *small[COLLECTION + j])
+        F.xxhash64(F.lit(i * COLLECTION + j), *small[i], *small[COLLECTION + j]).bitwiseAND(F.lit(-PLACES)).bitwiseOR(F.lit(i * COLLECTION + j))
         for i in range(COLLECTION) for j in range(COLLECTION)])
     keyed = named.select("rep", F.explode(keys).alias("key"))
     # Partial aggregation thins a key that many classes share; AQE may split its rows in the join.
@@ -274,6 +359,12 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
             quiet += 1
         turn += 1
 
+    rest = fitting(in_cells(buckets, sketches), similarity)
+    rest = written(rest if settled is None else rest.join(settled, ["x", "y"], "left_anti"), "rest")
+    links = written(confirmed_in_cells(rest, texts, width, similarity), "links")
+    if links.head(1):
+        groups, _ = merged(groups, links)
+
     spark.sql(f"DROP TABLE {table}")
     component = groups.select("rep", "group")
     by_class = named.select("s1", "s2", "rep").join(component, "rep", "left").select(
