@@ -177,6 +177,17 @@ def test_disclosing_terms(spark):
     assert {r.clean_text for r in pii.sanitised(table).collect() if r.doc_id < 5} == {"Call  via <EMAIL> please"}
 
 
+def test_disclosing_terms_anywhere(spark):
+    far = "some common words stand between them " * 4
+    told = [(i, f"Zanzibar {far} and number{i} at jo@ex.org") for i in range(4)]
+    told += [(10, "we saw zanzibar again"), (11, f"Timbuktu {far} al@ex.net"), (12, f"timbuktu {far.upper()} al@ex.net")]
+    told += [(100 + i, f"we saw number{i} again and {far}") for i in range(60)]
+    found = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    for i in (0, 1, 2, 3, 11, 12):
+        assert "term:0:8" in found[i].spans and found[i].n_term == 1
+    assert found[10].spans == "term:7:15" and found[100].n_term == 0
+
+
 def test_fingerprints(docs, empty):
     table = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     texts = dict(plain(table))

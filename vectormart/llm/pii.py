@@ -1,10 +1,13 @@
 """Personal data: patterns first, then terms that give away what the patterns found.
 
 E-mail and IP addresses, card and phone numbers are found by pattern.  Each distinct value is a protected
-*entity*.  Terms that stand near it are weighed by what they disclose: the pointwise mutual information
+*entity*.  All terms of its documents are weighed by what they disclose: the pointwise mutual information
 of entity and term, from the numbers of documents of the whole corpus, over the information of the entity
-itself.  1 means that the term names the entity as surely as its own text.  Near an entity, terms above
-``GENERALISE`` are replaced by a word for their kind, those above ``REMOVE`` are taken out.
+itself.  1 means that the term names the entity as surely as its own text.  Documents of the same normalised
+text count as one.  The share of the entity among the documents of a term is smoothed by ``SMOOTHING``
+documents of the usual share, so that rare pairs are weighed with care but none is left out.  Wherever they
+stand in the corpus, terms above ``GENERALISE`` are replaced by a word for their kind, those above ``REMOVE``
+are taken out.
 """
 
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ PATTERNS = {
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)?"
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = r"\p{L}{4,}"
-NEAR, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.8, 0.95
+SMOOTHING, GENERALISE, REMOVE = 0.2, 0.8, 0.95
 
 
 def digits(value):
@@ -77,56 +80,83 @@ def base_spans(docs):
     return raw.withColumns({k: keep(k) for k in PATTERNS}).drop(*[f"raw_{k}" for k in PATTERNS])
 
 
-def nearby(text, spans, others):
-    """Terms within ``NEAR`` characters of each span, as struct(entity, value, start, end)."""
+def between(text, spans):
+    """The text with a space in place of every span."""
+
+    def step(state, s):
+        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        return F.struct(F.greatest(s["end"], state["at"]).alias("at"), F.concat(state["out"], gap, F.lit(" ")).alias("out"))
+
+    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+    return F.aggregate(F.array_sort(spans), F.expr("struct(0 as at, '' as out)"), step, rest)
+
+
+def terms_of(text):
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def located(text, known):
+    """struct(start, end, disclosure) of every occurrence of the terms of a map ``known`` from term to disclosure."""
+    values, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(values)).alias("gap"), values.alias("value"))
+
+    def step(state, pair):
+        start = state["at"] + F.length(pair["gap"])
+        end = start + F.length(pair["value"])
+        told = F.try_element_at(known, F.lower(pair["value"]))
+        item = F.struct(start.alias("start"), end.alias("end"), told.alias("disclosure"))
+        # Only a hit copies the list.
+        return F.struct(end.alias("at"), F.when(told.isNotNull(), F.concat(state["out"], F.array(item))).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(pairs, F.expr("struct(0 as at, cast(array() as array<struct<start:int,end:int,disclosure:double>>) as out)"), step, lambda s: s["out"])
 
-    def around(span):
-        begin = F.greatest(span["start"] - NEAR, F.lit(0))
-        before = F.substring(text, begin + 1, span["start"] - begin)
-        after = F.substring(text, span["end"] + 1, F.lit(NEAR))
-        # A term at the far edge of the window may be cut off; it is left out.
-        left = F.filter(matches(before, TERM), lambda t: (t["start"] > 0) | (begin == 0))
-        right = F.filter(matches(after, TERM), lambda t: t["end"] < NEAR)
-        shift = lambda parts, by: F.transform(parts, lambda t: F.struct(
-            F.lower(span["value"]).alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end")))
-        return F.concat(shift(left, begin), shift(right, span["end"]))
 
-    free = lambda t: ~F.exists(others, lambda o: (t["start"] < o["end"]) & (o["start"] < t["end"]))
-    return F.filter(F.flatten(F.transform(spans, around)), free)
+def shared(rows):
+    """``rows`` with ``share``: one over the number of rows of the same normalised text, so that copies sum to 1."""
+    normal = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
+    rows = rows.withColumn("normal", F.xxhash64(normal))
+    copies = written(rows.groupBy("normal").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    return rows.join(copies, "normal", "left").withColumn("share", F.lit(1.0) / F.coalesce("copies", F.lit(1))).drop("normal", "copies")
 
 
 def prepared(docs, id, text):
     return docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
-def disclosing(rows, contexts):
-    """(entity, term, disclosure) of pairs that share ``SUPPORT`` documents and disclose at least ``GENERALISE``."""
-    every = rows.agg(F.count("*").alias("all"))
-    held = contexts.select("id", "mark", "entity", "term").distinct()
-    pairs = held.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
-    entities = held.select("id", "mark", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("with_term"))
+def disclosing(rows, base):
+    """(term, disclosure): the most that a term discloses of any entity, of those that disclose at least ``GENERALISE``."""
+    every = rows.agg(F.sum("share").alias("all"))
+    held = base.filter(F.size("entities") > 0).select("share", "inside", F.explode("entities").alias("entity"))
+    pairs = held.select("share", "entity", F.explode("inside").alias("term")).groupBy("entity", "term").agg(F.sum("share").alias("both"))
+    entities = held.groupBy("entity").agg(F.sum("share").alias("with_entity"))
+    terms = rows.select("share", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("share").alias("with_term"))
     weighed = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(every))
-    shared = F.log(F.col("both") * F.col("all") / (F.col("with_entity") * F.col("with_term")))
-    own = -F.log(F.col("with_entity") / F.col("all"))
-    weighed = weighed.select("entity", "term", F.when(own > 0, F.least(shared / own, F.lit(1.0))).alias("disclosure"))
-    return weighed.filter(F.col("disclosure") >= GENERALISE)
+    usual = F.col("with_entity") / F.col("all")
+    smoothed = (F.col("both") + SMOOTHING * usual) / (F.col("with_term") + SMOOTHING)
+    own = -F.log(usual)
+    weighed = weighed.select("term", F.when(own > 0, F.least(F.log(smoothed / usual) / own, F.lit(1.0))).alias("disclosure"))
+    return weighed.filter(F.col("disclosure") >= GENERALISE).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def found(docs, id="doc_id", text="text"):
     """(id, mark, email, ip, card, phone, term): all spans of every row of ``docs``; terms carry their disclosure."""
-    rows = prepared(docs, id, text)
-    every = F.concat(*PATTERNS)
-    base = base_spans(rows).withColumn("near", F.when(F.size(every) > 0, nearby(F.col("text"), every, every)))
+    rows = shared(prepared(docs, id, text))
+    every, words = F.concat(*PATTERNS), F.col("text")
+    some = F.size(every) > 0
+    base = base_spans(rows).withColumns({
+        "entities": F.when(some, F.array_distinct(F.transform(every, lambda s: F.lower(s["value"])))),
+        "inside": F.when(some, terms_of(between(words, every)))})
     base = written(base.drop("text"), "spans")
-    contexts = base.select("id", "mark", F.explode("near").alias("c")).select("id", "mark", "c.*")
-    strong = written(disclosing(rows, contexts), "disclosing")
-    hits = contexts.join(strong, ["entity", "term"]).groupBy("id", "mark", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = hits.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "end", "disclosure"))).alias("term"))
-    joined = base.drop("near").alias("b").join(terms.alias("t"), F.col("b.id").eqNullSafe(F.col("t.id")) & (F.col("b.mark") == F.col("t.mark")), "left")
+    strong = written(disclosing(rows, base), "disclosing")
+    told = rows.select("id", "mark", F.explode(terms_of(words)).alias("term")).join(strong, "term")
+    known = told.groupBy("id", "mark").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("known"))
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.mark") == F.col(f"{b}.mark"))
+    hits = rows.alias("r").join(known.alias("k"), same("r", "k")).select("r.id", "r.mark", located(F.col("r.text"), F.col("k.known")).alias("term"))
+    hits = hits.groupBy("id", "mark").agg(F.first("term").alias("term"))
+    joined = base.drop("entities", "inside", "share").alias("b").join(hits.alias("t"), same("b", "t"), "left")
     nothing = F.expr("cast(array() as array<struct<start:int,end:int,disclosure:double>>)")
-    return joined.select("b.*", F.coalesce("t.term", nothing).alias("term"))
+    free = lambda t: ~F.exists(every, lambda o: (t["start"] < o["end"]) & (o["start"] < t["end"]))
+    return joined.select("b.*", F.coalesce("t.term", nothing).alias("term")).withColumn("term", F.filter("term", free))
 
 
 def listed(kinds):
