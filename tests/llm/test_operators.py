@@ -284,6 +284,18 @@ def test_span_dedup(spark, empty):
     assert span_dedup.repeats(empty).count() == 0
 
 
+def test_span_dedup_of_short_passages():
+    import pyarrow as pa
+
+    random = np.random.default_rng(5)
+    some = lambda n: [f"w{i}{end}" for i, end in zip(random.integers(0, 10 ** 9, n), random.choice(["", ",", "."], n, p=[.9, .06, .04]))]
+    for trial in range(300):
+        passage = some(51 + trial % 10)
+        texts = [" ".join(some(random.integers(0, 60)) + passage + some(random.integers(0, 60))) for _ in range(2)]
+        text, _, _, hashes = span_dedup.runs_of(pa.array(texts))
+        assert set(hashes[text == 0]) & set(hashes[text == 1])
+
+
 def test_words_join_again():
     import pyarrow as pa
 
