@@ -239,6 +239,17 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_hands_on_what_full_cells_cannot_take(spark):
+    told = [("a", "x", "p", 6000), ("a", "y", "p", 3000), ("b", "x", "p", 900), ("b", "y", "p", 100)]
+    cells = mixing.calibrated(spark.createDataFrame(told, "source string, lang string, topic string, n_tokens long"), 0.5)
+    found = {(r.source, r.lang): r.probability * r.tokens for r in cells.collect()}
+    assert sum(found.values()) == pytest.approx(5000, rel=1e-4)
+    assert found["b", "x"] == pytest.approx(900, rel=1e-4) and found["b", "y"] == pytest.approx(100, rel=1e-4)
+    assert found["a", "x"] + found["b", "x"] == pytest.approx(5000 * 6900 ** .7 / (6900 ** .7 + 3100 ** .7), rel=1e-4)
+    goal = spark.createDataFrame([("a", .75), ("b", .25)], "source string, target double")
+    assert {r.value: r.reached for r in mixing.margins(cells, {"source": goal}).collect()} == pytest.approx({"a": .8, "b": .2}, rel=1e-4)
+
+
 def test_language(spark, empty):
     given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.predictions(given, queries.PIECES).join(given, "doc_id").filter("held_out")

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are counted per cell of source, language and topic.  Cell weights are raked: scaled in turn so
-that the sums by source, by language and by topic meet their targets, until nothing moves.  A document
+that the sums by source, by language and by topic meet their targets, until nothing moves.  No cell gets more
+than its own tokens: full cells stay at that bound and the others are raked to what is left.  A document
 is then drawn with the probability that its cell's weight asks for.
 """
 
@@ -41,12 +42,31 @@ def tempered(cells, dimension, power):
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("mass").alias("all")))).select(dimension, (F.col("mass") / F.col("all")).alias("target"))
 
 
-def rake(cells, targets, steady=STEADY, rounds=ROUNDS):
+def within_reach(cells, dimension, goal, share):
+    """(dimension, target): ``goal`` with values that have too few tokens set to all they have; the others share the rest."""
+    total = cells.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return goal
+    sums = cells.groupBy(dimension).agg((F.sum("tokens") / F.lit(share * total)).alias("most"))
+    sums = written(goal.join(sums, dimension), "targets")
+    lift = 1.0
+    while True:
+        full = F.col("target") * lift >= F.col("most")
+        taken, free = sums.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("target")))).first()
+        # The lift only grows, by at least one more full value a turn.
+        if not free or (1 - taken) / free <= lift * (1 + 1e-12):
+            break
+        lift = (1 - taken) / free
+    return sums.select(dimension, F.least(F.col("target") * lift, F.col("most")).alias("target"))
+
+
+def rake(cells, targets, steady=STEADY, rounds=ROUNDS, share=None):
     """Cells with a weight each, summing to 1, whose sums along every dimension meet its targets.
 
     ``targets`` maps a dimension to a table (dimension, target).  A value without target gets no
     weight; targets are scaled to sum to 1 over the values that occur.  Rounds end when no factor is
     further than ``steady`` from 1, or after ``rounds`` (targets that contradict each other never settle).
+    With ``share`` no cell gets more than its tokens, where 1 stands for that share of all tokens.
     A task holds the cells of one value of a dimension: rows per combination of the others, not per document.
     """
     names = cells.columns
@@ -56,19 +76,41 @@ def rake(cells, targets, steady=STEADY, rounds=ROUNDS):
         cells = cells.join(goal, dimension, "left").fillna(0.0, [f"target_{dimension}"])
 
     def factor(dimension):
-        together = F.sum("weight").over(Window.partitionBy(dimension))
-        return F.when(together > 0, F.col(f"target_{dimension}") / together).otherwise(0.0)
-
-    cells = written(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
+        over = Window.partitionBy(dimension)
+        full = F.col("weight") >= F.col("most")
+        held = F.sum(F.when(full, F.col("most")).otherwise(0.0)).over(over)
+        free = F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(over)
+        goal = F.col(f"target_{dimension}")
+        return F.when((free > 0) & (goal > held), (goal - held) / free).when(
+            held + free > 0, F.least(goal / (held + free), F.lit(1.0))).otherwise(0.0)
+
+    if share is None:
+        cells = cells.withColumn("most", F.lit(float("inf")))
+    else:
+        total = cells.agg(F.sum("tokens").alias("all"))
+        cells = cells.crossJoin(F.broadcast(total)).withColumn("most", F.col("tokens") / (F.lit(share) * F.col("all"))).drop("all")
+    cells = written(cells.withColumn("weight", F.col("tokens").cast("double") / F.sum("tokens").over(Window.partitionBy(list(targets)[0]))), "cells")
     for _ in range(0, rounds, ROUNDS_PER_STEP):
         for dimension in list(targets) * ROUNDS_PER_STEP:
-            cells = cells.withColumn("weight", F.col("weight") * factor(dimension))
+            # A full cell keeps its own factors, as it may have room again; far above the bound they do not matter.
+            cells = cells.withColumn("weight", F.least(F.col("weight") * factor(dimension), F.col("most") * 1e9))
         cells = written(cells.withColumn("off", F.when(F.col("weight") > 0, F.abs(factor(next(iter(targets))) - 1))), "raked")
         off = cells.agg(F.max("off")).first()[0]
         cells = cells.drop("off")
         if off is None or off <= steady:
             break
-    return cells.select(*names, "weight")
+    return cells.select(*names, F.least("weight", "most").alias("weight"))
+
+
+def margins(cells, targets):
+    """(dimension, value, target, reached) of raked cells: which targets are out of reach."""
+    out = None
+    for dimension, goal in targets.items():
+        sums = cells.groupBy(dimension).agg(F.sum("weight").alias("reached"))
+        part = goal.join(sums, dimension, "left").select(
+            F.lit(dimension).alias("dimension"), F.col(dimension).alias("value"), "target", F.coalesce("reached", F.lit(0.0)).alias("reached"))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def uniform(key, seed=SEED):
@@ -97,8 +139,8 @@ INNER = {"source": "mix_source", "lang": "mix_lang", "topic": "mix_topic"}
 def calibrated(rows, share=SHARE, powers=None):
     """Raked cells of (source, lang, topic, n_tokens) rows, with weight and probability."""
     cells = written(cells_of(rows), "counts")
-    targets = {d: tempered(cells, d, (powers or POWERS)[d]) for d in DIMENSIONS}
-    return written(probabilities(rake(cells, targets), share), "probabilities")
+    targets = {d: within_reach(cells, d, tempered(cells, d, (powers or POWERS)[d]), share) for d in DIMENSIONS}
+    return written(probabilities(rake(cells, targets, share=share), share), "probabilities")
 
 
 def mixed(docs, share=SHARE):
