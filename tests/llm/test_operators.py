@@ -203,6 +203,12 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints_beside_edits(empty).count() == 0
 
 
+def test_cards_written_digit_by_digit(spark):
+    number = "4111111111111111"
+    table = spark.createDataFrame([(1, "pay " + " ".join(number)), (2, "pay " + "-".join(number) + " now")], "doc_id long, text string")
+    assert {(r.doc_id, r.n_card, r.spans.split(",")[0]) for r in pii.personal_data(table).collect()} == {(1, 1, "card:4:35"), (2, 1, "card:4:35")}
+
+
 def test_fingerprint_knows_no_order(spark):
     row = spark.sql("select 'one\\ntwo\\nthree\\n' as a, 'three\\none\\ntwo\\n' as b, 'one\\nthree\\n' as c, array('two\\n') as p").select(
         fingerprints.fingerprint(F.col("a")).alias("a"), fingerprints.fingerprint(F.col("b")).alias("b"),

@@ -73,7 +73,7 @@ def none():
 def base_spans(docs):
     """``docs`` (id, mark, text) with one array of spans per kind.  The regular expressions run once per text."""
     text = F.col("text")
-    hint = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]{2}"),
+    hint = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"),
             "phone": F.contains(text, F.lit("+"))}
     raw = docs.withColumns({f"raw_{k}": F.when(hint[k], matches(text, p)).otherwise(none()) for k, p in PATTERNS.items()})
     keep = lambda k: F.filter(f"raw_{k}", lambda s: valid(k, s["value"]))
