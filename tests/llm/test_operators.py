@@ -203,6 +203,14 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints_beside_edits(empty).count() == 0
 
 
+def test_fingerprints_of_very_long_texts(spark):
+    long = lambda n: F.concat_ws("", F.transform(F.sequence(F.lit(n), F.lit(n + 199_999)), lambda i: F.concat(i.cast("string"), F.lit("\n"))))
+    row = spark.range(1).select(fingerprints.fingerprint(long(0)).alias("a"), fingerprints.fingerprint(long(10 ** 6)).alias("b"),
+                                fingerprints.fingerprint(long(100_000)).alias("c"))
+    row = row.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("unlike"), fingerprints.likeness(F.col("a"), F.col("c")).alias("half")).first()
+    assert row.unlike < 0.4 and 0.2 < row.half < 0.8
+
+
 def test_cards_written_digit_by_digit(spark):
     number = "4111111111111111"
     table = spark.createDataFrame([(1, "pay " + " ".join(number)), (2, "pay " + "-".join(number) + " now")], "doc_id long, text string")

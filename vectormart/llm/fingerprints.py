@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
 Every paragraph hashes to a wide vector of ``LANES`` bits.  A fingerprint is the number of paragraphs
-and, lane by lane, the sum of the vectors modulo 2^16.  Sums know no order, so texts with the
+and, lane by lane, the sum of the vectors modulo 2^32, which no text reaches.  Sums know no order, so texts with the
 same paragraphs in any order agree; a paragraph is added or taken away by adding or subtracting its
 vector.  Read as plus or minus one, the lanes are a random projection of the paragraph counts, so
 the cosine of two fingerprints estimates how much of their paragraphs two texts share.
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from vectormart.session import written
 
-LANES, POWER = 128, 16
+LANES, POWER = 128, 32
 PARAGRAPH_END = r"(?<=\n)|(?<=[.!?]\x20)"
 
 # Two lanes of a paragraph's 128 bits, 32 bits apart, in one long: the sums of up to 2^31 paragraphs
@@ -28,7 +28,7 @@ def paragraphs(text):
 
 
 def lane_sums(parts):
-    """[number of paragraphs, lane sums modulo 2^16 ...] of an array of paragraphs."""
+    """[number of paragraphs, lane sums modulo 2^32 ...] of an array of paragraphs."""
     hashed = F.transform(parts, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(p, F.lit(1)).alias("b")))
     zero = "transform(sequence(0, 31), i -> 0L)"
 
@@ -66,8 +66,8 @@ def changed(print_, other, sign):
 
 
 def as_hex(print_):
-    """The number of paragraphs in 8 hex digits, then 4 for each lane."""
-    return F.array_join(F.transform(print_, lambda x, i: F.lower(F.lpad(F.hex(x), F.when(i == 0, 8).otherwise(4), "0"))), "")
+    """The number of paragraphs and each lane in 8 hex digits."""
+    return F.array_join(F.transform(print_, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def likeness(a, b):
