@@ -2,8 +2,8 @@
 
 from public_tokenizers import path as tokenizer_path
 
-from vectormart.llm import (bpe, exact_dedup, fingerprints, language, mixing, near_dedup, pii, sharding, span_dedup,
-                            token_files)
+from vectormart.llm import (bpe, conversations, exact_dedup, fingerprints, language, mixing, near_dedup, periodic, pii,
+                            sharding, span_dedup, token_files)
 from vectormart.session import work_folder
 
 BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
@@ -57,7 +57,15 @@ def op10_language(spark, sf_dir):
     return language.predictions(documents(spark, sf_dir), PIECES)
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.run_digests(documents(spark, sf_dir))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return conversations.repair_digests(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_span_dedup, op2_sharding, op3_pii, op4_bpe, op5_fingerprints, op6_exact_dedup, op7_near_dedup, op8_token_files,
-    op9_mixing, op10_language)}
+    op9_mixing, op10_language, op11_periodic_runs, op12_conversation_repair)}
 SQL = {"op2_sharding": sharding.placement_sql(), "op6_exact_dedup": exact_dedup.GROUPS_SQL}
