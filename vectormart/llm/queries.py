@@ -3,7 +3,7 @@
 from public_tokenizers import path as tokenizer_path
 
 from vectormart.llm import (bpe, conversations, exact_dedup, fingerprints, language, mixing, near_dedup, periodic, pii,
-                            sharding, span_dedup, token_files)
+                            sharding, span_dedup, suffix_dedup, token_files)
 from vectormart.session import work_folder
 
 BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
@@ -65,7 +65,11 @@ def op12_conversation_repair(spark, sf_dir):
     return conversations.repair_digests(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
 
 
+def op13_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_digests(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_span_dedup, op2_sharding, op3_pii, op4_bpe, op5_fingerprints, op6_exact_dedup, op7_near_dedup, op8_token_files,
-    op9_mixing, op10_language, op11_periodic_runs, op12_conversation_repair)}
+    op9_mixing, op10_language, op11_periodic_runs, op12_conversation_repair, op13_suffix_dedup)}
 SQL = {"op2_sharding": sharding.placement_sql(), "op6_exact_dedup": exact_dedup.GROUPS_SQL}
