@@ -27,11 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from vectormart.llm.words import STEP_BYTES, flat, steps
+from vectormart.llm.words import flat, steps
 from vectormart.session import work_folder, written
 
 WIDTH, MOST, FANOUT, TUPLES = 200, 1000, 4, 1 << 15
 WIDEST = 256
+# Some fifteen numbers of eight bytes are held for every byte of a step.
+STEP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 RANDOM = np.random.default_rng(13).integers(0, 1 << 64, 256, dtype=np.uint64)
 PLACE_BITS = np.uint64(31)
