@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from vectormart.llm.words import flat, steps
 from vectormart.session import work_folder, written
 
-WIDTH, MOST, FANOUT, TUPLES = 200, 1000, 4, 1 << 15
+WIDTH, MOST, FANOUT, TUPLES = 200, 1000, 4, 1 << 13
 WIDEST = 256
 # Some fifteen numbers of eight bytes are held for every byte of a step.
 STEP_BYTES = 1 << 20
@@ -248,7 +248,8 @@ def classed(rows):
     classes = mixed.groupBy("core", "union").agg(
         F.count("*").alias("times"), F.min(F.struct("uid", "place")).alias("one"), *[F.first(c).alias(c) for c in context])
     classes = written(classes, "classes")
-    again = mixed.join(classes.filter("times > 1").select("core", "union"), ["core", "union"], "left_semi")
+    often = written(classes.filter("times > 1").select("core", "union"), "often")
+    again = mixed.join(often, ["core", "union"], "left_semi")
     repeated = met.filter("core is null").select("uid", "place").unionAll(again.select("uid", "place"))
     return repeated, classes.select("core", "union", "one.uid", "one.place", *context)
 
