@@ -1,11 +1,11 @@
 """Exact nearest neighbours of many queries at once.
 
-The corpus is streamed through the executors in Arrow batches and multiplied with a
-block of queries; each task keeps its best ``k`` per query, so only
-``tasks x queries x k`` rows are shuffled, whatever the corpus holds.  The query block
-is broadcast only while its measured size stays below a bound.  A larger query set is
-cut into blocks that meet the corpus cell by cell, which is as exact and needs no
-driver memory.
+Queries are taken in blocks of bounded size.  A block is broadcast, the corpus streams past it in Arrow batches where it
+lies, and each task keeps its best ``k`` per query; the corpus is never shuffled and no pair table exists.  Where
+tasks would hand on too many hits together, a block goes over growing shares of the corpus, told apart by a hash of the id:
+the k-th score found so far is a lower bound for every query, and tasks of the next share hand on only what reaches
+it.  So a shuffle holds about ``GROWTH x k`` hits a query, however many tasks there are.  Hits of a block are
+merged and written before the next one starts, and its broadcast is released.
 
 Scores that agree to nine decimals count as equal and are ordered by id.
 """
@@ -16,11 +16,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectormart.session import measured
+from vectormart.session import measured, work_folder, written
 
 RANK_DECIMALS = 9
+# Bytes of a query block, hits that may be shuffled at once, and growth of the shares of the corpus beyond that.
 MAX_QUERY_BYTES = 64 << 20
-CELL_BYTES = 64 << 20
+MOST_HITS = 20_000_000
+GROWTH = 64
 
 
 def _block_search(k, dim, metric, out_names, decimals=RANK_DECIMALS):
@@ -61,10 +63,10 @@ def _block_search(k, dim, metric, out_names, decimals=RANK_DECIMALS):
         nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         return table.filter(pa.array(nth < k))
 
-    def search(batches, q_ids, q_vectors, q_groups, skip_self):
-        """Yield the best k rows per query of all batches as (query, id, score, place)."""
+    def search(batches, q_ids, q_vectors, q_groups, skip_self, bound):
+        """Yield the best k rows per query of all batches as (query, id, score, place); places below the bound do not count."""
         n_queries = len(q_ids)
-        floor = np.full(n_queries, -np.inf)
+        floor = bound.copy()
         kept = None
         groups = None if q_groups is None else q_groups.unique().drop_null()
         group_code = None if q_groups is None else codes(q_groups, groups)
@@ -110,13 +112,13 @@ def _block_search(k, dim, metric, out_names, decimals=RANK_DECIMALS):
 
 def exact_knn(corpus, queries, k, dim, *, id_col="id", vector_col="vector", query_id="query_id",
               query_vector="vector", metric="cosine", exclude_self=False, exclude_group=None,
-              max_query_bytes=MAX_QUERY_BYTES):
+              max_query_bytes=MAX_QUERY_BYTES, most_hits=MOST_HITS):
     """The k best corpus rows of every query: (query_id, id, score, rank).
 
     ``exclude_self`` skips the row whose id equals the query's id.  ``exclude_group``
     names a column of both tables; rows that share the query's value are skipped, and
     a query without a value skips nothing.  Vectors of another length or with a
-    missing or infinite element take no part.
+    missing or infinite element take no part.  The search runs at once; its hits are written.
     """
     if k <= 0:
         return _empty_hits(corpus, queries, id_col, query_id)
@@ -132,13 +134,93 @@ def exact_knn(corpus, queries, k, dim, *, id_col="id", vector_col="vector", quer
         T.StructField("score", T.DoubleType()),
         T.StructField("place", T.DoubleType()),
     ])
-    most = max(1, max_query_bytes // (8 * dim))
-    block = queries.limit(most + 1).toArrow()
-    if block.num_rows <= most:
-        hits = _search_broadcast(corpus, block, k, dim, metric, exclude_self, hit_type)
-    else:
-        hits = _search_cells(corpus, queries, k, dim, metric, exclude_self, hit_type, most)
-    return rank_hits(hits, k, [F.col("place").desc(), F.col("id").asc()]).drop("place")
+    shares = None
+    found = []
+    for block in blocks_of(queries, max(1, max_query_bytes // (8 * dim))):
+        shares = shares or corpus_shares(corpus, block.num_rows, k, dim, most_hits)
+        found.append(_search_block(corpus, block, k, dim, metric, exclude_self, hit_type, shares))
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionAll(more)
+    # Queries of one id may stand in several blocks; they are one query.
+    return hits.drop("place") if len(found) == 1 else best_places(hits, k).drop("place")
+
+
+def best_places(hits, k):
+    return rank_hits(hits, k, [F.desc("place"), F.asc("id")])
+
+
+def blocks_of(df, rows):
+    """Arrow tables of at most ``rows`` rows each; only one of them is on the driver at a time."""
+    first = df.limit(rows + 1).toArrow()
+    if first.num_rows <= rows:
+        yield first
+        return
+    path = work_folder(df.sparkSession, "blocks")
+    df.repartition(-(-df.count() // rows)).write.option("maxRecordsPerFile", rows).parquet(path)
+    for file in df.sparkSession.read.schema(df.schema).parquet(path).inputFiles():
+        yield df.sparkSession.read.schema(df.schema).parquet(file).toArrow()
+
+
+def corpus_shares(corpus, n_queries, k, dim, most_hits):
+    """Ends of growing shares of the corpus, in parts of 2^30; the last is the whole.
+
+    One share is enough as long as all tasks together may hand on few enough hits.  Tasks and rows are guessed from the
+    planned bytes; a wrong guess costs time only.
+    """
+    whole = 1 << 30
+    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = 1 + size // (128 << 20)
+    if tasks * n_queries * k <= most_hits:
+        return [whole]
+    shares = [whole]
+    while shares[0] > 1 and shares[0] / whole * size / (4 * dim) > GROWTH * k:
+        shares.insert(0, max(1, shares[0] // GROWTH))
+    return shares
+
+
+def _search_block(corpus, block, k, dim, metric, exclude_self, hit_type, shares):
+    """The written best k hits of one block of queries, found share by share."""
+    matrix, search = _block_search(k, dim, metric, hit_type.names)
+    rows, q_matrix = matrix(block.column("vector"))
+    taken = block.take(pa.array(rows))
+    q_ids = taken.column("query_id").combine_chunks() if len(rows) else block.column("query_id").slice(0, 0).combine_chunks()
+    groups = taken.column("grp").combine_chunks() if "grp" in block.column_names else None
+    context = corpus.sparkSession.sparkContext
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    best, bound, last = None, np.full(len(rows), -np.inf), 0
+    for share in shares:
+        shared = context.broadcast((q_ids, q_matrix, groups, bound))
+        part = corpus if len(shares) == 1 else corpus.filter((place >= last) & (place < share))
+        hits = part.mapInArrow(_searching(search, shared, exclude_self), hit_type)
+        if best is not None:
+            hits = hits.unionAll(best.select(hit_type.names))
+        best = written(best_places(hits, k), "hits")
+        if share != shares[-1]:
+            bound = _bounds(best, k, q_ids)
+        last = share
+        shared.destroy()
+    return best
+
+
+def _searching(search, shared, exclude_self):
+    def run(batches):
+        q_ids, vectors, q_groups, bound = shared.value
+        parts = ((b.column("id"), b.column("vector"), b.column("grp") if q_groups is not None else None) for b in batches)
+        yield from search(parts, q_ids, vectors, q_groups, exclude_self, bound)
+
+    return run
+
+
+def _bounds(best, k, q_ids):
+    """The k-th place of every query of a block that has k hits, and no bound for the others."""
+    import pyarrow.compute as pc
+
+    known = best.filter(F.col("rank") == k).select("query_id", "place").toArrow()
+    if not known.num_rows:
+        return np.full(len(q_ids), -np.inf)
+    at = pc.index_in(q_ids, value_set=known.column("query_id").combine_chunks().cast(q_ids.type))
+    return pc.fill_null(known.column("place").combine_chunks().take(at), -np.inf).to_numpy(zero_copy_only=False)
 
 
 def knn_one(corpus, vector, k, **columns):
@@ -166,64 +248,6 @@ def _empty_hits(corpus, queries, id_col, query_id):
                        F.lit(0).alias("rank"))
 
 
-def _search_broadcast(corpus, block, k, dim, metric, exclude_self, hit_type):
-    matrix, search = _block_search(k, dim, metric, hit_type.names)
-    rows, q_matrix = matrix(block.column("vector"))
-    taken = block.take(pa.array(rows))
-    groups = taken.column("grp").combine_chunks() if "grp" in block.column_names else None
-    shared = corpus.sparkSession.sparkContext.broadcast(
-        (taken.column("query_id").combine_chunks(), q_matrix, groups)
-    )
-
-    def run(batches):
-        q_ids, vectors, q_groups = shared.value
-        parts = (
-            (b.column("id"), b.column("vector"), b.column("grp") if q_groups is not None else None)
-            for b in batches
-        )
-        yield from search(parts, q_ids, vectors, q_groups, exclude_self)
-
-    return corpus.mapInArrow(run, hit_type)
-
-
-def _search_cells(corpus, queries, k, dim, metric, exclude_self, hit_type, most):
-    """Search a query set that is too large to broadcast.
-
-    Queries and corpus are both cut by a hash of their ids into blocks of bounded size;
-    each pair of blocks is one cogrouped cell.  Ids are spread evenly, so no cell grows
-    with a popular value.
-    """
-    rows_per_cell = max(1, CELL_BYTES // (8 * dim))
-    q_blocks = -(-queries.count() // max(1, most // 2))
-    c_blocks = max(1, -(-corpus.count() // rows_per_cell))
-
-    def cells(df, key, own, other, n_own, n_other):
-        spread = df.withColumn(own, F.pmod(F.xxhash64(F.col(key)), F.lit(n_own)).cast("int"))
-        return spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    left = cells(corpus, "id", "cb", "qb", c_blocks, q_blocks)
-    right = cells(queries, "query_id", "qb", "cb", q_blocks, c_blocks)
-    matrix, search = _block_search(k, dim, metric, hit_type.names)
-    names = hit_type.names
-
-    def run(corpus_cell, query_cell):
-        rows, q_matrix = matrix(query_cell.column("vector"))
-        taken = query_cell.take(pa.array(rows))
-        has_group = "grp" in query_cell.column_names
-        groups = taken.column("grp").combine_chunks() if has_group else None
-        parts = (
-            (b.column("id"), b.column("vector"), b.column("grp") if has_group else None)
-            for b in corpus_cell.to_batches()
-        )
-        out = list(search(parts, taken.column("query_id").combine_chunks(), q_matrix, groups, exclude_self))
-        if out:
-            return pa.Table.from_batches(out)
-        return pa.table([taken.column("query_id").slice(0, 0), corpus_cell.column("id").slice(0, 0),
-                         pa.array([], pa.float64()), pa.array([], pa.float64())], names=names)
-
-    return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(run, hit_type)
-
-
 def with_payload(hits, corpus, id_col="id", prefix=""):
     """Put corpus columns beside each hit.
 
