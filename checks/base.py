@@ -96,6 +96,26 @@ CTE_MART = (
     + "] as vector_z from tracks t cross join stats)"
 )
 
+# Flattened documents of the tracks: what a reader must make of them, and the same columns of its result.
+FLAT = [f for f in FEATURES if f != "key_strength"]
+FLAT_SQL = f"""artist, album, title, date, genre, case when genre is not null then
+    case genre when 'Live' then genre else concat(genre, ', Live') end end as genre_csv,
+  cast(floor(hfc) as bigint) as tracknumber, cast(null as bigint) as discnumber, duration_sec,
+  cast(44100 as double) as sample_rate, 'mp3' as codec, false as lossless, cast(null as double) as replay_gain,
+  duration_sec as beats_count, key_key, key_scale, key_strength, {", ".join(FLAT)},
+  cast(3 as int) as mfcc_size, {sql6("bpm + hfc + zcr")} as mfcc_sum, cast(2 as int) as thpcp_size,
+  'essentia_music_v1' as features_version, '2.1' as essentia_version, 'extractor' as extracted_with,
+  cast(null as varchar) as mood_model, file_hash"""
+
+
+def flat_shown(flat, *more):
+    total = F.aggregate("mfcc_mean", F.lit(0.0), lambda s, x: s + x)
+    return flat.select(
+        "artist", "album", "title", "date", "genre", "genre_csv", "tracknumber", "discnumber", "duration_sec",
+        "sample_rate", "codec", "lossless", "replay_gain", "beats_count", "key_key", "key_scale", "key_strength", *FLAT,
+        F.size("mfcc_mean").alias("mfcc_size"), r6(total).alias("mfcc_sum"), F.size("thpcp").alias("thpcp_size"),
+        "features_version", "essentia_version", "extracted_with", "mood_model", "file_hash", *more)
+
 
 class Tables:
     """The given tables of one folder, and tables that Spark derives from them."""

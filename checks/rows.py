@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import CTE_CACHE, CTE_MART, query, r6, sql6, tracks_sql
+from checks.base import CTE_CACHE, CTE_MART, FLAT, FLAT_SQL, flat_shown, query, r6, sql6, tracks_sql
 from vectormart.fixed_values import FEATURES
 from vectormart.functions import documents as D
 from vectormart.functions.numbers import lenient_int
@@ -90,28 +90,11 @@ def first_block(t):
     return found.select("file_hash", "f.key", blank_scale.alias("scale"), r6(c("f.strength")).alias("strength"))
 
 
-FLAT = [f for f in FEATURES if f != "key_strength"]
-
-
-@query("flatten_features", tracks_sql(f"""
-select artist, album, title, date, genre, case when genre is not null then
-    case genre when 'Live' then genre else concat(genre, ', Live') end end as genre_csv,
-  cast(floor(hfc) as bigint) as tracknumber, cast(null as bigint) as discnumber, duration_sec,
-  cast(44100 as double) as sample_rate, 'mp3' as codec, false as lossless, cast(null as double) as replay_gain,
-  duration_sec as beats_count, key_key, key_scale, key_strength, {", ".join(FLAT)},
-  cast(3 as int) as mfcc_size, {sql6("bpm + hfc + zcr")} as mfcc_sum, cast(2 as int) as thpcp_size,
-  'essentia_music_v1' as features_version, '2.1' as essentia_version, 'extractor' as extracted_with,
-  cast(null as varchar) as mood_model, file_hash, 58 as n_columns from tracks"""))
+@query("flatten_features", tracks_sql(f"select {FLAT_SQL}, 58 as n_columns from tracks"))
 def flatten_features(t):
     docs = D.parse_documents(t.documents_text())
     flat = S.flatten_features(docs.withColumn("json_path", F.lit("a.json")).withColumn("extracted_at", F.lit("")))
-    total = F.aggregate("mfcc_mean", F.lit(0.0), lambda s, x: s + x)
-    return flat.select(
-        "artist", "album", "title", "date", "genre", "genre_csv", "tracknumber", "discnumber", "duration_sec",
-        "sample_rate", "codec", "lossless", "replay_gain", "beats_count", "key_key", "key_scale", "key_strength", *FLAT,
-        F.size("mfcc_mean").alias("mfcc_size"), r6(total).alias("mfcc_sum"), F.size("thpcp").alias("thpcp_size"),
-        "features_version", "essentia_version", "extracted_with", "mood_model", "file_hash",
-        F.lit(len(flat.columns)).alias("n_columns"))
+    return flat_shown(flat, F.lit(len(flat.columns)).alias("n_columns"))
 
 
 @query("provenance_cols", tracks_sql(

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import query, r6, sql6, tracks_sql
+from checks.base import FLAT_SQL, flat_shown, query, r6, sql6, tracks_sql
 from vectormart.fixed_values import FEATURES
 from vectormart.operators.mart import feature_stats, stats_table
 from vectormart.operators.names import artist_keys
 from vectormart.operators.staging import flatten_features
 from vectormart.operators.worklist import top_dirs
-from vectormart.session import work_folder
+from vectormart.session import work_folder, written
 from vectormart.sources import readers, writers
 
 PATH = "regexp_replace(url, '^https?://', '')"
@@ -35,21 +35,30 @@ def manifest(t):
     return kept.withColumn("path", F.substr("path", F.lit(6))).withColumn("dir_path", F.substr("dir_path", F.lit(6)))
 
 
-@query("scan_feature_json", tracks_sql("select file_hash, title, genre, bpm, zcr from tracks"))
+@query("scan_feature_json", tracks_sql(f"select {FLAT_SQL} from tracks"))
 def scan_feature_json(t):
     folder = work_folder(t.spark, "documents")
     docs = t.feature_documents().drop("file_hash")
     docs.repartition(t.spark.sparkContext.defaultParallelism).write.option("maxRecordsPerFile", 1).json(folder)
-    flat = flatten_features(readers.accepted(readers.scan_feature_json(t.spark, folder)))
-    return flat.select("file_hash", "title", "genre", "bpm", "zcr")
+    return flat_shown(flatten_features(readers.accepted(readers.scan_feature_json(t.spark, folder))))
 
 
-@query("scan_feature_lines", tracks_sql("select file_hash, title, genre, bpm, zcr from tracks"))
+@query("scan_feature_json_limit", "select 3 as documents, true as first")
+def scan_feature_json_limit(t):
+    """A limit reads the first files by path and no others."""
+    folder = work_folder(t.spark, "documents")
+    t.feature_documents().drop("file_hash").repartition(6).write.option("maxRecordsPerFile", 1).json(folder)
+    found = readers.accepted(readers.scan_feature_json(t.spark, folder, 3)).select("json_path")
+    names = t.spark.read.format("binaryFile").load(folder).select(F.col("path").alias("json_path")).orderBy("json_path").limit(3)
+    return found.join(names.withColumn("first", F.lit(True)), "json_path", "left").agg(
+        F.count("*").cast("int").alias("documents"), F.every(F.coalesce("first", F.lit(False))).alias("first"))
+
+
+@query("scan_feature_lines", tracks_sql(f"select {FLAT_SQL} from tracks"))
 def scan_feature_lines(t):
     folder = work_folder(t.spark, "documents")
     t.documents_text().write.text(folder)
-    flat = flatten_features(readers.accepted(readers.scan_feature_lines(t.spark, folder)))
-    return flat.select("file_hash", "title", "genre", "bpm", "zcr")
+    return flat_shown(flatten_features(readers.accepted(readers.scan_feature_lines(t.spark, folder))))
 
 
 @query("scan_features_parquet", "select p_partkey, p_name, p_type, p_retailprice from part")
@@ -60,11 +69,59 @@ def scan_features_parquet(t):
         t.spark, folder, "p_partkey bigint, p_name string, p_type string, p_retailprice double")
 
 
-@query("scan_file_manifest", f"with {CTE_MANIFEST} select path, rel_path, artist_dir, ext from manifest")
-def scan_file_manifest(t):
+@query("manifest_of", f"with {CTE_MANIFEST} select path, rel_path, artist_dir, ext from manifest")
+def manifest_of(t):
+    """The manifest of paths that a table has."""
     return manifest(t).select("path", "rel_path", "artist_dir", "ext")
 
 
+@query("scan_file_manifest", """
+with named as (select distinct url, md5(url) as h, regexp_extract(regexp_replace(url, '^https?://', ''), '^[^/?#:]+', 0) as host from pages),
+files as (select concat(host, '/', substr(h, 3, 2), '/', h, case substr(h, 1, 1)
+    when '0' then '.mp3' when '1' then '.MP3' when '2' then '.m4a' when '3' then '.flac' when '4' then '.wav'
+    when '5' then '.aiff' when '6' then '.aif' when '7' then '.m4p' when '8' then '.txt' when '9' then '.M4A'
+    when 'a' then '.jpg' when 'b' then '' else '.mp3' end) as rel_path,
+  cast(strpos('0123456789abcdef', substr(h, 2, 1)) - 1 as bigint) as length, host as artist_dir from named)
+select rel_path, artist_dir, length, lower(regexp_extract(rel_path, '\.([^./]*)$', 1)) as ext from files
+where lower(regexp_extract(rel_path, '\.([^./]*)$', 1)) in ('mp3', 'm4a', 'flac', 'wav', 'aiff', 'aif')""")
+def scan_file_manifest(t):
+    """Real files of every page, of 0 to 15 bytes, in a folder of its host, listed again."""
+    root = work_folder(t.spark, "library")
+    h = F.md5("url")
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in FILE_TYPES.items() for x in pair]), F.substring(h, 1, 1))
+    host = F.regexp_extract(F.regexp_replace("url", "^https?://", ""), "^[^/?#:]+", 0)
+    files = t.pages.select("url").distinct().select(
+        F.concat(host, F.lit("/"), F.substring(h, 3, 2), F.lit("/"), h, F.coalesce(kind, F.lit(".mp3"))).alias("name"),
+        F.conv(F.substring(h, 2, 1), 16, 10).cast("int").alias("length"))
+    made = written(files.repartition(8).mapInArrow(_writing(root), "name string"), "made")
+    made.count()
+    return readers.scan_file_manifest(t.spark, root).select("rel_path", "artist_dir", "length", "ext")
+
+
+FILE_TYPES = {"0": ".mp3", "1": ".MP3", "2": ".m4a", "3": ".flac", "4": ".wav", "5": ".aiff", "6": ".aif", "7": ".m4p",
+              "8": ".txt", "9": ".M4A", "a": ".jpg", "b": ""}
+
+
+def _writing(root):
+    """Write a file for every row, in the tasks, to any store that Arrow knows."""
+    address = root if "://" in root else "file://" + root.removeprefix("file:")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        files, top = FileSystem.from_uri(address)
+        for batch in batches:
+            for row in batch.to_pylist():
+                folder, _, _ = row["name"].rpartition("/")
+                files.create_dir(f"{top}/{folder}")
+                with files.open_output_stream(f"{top}/{row['name']}") as out:
+                    out.write(b"x" * row["length"])
+            yield pa.RecordBatch.from_arrays([batch.column("name")], names=["name"])
+
+    return run
+
+
 @query("scan_top_dirs", f"""select distinct string_split(p, '/')[1] as artist_dir
   from (select {PATH} as p from pages) x where contains(p, '/')""")
 def scan_top_dirs(t):

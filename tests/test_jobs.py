@@ -57,10 +57,10 @@ def test_file_listing(spark, tmp_path):
     root = str(tmp_path / "lib")
     for name in ("B/x.mp3", "A/b/y.FLAC", "A/z.m4p", "A/n.txt", "top.wav"):
         write(root, name, "x")
-    write(root, "B/empty.mp3", "")  # Spark's file sources do not list files without content
+    write(root, "B/empty.mp3", "")
     manifest = readers.scan_file_manifest(spark, root)
     got = sorted((r["rel_path"], r["artist_dir"], r["ext"], r["length"]) for r in manifest.collect())
-    assert got == [("A/b/y.FLAC", "A", "flac", 1), ("B/x.mp3", "B", "mp3", 1), ("top.wav", None, "wav", 1)]
+    assert got == [("A/b/y.FLAC", "A", "flac", 1), ("B/empty.mp3", "B", "mp3", 0), ("B/x.mp3", "B", "mp3", 1), ("top.wav", None, "wav", 1)]
     with pytest.raises(Exception):
         readers.scan_file_manifest(spark, str(tmp_path / "missing")).count()
 

@@ -226,6 +226,39 @@ def test_collection_life(spark):
         c.recreate(DIM, "hamming", "label string", "bigint")
 
 
+def test_replayed_batch_changes_nothing(spark):
+    """Writers s1 and s2 write one id in turn; s1's batch comes again after a rewrite, and after half of it was lost."""
+    c = Collection(spark, work_folder(spark, "c"))
+    c.init(DIM, "cosine", "label string", "bigint", buckets=3)
+
+    def points(ids, label):
+        return table(spark, point_rows(ids, label), extra=", label string")
+
+    assert c.upsert(points(range(9), "a"), writer="s1", batch=4) == 9
+    assert c.upsert(points([1, 20], "b"), writer="s2", batch=0) == 2
+    c.compact()
+    assert c.upsert(points(range(9), "old"), writer="s1", batch=4) == 0 and c.upsert(points([1], "old"), writer="s1", batch=3) == 0
+    assert {r["id"]: r["label"] for r in c.read().collect()} == {**dict.fromkeys(range(9), "a"), 1: "b", 20: "b"}
+    assert c.upsert(points([1], "c"), writer="s1", batch=5) == 1
+    # A bucket that has not taken a batch takes it when it is repeated; the others do not.
+    written = c.upsert(points(range(9), "d"), writer="s1", batch=5)
+    assert 0 < written < 9
+    labels = {r["id"]: r["label"] for r in c.read().collect()}
+    assert labels[1] == "c" and sum(x == "d" for x in labels.values()) == written
+    assert c.upsert(points([], "e"), writer="s1", batch=6) == 0 and c.read().count() == 10
+
+
+def test_search_of_a_collection(spark):
+    c = Collection(spark, work_folder(spark, "c"))
+    c.init(2, "cosine", "file_hash string, artist string, album string, title string, genre string, key_key string, key_scale string", "bigint")
+    rows = [(i, [1.0, i / 4], f"h{i}", "A", "B", f"t{i}", "Rock" if i % 2 else "Folk", None, "minor") for i in range(8)]
+    c.upsert(spark.createDataFrame(rows, "id long, vector array<double>, file_hash string, artist string, album string, title string, "
+                                   "genre string, key_key string, key_scale string"))
+    keys = spark.createDataFrame([("h0",), ("h7",), ("absent",)], "file_hash string")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["key"]) for r in c.similar(keys, 2, genre="Rock", key_key=None).collect())
+    assert got == [("h0", 1, 1, "-minor"), ("h0", 2, 3, "-minor"), ("h7", 1, 7, "-minor"), ("h7", 2, 5, "-minor")]
+
+
 def test_later_row_of_a_batch_wins(spark):
     old = table(spark, point_rows([1], "a"), extra=", label string")
     new = spark.createDataFrame([(1, [1.0] * DIM, "x", 1), (1, [2.0] * DIM, "y", 2), (2, [1.0] * DIM, "z", 0)],
@@ -243,6 +276,8 @@ def test_streaming_twice(spark, tmp_path):
     streams.stream_ingest(spark, folder, out, marks)
     streams.stream_ingest(spark, folder, out, marks)
     assert [r["file_hash"] for r in spark.read.parquet(out).collect()] == ["k1"]
+    refused = spark.read.parquet(out + "-rejects")
+    assert [(r["json_path"][-6:], r["reason"]) for r in refused.collect()] == [("b.json", "no JSON")]
     write(folder, "c.json", document("k2"))
     streams.stream_ingest(spark, folder, out, marks, files_per_batch=1)
     assert sorted(r["file_hash"] for r in spark.read.parquet(out).collect()) == ["k1", "k2"]

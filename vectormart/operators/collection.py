@@ -1,24 +1,30 @@
-"""Keyed vector collections kept as Parquet snapshots.
-
-A collection folder holds ``points/v<n>`` tables and a small ``log`` table with one
-row per commit.  An upsert writes only its own points as a new version; reading lays
-the newer versions over the last full one.  When the newer ids are few they are
-broadcast and the full table is not shuffled.  ``compact`` writes a new full table.
-Tables are never changed in place, so a failed task or a lost executor leaves the
-last committed state readable.
+"""Keyed vector collections in hash buckets of the id.
+
+The points of a collection lie in one partitioned Parquet dataset, a partition for each bucket.  An upsert reads the buckets
+that its ids fall into, lays its points over theirs, and overwrites those partitions and no others; so a reader scans
+one dataset and merges nothing.  Work is proportional to the touched buckets: a few points touch few.
+
+Every bucket also holds a mark for every named writer, the number of the last batch of it that the bucket has taken.  Points
+and marks of a bucket are replaced together, so a batch that is delivered again is dropped bucket by bucket, whatever was
+written in between, and one that was broken off half way is finished by a repetition.  Writers take turns; two that
+overwrite one bucket at the same time would lose points of one of them.
 """
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Observation
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vectormart import fixed_values as V
 from vectormart.functions.text import blank_to_null
 from vectormart.functions.vectors import norm, point_id, valid_vector, vector_raw
+from vectormart.operators.catalog import payload_filter, point_lookups
+from vectormart.operators.knn import exact_knn, with_payload
 from vectormart.operators.mart import frozen_zscore
+from vectormart.session import path_exists, written
 
-LOG_SCHEMA = "version bigint, kind string, dim int, metric string, points bigint, batch string"
+ABOUT = "dim int, metric string, buckets int, columns string"
+# Payload fields that results must have.
 AUDIO_PAYLOAD = ("file_hash", "artist", "album", "title", "date", "genre", "key_key", "key_scale",
                  "features_version", "vector_profile")
 TEXT_PAYLOAD = ("file_hash", "artist", "album", "title", "date", "genre", "key_key", "key_scale", "doc")
@@ -69,104 +75,116 @@ class Collection:
     def __init__(self, spark, path):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _log(self):
-        """Commits of the present generation; one row per commit, so always few."""
-        try:
-            rows = self.spark.read.schema(LOG_SCHEMA).parquet(self.path + "/log").collect()
-        except AnalysisException as problem:
-            if problem.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
-        rows.sort(key=lambda r: r["version"])
-        full = max((i for i, r in enumerate(rows) if r["kind"] == "full"), default=0)
-        return rows[full:]
-
-    def _commit(self, log, points, kind, dim, metric, batch=None):
-        version = log[-1]["version"] + 1 if log else 1
-        seen = Observation()
-        counted = points.observe(seen, F.count(F.lit(1)).alias("rows"))
-        counted.write.mode("overwrite").parquet(self._folder(version))
-        count = seen.get["rows"]
-        self._rows(1, LOG_SCHEMA, (version, kind, dim, metric, count, batch)).write.mode("append").parquet(
-            self.path + "/log")
-        return count
-
-    def _rows(self, n, ddl, values=None):
-        """n equal rows of a schema, built inside Spark."""
-        fields = StructType.fromDDL(ddl)
-        values = values or [None] * len(fields)
-        return self.spark.range(0, n, 1, 1).select(
-            *[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, values)])
-
-    def _folder(self, version):
-        return f"{self.path}/points/v{version:06d}"
+    def _about(self):
+        """Dimension, metric, buckets and columns, or None if there is no collection."""
+        if not path_exists(self.spark, self.path + "/about"):
+            return None
+        return self.spark.read.schema(ABOUT).parquet(self.path + "/about").first()
 
     def _present(self):
-        log = self._log()
-        if not log:
+        about = self._about()
+        if about is None:
             raise ValueError(f"no collection at {self.path}")
-        return log
+        return about
 
-    def init(self, dim, metric, payload, id_type="decimal(20,0)"):
-        """Create the collection unless it exists; ``payload`` is a DDL list of columns."""
-        log = self._log()
-        if not log:
-            self._start(log, dim, metric, payload, id_type)
-        return not log
+    def init(self, dim, metric, payload, id_type="decimal(20,0)", buckets=16):
+        """Create the collection unless it exists; ``payload`` is a DDL list of columns.
 
-    def recreate(self, dim, metric, payload, id_type="decimal(20,0)"):
-        """Start again from an empty collection."""
-        self._start(self._log(), dim, metric, payload, id_type)
+        Choose ``buckets`` so that one of them is a good file or a few: about as many as the collection has GB.
+        """
+        if self._about() is not None:
+            return False
+        self.recreate(dim, metric, payload, id_type, buckets)
+        return True
 
-    def _start(self, log, dim, metric, payload, id_type):
+    def recreate(self, dim, metric, payload, id_type="decimal(20,0)", buckets=16):
+        """Start again from an empty collection."""
         if metric not in ("cosine", "dot"):
             raise ValueError(f"unknown metric {metric}")
-        schema = f"id {id_type}, vector array<double>, {payload}, norm double"
-        self._commit(log, self._rows(0, schema), "full", dim, metric)
+        columns = f"id {id_type}, vector array<double>, {payload}, norm double, _writer string, _number bigint, bucket int"
+        schema = StructType.fromDDL(columns)
+        self._rows(0, schema).write.mode("overwrite").partitionBy("bucket").parquet(self.path + "/points")
+        self._rows(1, StructType.fromDDL(ABOUT), (dim, metric, buckets, schema.json())).write.mode("overwrite").parquet(self.path + "/about")
 
-    def upsert(self, points, seq=None, key=None, batch=None):
+    def _rows(self, n, schema, values=None):
+        """n equal rows of a schema, built inside Spark."""
+        return self.spark.range(0, n, 1, 1).select(
+            *[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(schema, values or [None] * len(schema))])
+
+    def _stored(self, about):
+        """Points and marks; a mark has no id."""
+        schema = StructType.fromJson(json.loads(about["columns"]))
+        return self.spark.read.schema(schema).parquet(self.path + "/points")
+
+    def _replace(self, rows, spread=True):
+        """Overwrite the buckets of ``rows`` and no others; a large bucket is written by several tasks."""
+        (rows.hint("rebalance", F.col("bucket")) if spread else rows).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path + "/points")
+
+    def upsert(self, points, seq=None, key=None, batch=None, writer=None):
         """Insert points or replace those of the same id; returns the number of ids written.
 
-        Points without a valid vector or key are skipped.  ``batch`` names the write:
-        a name that was committed before is not written again.
+        Points without a valid vector or key are skipped; of several for one id the last by ``seq`` counts.  ``writer`` names who writes and
+        ``batch`` is its growing number: a bucket that has taken this batch or a later one of the writer is left alone.  A
+        ``batch`` without a writer is a name of its own that is written once; its mark stays for good, so use numbers for many.
         """
-        log = self._present()
-        dim, metric = log[-1]["dim"], log[-1]["metric"]
-        if batch is not None and any(r["batch"] == batch for r in log):
-            return 0
-        good = last_per_id(valid_points(points, dim, key), seq)
+        about = self._present()
+        if batch is not None and writer is None:
+            writer, batch = batch, 0
+        good = last_per_id(valid_points(points, about["dim"], key), seq)
         vector = F.col("vector").cast("array<double>")
-        normed = good.withColumn("vector", vector).withColumn("norm", norm(F.col("vector")))
-        return self._commit(log, normed, "part", dim, metric, batch)
+        new = good.withColumn("vector", vector).withColumn("norm", norm(F.col("vector"))).withColumn("bucket", self._bucket(about))
+        new = written(new, "upsert")
+        # One row for each bucket at most.
+        touched = {r["bucket"]: r["count"] for r in new.groupBy("bucket").count().collect()}
+        stored = self._stored(about)
+        if writer is not None and touched:
+            taken = stored.filter(F.col("id").isNull() & (F.col("_writer") == writer) & (F.col("_number") >= batch) & F.col("bucket").isin(*touched))
+            for r in taken.select("bucket").distinct().collect():
+                del touched[r["bucket"]]
+        if not touched:
+            return 0
+        new = new.filter(F.col("bucket").isin(*touched))
+        old = stored.filter(F.col("bucket").isin(*touched))
+        rows = lay_over(old.filter("id is not null"), new.withColumns({"_writer": F.lit(None).cast("string"), "_number": F.lit(None).cast("bigint")}))
+        others = old.filter(F.col("id").isNull() & ~F.col("_writer").eqNullSafe(F.lit(writer)))
+        rows = rows.unionByName(others)
+        if writer is not None:
+            marks = self._rows(1, stored.schema, [writer if c == "_writer" else batch if c == "_number" else None for c in stored.columns])
+            rows = rows.unionByName(marks.withColumn("bucket", F.explode(F.array(*[F.lit(b) for b in sorted(touched)]))))
+        self._replace(rows)
+        return sum(touched.values())
+
+    def _bucket(self, about):
+        return F.pmod(F.xxhash64("id"), F.lit(about["buckets"])).cast("int")
 
     def read(self):
         """The current points."""
-        return self._read(self._present())
-
-    def _read(self, log):
-        full = self.spark.read.parquet(self._folder(log[0]["version"]))
-        newer = None
-        for row in log[1:]:
-            table = self.spark.read.schema(full.schema).parquet(self._folder(row["version"]))
-            table = table.withColumn("_version", F.lit(row["version"]))
-            newer = table if newer is None else newer.unionByName(table)
-        if newer is None:
-            return full
-        newest = last_per_id(newer, "_version") if len(log) > 2 else newer.drop("_version")
-        return newest if log[0]["points"] == 0 else lay_over(full, newest)
+        return self._stored(self._present()).filter("id is not null").drop("_writer", "_number", "bucket")
 
     def compact(self):
-        """Write the current points as a new full table, so that readers merge nothing."""
-        log = self._present()
-        batches = [r["batch"] for r in log if r["batch"]]
-        return self._commit(log, self._read(log), "full", log[-1]["dim"], log[-1]["metric"],
-                            batches[-1] if batches else None)
+        """Write every bucket anew, so that its files are few and large; points and marks stay."""
+        self._replace(self._stored(self._present()))
 
     def info(self):
         """Dimension, metric and number of points."""
-        log = self._present()
-        return self._read(log).agg(F.count("*").alias("points")).select(
-            F.lit(log[-1]["dim"]).alias("dim"), F.lit(log[-1]["metric"]).alias("metric"), "points")
+        about = self._present()
+        return self.read().agg(F.count("*").alias("points")).select(
+            F.lit(about["dim"]).alias("dim"), F.lit(about["metric"]).alias("metric"), "points")
+
+    def similar(self, keys, k, key="file_hash", **wanted):
+        """(query_id, rank, id, score, file_hash, artist, title, album, genre, key) of the k points most like each key's.
+
+        ``keys`` is a table with the keys in its column ``key``; ``wanted`` are payload values that hits must have, checked before
+        the search.  A key that is not stored has no hits; like any point, the key's own is its own best hit.
+        """
+        about, points = self._present(), self.read()
+        seeds = point_lookups(points, key, keys.select(key).distinct())
+        queries = seeds.select(F.col(key).alias("query_id"), "vector")
+        hits = exact_knn(payload_filter(points, **wanted), queries, k, about["dim"], metric=about["metric"])
+        placed = with_payload(hits, points.drop("vector", "norm"))
+        tone = F.concat_ws("-", F.coalesce("key_key", F.lit("")), F.coalesce("key_scale", F.lit("")))
+        return placed.select("query_id", "rank", "id", "score", "file_hash", "artist", "title", "album", "genre", tone.alias("key"))
 
 
 def collection_upsert(old, new, dim, seq=None):

@@ -1,5 +1,7 @@
 """Reading feature documents, listings and lookup files."""
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from vectormart.fixed_values import FLAT_COLUMNS
 from vectormart.functions.documents import parse_documents
 from vectormart.functions.text import relative_path, top_dir
 from vectormart.operators.worklist import audio_files
+from vectormart.sources.listing import Listing
 
 FLAT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in FLAT_COLUMNS)
 ARTIST_MAP_SCHEMA = "artist_raw string, canonical_name string, mbid string"
@@ -36,11 +39,16 @@ def scan_feature_json(spark, folder, limit=None):
     ``accepted`` and ``rejected``.
     """
     # A name filter lists the folder once; a path pattern would become one path per file.
-    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    found = file_provenance(files)
-    if limit is not None:
-        found = found.orderBy("json_path").limit(limit)
-    return parse_documents(found)
+    paths = folder if limit is None else first_files(spark, folder, "*.json", limit)
+    if not paths:
+        return parse_documents(file_provenance(spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).limit(0)))
+    return parse_documents(file_provenance(spark.read.option("pathGlobFilter", "*.json").text(paths, wholetext=True)))
+
+
+def first_files(spark, folder, pattern, limit):
+    """The first ``limit`` file paths in order, written so that no character counts as a pattern; nothing is opened for it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", r["path"]) for r in files.orderBy("path").limit(limit).collect()]
 
 
 def scan_feature_lines(spark, path):
@@ -53,8 +61,9 @@ def accepted(scanned):
 
 
 def rejected(scanned):
-    """Paths of documents that could not be parsed, for the log."""
-    return scanned.filter("doc is null").select("json_path", F.length("value").alias("characters"))
+    """Paths of documents that could not be parsed, their length and why, for the log."""
+    reason = F.when(F.trim("value") == "", "empty").otherwise("no JSON")
+    return scanned.filter("doc is null").select("json_path", F.length("value").alias("characters"), reason.alias("reason"))
 
 
 def scan_features_parquet(spark, folder, schema=FLAT_SCHEMA):
@@ -63,9 +72,9 @@ def scan_features_parquet(spark, folder, schema=FLAT_SCHEMA):
 
 
 def listing(spark, root):
-    """Recursive listing of the files that have content; the contents are never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", "length", F.col("modificationTime").alias("mtime"))
+    """Recursive listing of all files, empty ones too: path, length, mtime.  Folders are shared out; contents are never read."""
+    spark.dataSource.register(Listing)
+    return spark.read.format("listing").load(root if ":" in root else "file:" + root)
 
 
 def scan_file_manifest(spark, root):

@@ -1,12 +1,14 @@
 """Incremental runs as Structured Streaming jobs.
 
-Both jobs take what is new and stop (``availableNow``).  Their checkpoint remembers
-what was done, so a second run adds nothing and a failed run resumes.
+Both jobs take what is new and stop (``availableNow``).  Their checkpoint remembers what was done, so a second run adds
+only what arrived since, and a failed run resumes.
 """
 
+from pyspark import StorageLevel
+
 from vectormart.functions.documents import parse_documents
 from vectormart.operators.staging import flatten_features
-from vectormart.sources.readers import accepted, file_provenance
+from vectormart.sources.readers import accepted, file_provenance, rejected
 
 
 def _finish(query):
@@ -14,24 +16,43 @@ def _finish(query):
     return query
 
 
-def stream_ingest(spark, folder, out, checkpoint, files_per_batch=None):
-    """Flatten feature documents that arrived since the last run into a Parquet dataset."""
+def stream_ingest(spark, folder, out, checkpoint, files_per_batch=None, rejects=None, pattern="*.json"):
+    """Flatten feature documents that arrived since the last run; what cannot be read goes to a dataset of its own.
+
+    Accepted rows go to ``out``, and path, length and reason of the others to ``rejects`` (by default ``out`` with ``-rejects``).
+    Both come from one parse.  A batch overwrites a folder of its own, named after the checkpoint and its number, so
+    one that is delivered again leaves each document once in either dataset.
+    """
+    rejects = rejects or out.rstrip("/") + "-rejects"
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    texts = reader.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    flat = flatten_features(accepted(parse_documents(file_provenance(texts))))
+    texts = file_provenance(reader.option("pathGlobFilter", pattern).text(folder, wholetext=True))
+
+    def write(batch, number):
+        session = batch.sparkSession
+        place = f"run={session.sparkContext.getLocalProperty('sql.streaming.queryId')}/batch={number}"
+        # A lost block is parsed again from its files.
+        parsed = parse_documents(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            flatten_features(accepted(parsed)).write.mode("overwrite").parquet(f"{out.rstrip('/')}/{place}")
+            rejected(parsed).write.mode("overwrite").parquet(f"{rejects}/{place}")
+        finally:
+            parsed.unpersist()
+
     return _finish(
-        flat.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(out)
-    )
+        texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def stream_upsert(points, collection, checkpoint, seq=None, key=None, name="upsert"):
-    """Upsert streamed points; a batch that is delivered twice is written once."""
+    """Upsert streamed points as the writer ``name``, whose batches are numbered by the checkpoint.
+
+    A batch that is delivered again changes nothing, whatever other writers wrote in between.  A stream that starts
+    over with a new checkpoint needs a new name.
+    """
 
     def write(batch, number):
-        collection.upsert(batch, seq=seq, key=key, batch=f"{name}-{number}")
+        collection.upsert(batch, seq=seq, key=key, batch=number, writer=name)
 
     return _finish(
         points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
