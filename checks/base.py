@@ -85,17 +85,21 @@ def r6(column, digits=6):
     return F.round(column, digits) + F.lit(0.0)
 
 
-# The mart in SQL, shared by several checks.
+# The mart in SQL, shared by several checks: features as rows, one group per feature, and back.
+_PICK = "max({value}) filter (feature = '{f}') as {name}"
+CTE_STATS = (
+    f"long as (unpivot (select file_hash, {', '.join(FEATURES)} from tracks) on {', '.join(FEATURES)} into name feature value value), "
+    "spread as (select feature, avg(value) as m, stddev_samp(value) as s from long group by feature), "
+    "stats as (select " + ", ".join(_PICK.format(value=v, f=f, name=f + end) for f in FEATURES for v, end in (("m", "_mean"), ("s", "_std")))
+    + " from spread)")
 CTE_MART = (
-    "stats as (select "
-    + ", ".join(f"avg({f}) as {f}_mean, stddev_samp({f}) as {f}_std" for f in FEATURES)
-    + " from tracks), mart as (select t.*, "
-    + ", ".join(f"({f} - {f}_mean) / nullif({f}_std, 0) as {f}_z" for f in FEATURES)
-    + ", ["
-    + ", ".join(f"({f} - {f}_mean) / nullif({f}_std, 0)" for f in FEATURES)
-    + "] as vector_z from tracks t cross join stats)"
+    CTE_STATS + ", scored as (select file_hash, feature, (value - m) / nullif(s, 0) as z from long join spread using (feature)), "
+    "wide as (select file_hash, " + ", ".join(_PICK.format(value="z", f=f, name=f + "_z") for f in FEATURES)
+    + " from scored group by file_hash), mart as (select t.*, wide.* exclude (file_hash), ["
+    + ", ".join(f"{f}_z" for f in FEATURES) + "] as vector_z from tracks t join wide using (file_hash))"
 )
 
+
 # Flattened documents of the tracks: what a reader must make of them, and the same columns of its result.
 FLAT = [f for f in FEATURES if f != "key_strength"]
 FLAT_SQL = f"""artist, album, title, date, genre, case when genre is not null then

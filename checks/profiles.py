@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import CTE_CACHE, query, r6, sql6, tracks_sql
+from checks.base import CTE_CACHE, CTE_STATS, query, r6, sql6, tracks_sql
 from checks.matching import MATCH, PAIRS
 from checks.sinks import supplier_match
 from vectormart.fixed_values import FEATURES
@@ -12,10 +12,11 @@ from vectormart.operators import names as N
 from vectormart.operators import profile as P
 from vectormart.operators import staging as S
 from vectormart.operators import worklist as W
+from vectormart.session import written
 
 
 @query("feature_stats", tracks_sql("select " + ", ".join(
-    f"{sql6(f'avg({f})', 9)} as {f}_mean, {sql6(f'stddev_samp({f})', 9)} as {f}_std" for f in FEATURES) + " from tracks"))
+    f"{sql6(f + end, 9)} as {f}{end}" for f in FEATURES for end in ("_mean", "_std")) + " from stats", CTE_STATS))
 def feature_stats(t):
     stats = M.feature_stats(t.tracks)
     return stats.select(*[r6(F.col(c), 9).alias(c) for c in stats.columns])
@@ -109,7 +110,8 @@ def top_values(t):
     f"select '{f}' as feature, cast({p} as double) as p, {sql6(f'quantile_cont({f}, {p})')} as quantile from tracks"
     for f in FEATURES for p in (0.1, 0.5, 0.9))))
 def feature_quantiles(t):
-    return P.feature_quantiles(t.tracks).withColumn("quantile", r6(F.col("quantile")))
+    stored = written(t.tracks.select(*FEATURES))  # quantiles are taken of a stored mart
+    return P.feature_quantiles(stored).withColumn("quantile", r6(F.col("quantile")))
 
 
 @query("price_quantiles", " union all ".join(

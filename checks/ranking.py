@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks import vectors as E
 from checks.base import query, r6, sql6, tracks_sql
 from vectormart.operators import catalog, paging
+from vectormart.operators import knn as K
 from vectormart.operators import retrieval as R
 from vectormart.operators import staging as S
 
@@ -26,9 +27,14 @@ def dedup_copies(t):
     return S.dedup_latest(t.copies, duration="track_seconds").select("file_hash", "copy_nr", "track_seconds")
 
 
-@query("neighbor_rank", E.top_sql(10))
+@query("neighbor_rank", """select label as query_id, vec_id as id, cast(row_number() over (
+  partition by label order by list_sum(list_transform(embedding, lambda x: cast(x as double))) desc, vec_id) as int) as rank
+from embeddings qualify rank <= 12""")
 def neighbor_rank(t):
-    return E.shown(E.knn(t, 10))
+    """Ranks of given scores: every embedding is a hit of its label, scored by the sum of its numbers."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    hits = t.embeddings.select(F.col("label").alias("query_id"), F.col("vec_id").alias("id"), total.alias("score"))
+    return K.rank_hits(hits, 12).select("query_id", "id", "rank")
 
 
 @query("context_number", """
@@ -76,12 +82,20 @@ def limit_rows(t):
     return paging.limit_rows(t.part.select("p_partkey", "p_name"), 100, "p_partkey")
 
 
-@query("random_track", "select 1 as n, true as known")
+@query("random_track", tracks_sql("""select count(*) as known, count(distinct file_hash) as different, true as repeatable, true as varied
+from (select file_hash from tracks order by file_hash limit 6)"""))
 def random_track(t):
-    one = catalog.random_track(t.tracks.select("file_hash"), seed=11)
-    known = t.part.select(F.md5(F.col("p_partkey").cast("string")).alias("file_hash"))
-    found = one.join(known, "file_hash", "left_semi")
-    return found.agg(F.count("*").cast("int").alias("n"), (F.count("*") == 1).alias("known"))
+    """Six draws without replacement are six tracks of the table; a seed repeats its draw, and seeds differ."""
+    rest, drawn = t.tracks.select("file_hash"), []
+    for seed in range(6):
+        drawn.append(catalog.random_track(rest, seed=seed).first()["file_hash"])
+        rest = rest.filter(F.col("file_hash") != drawn[-1])
+    keys = t.tracks.select("file_hash")
+    again = catalog.random_track(keys, seed=0).first()["file_hash"] == drawn[0]
+    others = len({catalog.random_track(keys, seed=s).first()["file_hash"] for s in range(4)}) > 1
+    known = t.tracks.filter(F.col("file_hash").isin(drawn))
+    return known.agg(F.count("*").alias("known"), F.count_distinct("file_hash").alias("different"),
+                     F.lit(again).alias("repeatable"), F.lit(others).alias("varied"))
 
 
 @query("resort_hits", f"""with {E.SCORED}, back as (select query_id, id, score, row_number() over (

@@ -1,5 +1,6 @@
 """Checks of similarity search and retrieval jobs."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import vectors as E
@@ -8,6 +9,7 @@ from checks.text import DOC
 from vectormart import fixed_values as V
 from vectormart.functions import vectors as X
 from vectormart.functions.labels import track_document
+from vectormart.functions.text import cache_key
 from vectormart.operators import knn as K
 from vectormart.operators import retrieval as R
 from vectormart.operators.catalog import point_lookups
@@ -164,6 +166,22 @@ def embed_documents(t):
     return vectors.select("doc_id", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
+def choosy(texts):
+    """A model that refuses texts with an at sign and sometimes gives too short a vector."""
+    if any("@" in text for text in texts):
+        raise ValueError("refused")
+    return [[float(len(text))] if len(text) % 10 == 3 else [float(len(text)), 1.0] for text in texts]
+
+
+@query("embed_failures", """select doc_id, case when contains(text, '@') or length(text) % 10 = 3 then null else cast(length(text) as double) end as n,
+  case when contains(text, '@') then 'refused' when length(text) % 10 = 3 then '1 numbers instead of 2' end as error
+from documents where text is not null""")
+def embed_failures(t):
+    """What a failing model makes of every text: a vector or the reason why there is none."""
+    attempts = R.embed_attempts(t.documents, choosy, 2, key="doc_id", text="text")
+    return attempts.select("doc_id", F.col("vector")[0].alias("n"), "error")
+
+
 @query("hashed_text_vectors", tracks_sql("select file_hash, 768 as dim, 1.0::double as length from tracks"))
 def hashed_text_vectors(t):
     """The default text embedding of every track's sentences: unit vectors of 768 elements."""
@@ -193,10 +211,24 @@ def rag_context(t):
     return R.rag_context(document_hits(t)).select("query_id", F.md5("context").alias("context_md5"))
 
 
-RAG = """concat('You recommend music. Someone asked: "', query_id, '?"', chr(10), chr(10),
-  'These tracks of their collection fit best:', chr(10), chr(10), context, chr(10), chr(10),
-  'Using only the tracks above, write a short and friendly recommendation. ',
-  'Name tracks by artist and title, and invent none.')"""
+@query("rag_context_budget", f"""with {CTE_CONTEXT}, texts as (select query_id, rank,
+  concat(rank, '. ', artist, ' — ', title, ' (', album, ')' || chr(10) || '   ', doc) as line from hits where rank <= 5),
+fit as (select *, sum(length(line) + 1) over (partition by query_id order by rank) - 1 as upto from texts)
+select query_id, md5(string_agg(line, chr(10) order by rank)) as context_md5, count(*) as lines from fit
+where upto <= 60000 or rank = 1 group by query_id""")
+def rag_context_budget(t):
+    """Every document of a source is a hit; a block takes the first five of them that fit."""
+    by_length = Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), F.col("doc_id").asc())
+    hits = t.documents.select(
+        F.col("source").alias("query_id"), F.col("lang").alias("artist"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"),
+        F.substring(F.md5("text"), 1, 6).alias("album"), F.col("text").alias("doc"), "n_chars", "doc_id")
+    blocks = R.rag_context(hits.withColumn("rank", F.row_number().over(by_length)), k=5, budget=60_000)
+    lines = F.size(F.regexp_extract_all("context", F.lit(r"(?m)^(\d+\. [a-z]+ — t\d+ \([0-9a-f]{6}\))$"), 1)).cast("long")
+    return blocks.select("query_id", F.md5("context").alias("context_md5"), lines.alias("lines"))
+
+
+RAG = """concat('Request: "', query_id, '?"', chr(10), chr(10), 'Candidates, best first:', chr(10), context, chr(10), chr(10),
+  'Reply with a recommendation of at most five sentences. Every track in it has to be one of the numbered candidates; give its number.')"""
 
 
 @query("rag_prompt", f"with {CTE_CONTEXT} select query_id, md5({RAG}) as prompt_md5, length({RAG}) as n from ctx")
@@ -217,11 +249,9 @@ ctx as (select a.file_hash as query_id, a.artist, a.title, a.album, string_agg({
         round(list_cosine_similarity(a.vector, b.vector), 9) desc, b.file_hash) as rank
     from eval_seeds s join corpus a on a.file_hash = s.file_hash cross join corpus b) r
   join corpus b on b.file_hash = r.id join corpus a on a.file_hash = r.q where r.rank <= 5 group by 1, 2, 3, 4)
-select query_id, md5(concat('You know music well. Someone explores tracks that resemble:', chr(10), chr(10), '  ',
-  artist, ' — ', title, ' (', album, ')', chr(10), chr(10),
-  'The closest matches by tempo, key, energy and groove are:', chr(10), chr(10), c, chr(10), chr(10),
-  'Say in two or three sentences what they have in common with it. Mention genre, mood, energy ',
-  'or tempo, name at least two matches by artist and title, and invent none.')) as prompt_md5 from ctx""")
+select query_id, md5(concat('Seed track: ', artist, ' — ', title, ' (', album, ')', chr(10), chr(10),
+  'Numbered neighbours in feature space:', chr(10), c, chr(10), chr(10), 'Write one paragraph on which of these neighbours ',
+  'a listener of the seed track should hear first, and why, citing numbers.')) as prompt_md5 from ctx""")
 def similarity_prompt(t):
     corpus, wanted = E.eval_tables(t)
     seeds = measured(point_lookups(corpus, "file_hash", wanted))
@@ -257,19 +287,41 @@ from kept where role = 'hero' or place <= 5"""
 
 @query("answer_cards", CARDS)
 def answer_cards(t):
-    from vectormart.functions.text import cache_key
-
     corpus, wanted = E.eval_tables(t)
     queries = point_lookups(corpus, "file_hash", wanted).select(F.col("file_hash").alias("query_id"), "vector")
     hits = K.with_payload(K.exact_knn(corpus, queries, 10, E.DIM, id_col="file_hash"), corpus.drop("vector"),
                           "file_hash")
-    pairs = corpus.select("artist", "album").distinct()
+    cards = R.answer_cards(hits.withColumnRenamed("id", "file_hash").withColumn("date", F.lit("1970-01-01")), art_cache(corpus))
+    return cards.withColumn("score", r6(F.col("score")))
+
+
+def art_cache(corpus):
     hit = F.substring(F.md5(F.lower("artist")), 1, 1) < "5"
-    cache = pairs.select(
+    return corpus.select("artist", "album").distinct().select(
         cache_key(F.col("artist"), F.col("album")).alias("cache_key"),
         F.when(hit, F.concat(F.lit("https://art.example/"), F.lower("artist"))).alias("artwork_url"),
         F.when(hit, "hit").otherwise("miss").alias("status"))
-    cards = R.answer_cards(hits.withColumnRenamed("id", "file_hash").withColumn("date", F.lit("1970-01-01")), cache)
+
+
+@query("more_like", f"""with {E.CTE_EVAL},
+r as (select s.file_hash as query_id, a.artist as seed_artist, a.title as seed_title, a.album as seed_album, b.*,
+    list_cosine_similarity(a.vector, b.vector) as score, row_number() over (partition by s.file_hash order by
+      round(list_cosine_similarity(a.vector, b.vector), 9) desc, b.file_hash) as nth
+  from eval_seeds s join corpus a on a.file_hash = s.file_hash cross join corpus b),
+near as (select *, row_number() over (partition by query_id order by nth) as rank from r
+  where nth <= 16 and file_hash <> query_id and album <> seed_album),
+art as (select *, case when substr(md5(lower(artist)), 1, 1) < '5' then concat('https://art.example/', lower(artist))
+  end as url from near where rank <= 5),
+led as (select *, row_number() over (partition by query_id order by (url is not null) desc, rank) as lead from art)
+select query_id, cast(rank as int) as rank, case when lead = 1 then 'hero' else 'supporting' end as role, url as artwork_url,
+  {sql6("score")} as score, file_hash, title, artist, album, '1970' as year, genre,
+  trim(concat(coalesce(key_key, ''), ' ', key_scale)) as key,
+  concat('Seed track: ', seed_artist, ' — ', seed_title, ' (', seed_album, ')') as answer from led""")
+def more_like(t):
+    """Seeds, neighbours without seed and album, prompts, answers and scored cards in one job."""
+    corpus, wanted = E.eval_tables(t)
+    dated = corpus.withColumn("date", F.lit("1970-01-01"))
+    _, cards = jobs.more_like(dated, wanted.select("file_hash"), lambda prompt: prompt.split("\n")[0], art_cache(corpus), 5, E.DIM)
     return cards.withColumn("score", r6(F.col("score")))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import CTE_CACHE, CTE_MART, FLAT, FLAT_SQL, flat_shown, query, r6, sql6, tracks_sql
+from checks.base import CTE_CACHE, CTE_MART, CTE_STATS, FLAT, FLAT_SQL, flat_shown, query, r6, sql6, tracks_sql
 from vectormart.fixed_values import FEATURES
 from vectormart.functions import documents as D
 from vectormart.functions.numbers import lenient_int
@@ -194,7 +194,7 @@ def stats_cross_join(t):
 
 @query("frozen_zscore", tracks_sql(exploded([
     f"coalesce(({f} - {f}_mean) / nullif({f}_std, 0), {f} - {f}_mean)" for f in FEATURES
-]), CTE_MART.replace("select t.*", "select t.*, s_.*").replace("cross join stats)", "cross join stats s_)")))
+]), CTE_STATS + ", mart as (select t.*, s.* from tracks t cross join stats s)"))
 def frozen_zscore(t):
     frozen = M.stats_table(M.feature_stats(t.tracks))
     return long_vector(M.frozen_zscore(t.tracks, frozen), "vector")

@@ -164,3 +164,13 @@ def test_art_response(column):
         '{"results":[]}', "{}", "broken", None,
     ]
     assert column(given, lookup.parse_art_response) == [big, None, None, None, None]
+
+
+def test_folding_equals_the_character_tables(spark):
+    import unicodedata
+
+    given = ["", None, "Björk", "ǺǼ ﬁ ①", "e\u0301\u0327x", "İstanbul", "कि", "a\u20dd", "한글", "Ω\u0345"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, x string").repartition(3)
+    got = [r["y"] for r in df.select("i", X.ascii_fold(F.col("x")).alias("y")).orderBy("i").collect()]
+    want = ["".join(c for c in unicodedata.normalize("NFKD", v or "") if not unicodedata.combining(c)) for v in given]
+    assert [g.lower() for g in got] == [w.lower() for w in want]

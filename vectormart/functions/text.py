@@ -1,8 +1,8 @@
 """String expressions.  All run inside the JVM except the accent folding helper."""
 
-from collections.abc import Iterator
+import functools
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,24 +43,30 @@ def strict_key(name) -> Column:
     return F.lower(collapse_ws(strip_feat(name)))
 
 
+@functools.cache
+def _accents():
+    """A pattern of all characters that combine with the one before them, derived from the character tables."""
+    import sys
+    import unicodedata
+
+    points = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    starts = [c for c in points if not unicodedata.combining(chr(c - 1))]
+    ends = [c for c in points if not unicodedata.combining(chr(c + 1))]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]+"
+
+
 def ascii_fold(text) -> Column:
     """Decompose letters, drop their accents, lower-case; NULL becomes empty."""
 
-    @F.pandas_udf("string")
-    def drop_accents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import unicodedata
-
-        def fold(value):
-            if value is None or value.isascii():
-                return value
-            letters = unicodedata.normalize("NFKD", value)
-            # A text holds few different accents, so each is removed in one fast pass.
-            for accent in filter(unicodedata.combining, set(letters)):
-                letters = letters.replace(accent, "")
-            return letters
-
-        for batch in batches:
-            yield batch.map(fold, na_action="ignore")
+    @F.arrow_udf("string")
+    def drop_accents(texts: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        foreign = pc.invert(pc.string_is_ascii(texts))
+        if not pc.any(foreign, min_count=0).as_py():
+            return texts
+        letters = pc.utf8_normalize(texts.filter(foreign), form="NFKD")
+        return pc.replace_with_mask(texts, foreign, pc.replace_substring_regex(letters, _accents(), ""))
 
     return F.lower(drop_accents(F.coalesce(text, F.lit(""))))
 

@@ -1,5 +1,6 @@
 """Profiles of a feature table."""
 
+import math
 from functools import reduce
 
 from pyspark.sql import Window
@@ -74,58 +75,59 @@ def model_row_counts(models):
 def feature_quantiles(df, probabilities=(0.1, 0.5, 0.9), features=FEATURES, accuracy=10_000):
     """Exact interpolated quantiles of every feature without gathering a feature in one task.
 
-    1. A bounded sketch brackets each quantile between two values of the data.
-    2. One pass counts the rows below each bracket and keeps the nearest value on
-       either side of it.
-    3. Only rows inside a bracket, about 4 in ``accuracy``, are counted per distinct
-       value and per slice of the bracket; the slices that hold the wanted ranks are
-       walked in order.
-    """
-    long = df.select(
-        F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]))
-    ).filter("value is not null")
-    margin = 2.0 / accuracy
-    edges = [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
-    wanted = F.array(*[
-        F.struct(
-            F.lit(float(p)).alias("p"),
-            F.col("edges")[i].alias("low"),
-            F.col("edges")[i + len(probabilities)].alias("high"),
-        )
-        for i, p in enumerate(probabilities)
-    ])
-    # Brackets, targets and the rows inside are few and written, so each pass runs once.
-    brackets = measured(
-        long.groupBy("feature")
-        .agg(F.percentile_approx("value", edges, accuracy).alias("edges"))
-        .select("feature", F.inline(wanted))
-    )
-    placed = long.join(F.broadcast(brackets), "feature")
-    value, low, high = F.col("value"), F.col("low"), F.col("high")
-    counts = placed.groupBy("feature", "p").agg(
-        F.count("*").alias("n"),
-        F.count_if(value < low).alias("below"),
-        F.max(F.when(value < low, value)).alias("value_before"),
-        F.min(F.when(value > high, value)).alias("value_after"),
-    )
-    position = F.col("p") * (F.col("n") - 1)
-    targets = measured(counts.select(
-        "*", F.floor(position).alias("rank_low"), F.ceil(position).alias("rank_high"),
-        (position - F.floor(position)).alias("fraction"),
-    ))
-    inside = measured(
-        placed.filter((value >= low) & (value <= high))
-        .groupBy("feature", "p", "value", _slice(value, low, high).alias("slice")).agg(F.count("*").alias("copies"))
-    )
-    found = _walk(inside, targets)
-    rejoined = targets.join(F.broadcast(found), ["feature", "p"], "left")
-
-    def settled(at, rank):
-        outside = F.when(F.col(rank) < F.col("below"), F.col("value_before")).otherwise(F.col("value_after"))
-        return F.coalesce(F.col(at), outside)
+    1. One aggregate with a mergeable rank sketch per feature brackets each quantile between two values, once
+       narrowly and twice more widely.
+    2. One aggregate counts the rows below and inside each bracket; a bracket that the wanted ranks are not in gives
+       way to the next wider one, and the widest holds all rows.
+    3. Only rows inside a bracket, some in a thousand, are counted per distinct value and per slice of the bracket;
+       the slices that hold the wanted ranks are walked in order.
 
-    a, b = settled("at_low", "rank_low"), settled("at_high", "rank_high")
-    return rejoined.select("feature", "p", (a + (b - a) * F.col("fraction")).alias("quantile"))
+    Each pass reads the features once and keeps rows as wide as they are.  A feature without any value has no rows.
+    """
+    brackets = _brackets(df, probabilities, features, accuracy)
+    settled, level = {}, 0
+    while brackets:
+        counted = df.agg(*[F.struct(F.count_if(F.col(f) < low).alias("below"), F.count_if(F.col(f).between(low, high)).alias("inside"))
+                           for (f, _), (_, edges) in brackets.items() for low, high in [map(F.lit, edges[level])]]).first()
+        for ((f, p), (n, edges)), counts in zip(list(brackets.items()), counted):
+            position = p * (n - 1)
+            ranks = math.floor(position), math.ceil(position)
+            if counts["below"] <= ranks[0] and ranks[1] < counts["below"] + counts["inside"]:
+                settled[f, p] = (*edges[level], counts["below"], *ranks, position - ranks[0])
+                del brackets[f, p]
+        level += 1
+    if not settled:
+        return df.sparkSession.createDataFrame([], "feature string, p double, quantile double")
+    rows = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.lit(p).alias("p"), F.col(f).cast("double").alias("value"), _slice(F.col(f), F.lit(low), F.lit(high)).alias("slice"),
+                 F.col(f).between(low, high).alias("held")) for (f, p), (low, high, *_) in settled.items()])
+    inside = measured(df.select(F.inline(F.filter(rows, lambda r: r["held"]))).groupBy("feature", "p", "value", "slice").agg(F.count("*").alias("copies")))
+    found = _walk(inside, settled)
+    return found.select("feature", "p", (F.col("at_low") + (F.col("at_high") - F.col("at_low")) * F.col("fraction")).alias("quantile"))
+
+
+def _brackets(df, probabilities, features, accuracy):
+    """{(feature, p): (rows with a value, brackets from the narrowest to the widest)}."""
+    kept = min(65_535, max(8, accuracy // 2))
+    margins = [4.6 / kept ** 0.9, 37 / kept ** 0.9]
+    ranks = [min(1.0, max(0.0, p + sign * m)) for p in probabilities for m in margins for sign in (-1, 1)] + [0.0, 1.0]
+    wanted = F.array(*map(F.lit, ranks))
+    sketches = df.agg(*[F.struct(F.count(f).alias("n"), F.count_if(~F.isnan(F.col(f).cast("double"))).alias("numbers"),
+                                 F.kll_sketch_agg_double(F.col(f).cast("double"), F.lit(kept)).alias("sketch")).alias(f) for f in features])
+    # NaN stands above all numbers and is in no sketch; an empty sketch cannot be asked.
+    sketches = sketches.select(*[F.struct(F.col(f)["n"].alias("n"), F.array(F.when(F.col(f)["numbers"] > 0, F.col(f)["sketch"])).alias("sketch")).alias(f)
+                                 for f in features])
+    row = sketches.select(*[F.struct(F.col(f)["n"].alias("n"), F.transform(
+        F.filter(F.col(f)["sketch"], lambda x: x.isNotNull()), lambda x: F.kll_sketch_get_quantile_double(x, wanted)).alias("edges")).alias(f)
+        for f in features]).first()
+    out = {}
+    for f in features:
+        n, edges = row[f]["n"], (row[f]["edges"] or [[math.nan] * len(ranks)])[0]
+        for i, p in enumerate(probabilities):
+            if n:
+                own = edges[4 * i:4 * i + 4]
+                out[f, float(p)] = n, [tuple(own[:2]), tuple(own[2:]), (edges[-2], math.nan)]
+    return out
 
 
 def _slice(value, low, high):
@@ -135,30 +137,27 @@ def _slice(value, low, high):
     return F.least(F.floor(share * BRACKET_SLICES), F.lit(BRACKET_SLICES - 1)).cast("int")
 
 
-def _walk(inside, targets):
-    """Values at the wanted ranks: first find the slices that hold them, then order only those."""
-    ranks = F.broadcast(targets.select("feature", "p", "below", "rank_low", "rank_high"))
+def _walk(inside, settled):
+    """Values at the wanted ranks: first find the slices that hold them, then order only those.
 
-    def ends(copies, start, by):
-        """First and last rank of each row, counted from ``start`` in order."""
-        upto = F.sum(copies).over(by)
-        return (F.col(start) + upto - F.col(copies)).alias("first"), (F.col(start) + upto - 1).alias("last")
+    Slices are at most ``BRACKET_SLICES`` per feature and probability, so their counts fit on the driver.
+    """
+    counts = {}
+    for f, p, place, rows in inside.groupBy("feature", "p", "slice").agg(F.sum("copies")).orderBy("slice").collect():
+        counts.setdefault((f, p), []).append((place, rows))
+    chosen = []
+    for (f, p), (_, _, start, low, high, fraction) in settled.items():
+        for place, rows in counts[f, p]:
+            if start <= low < start + rows or start <= high < start + rows:
+                chosen.append((f, p, place, start, low, high, fraction))
+            start += rows
+    kept = inside.sparkSession.createDataFrame(
+        chosen, "feature string, p double, slice int, start long, rank_low long, rank_high long, fraction double")
+    over_values = Window.partitionBy("feature", "p", "slice").orderBy("value")
+    upto = F.col("start") + F.sum("copies").over(over_values)
+    walked = inside.join(F.broadcast(kept), ["feature", "p", "slice"]).withColumn("first", upto - F.col("copies")).withColumn("end", upto)
 
-    def holds(rank):
-        return (F.col("first") <= F.col(rank)) & (F.col(rank) <= F.col("last"))
+    def at(rank):
+        return F.max(F.when((F.col("first") <= F.col(rank)) & (F.col(rank) < F.col("end")), F.col("value")))
 
-    slices = inside.groupBy("feature", "p", "slice").agg(F.sum("copies").alias("in_slice")).join(ranks, ["feature", "p"])
-    over_slices = Window.partitionBy("feature", "p").orderBy("slice")
-    kept = (
-        slices.select("feature", "p", "slice", "rank_low", "rank_high", *ends("in_slice", "below", over_slices))
-        .filter(holds("rank_low") | holds("rank_high"))
-        .withColumnRenamed("first", "slice_first").drop("last")
-    )
-    # At most two slices per feature and probability.
-    over_values = Window.partitionBy("feature", "p", "slice").orderBy("value")
-    walked = inside.join(F.broadcast(kept), ["feature", "p", "slice"]).select(
-        "feature", "p", "value", "rank_low", "rank_high", *ends("copies", "slice_first", over_values))
-    return walked.groupBy("feature", "p").agg(
-        F.max(F.when(holds("rank_low"), F.col("value"))).alias("at_low"),
-        F.max(F.when(holds("rank_high"), F.col("value"))).alias("at_high"),
-    )
+    return walked.groupBy("feature", "p", "fraction").agg(at("rank_low").alias("at_low"), at("rank_high").alias("at_high"))

@@ -4,6 +4,8 @@ Every per-query group below has been cut to a fixed number of hits first, so not
 here gathers an unbounded group.
 """
 
+import re
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -104,38 +106,46 @@ def diversified_retrieve(corpus, queries, k, dim, seed=0, **args):
     return resort_hits(weighted_sample(fetched, k, seed))
 
 
-def embed_documents(docs, embed, dim, key="file_hash", text="doc", batch=50):
-    """Vector of every text: (key, vector).  Texts that fail are skipped.
+def embed_attempts(docs, embed, dim, key="file_hash", text="doc", batch=50):
+    """Vector of every text, or why there is none: (key, vector, error).
 
-    ``embed`` takes a list of texts and returns a list of vectors.  When a batch
-    raises, its texts are tried one by one, so that one bad text loses only itself.
+    ``embed`` takes a list of texts and returns a list of vectors.  A batch that raises is halved until the texts that
+    it fails on stand alone, so a bad text costs a few calls and loses only itself.  A vector of another length is an
+    error too.  Rows without a key or text are not embedded and not listed.
     """
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField(key, kind), T.StructField("vector", T.ArrayType(T.DoubleType())),
+                           T.StructField("error", T.StringType())])
 
     def run(frames):
         def attempt(texts):
             try:
-                return list(embed(texts))
-            except Exception:
+                vectors = list(embed(texts))
+                if len(vectors) != len(texts):
+                    raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+                return [([float(x) for x in v], None) if len(v) == dim else (None, f"{len(v)} numbers instead of {dim}") for v in vectors]
+            except Exception as problem:
                 if len(texts) == 1:
-                    return [None]
-                return [v for one in texts for v in attempt([one])]
+                    return [(None, str(problem) or type(problem).__name__)]
+                half = len(texts) // 2
+                return attempt(texts[:half]) + attempt(texts[half:])
 
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at:at + batch]
-                vectors = attempt(part[text].tolist())
-                kept = [v is not None and len(v) == dim for v in vectors]
-                yield pd.DataFrame({
-                    key: part[key].to_numpy()[kept],
-                    "vector": [[float(x) for x in v] for v, ok in zip(vectors, kept) if ok],
-                })
+                done = attempt(part[text].tolist())
+                yield pd.DataFrame({key: part[key].to_numpy(), "vector": pd.Series([d[0] for d in done], dtype=object),
+                                    "error": pd.Series([d[1] for d in done], dtype=object)})
 
     present = docs.filter(blank_to_null(F.col(key).cast("string")).isNotNull() & F.col(text).isNotNull())
     return present.select(key, text).mapInPandas(run, schema)
 
 
+def embed_documents(docs, embed, dim, key="file_hash", text="doc", batch=50):
+    """Vector of every text: (key, vector).  Texts that fail are left out; ``embed_attempts`` tells why."""
+    return embed_attempts(docs, embed, dim, key, text, batch).filter("error is null").drop("error")
+
+
 def hashed_text_vectors(docs, dim=V.TEXT_DIM, key="file_hash", text="doc"):
     """Default embedding without a model: hashed, weighted and normalised words (MLlib)."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
@@ -149,10 +159,13 @@ def hashed_text_vectors(docs, dim=V.TEXT_DIM, key="file_hash", text="doc"):
     return unit.select(key, vector_to_array("unit").alias("vector"))
 
 
+MISSING = {"artist": V.UNKNOWN_ARTIST, "title": V.UNKNOWN_TITLE, "album": V.UNKNOWN_ALBUM}
+
+
 def context_line(t=F.col):
     """"artist — title (album)" with the track's sentences on an indented next line."""
     def shown(name):
-        return F.coalesce(t(name), F.lit("None"))
+        return F.coalesce(t(name), F.lit(MISSING[name]))
 
     return F.concat(
         shown("artist"), F.lit(f" {V.DASH} "), shown("title"), F.lit(" ("), shown("album"), F.lit(")\n   "),
@@ -163,7 +176,7 @@ def context_line(t=F.col):
 def neighbor_line(t=F.col):
     """"artist — title (album) [genre: ..., key: ..., score: ...]"."""
     def shown(name):
-        return F.coalesce(t(name), F.lit("None"))
+        return F.coalesce(t(name), F.lit(MISSING[name]))
 
     key = F.trim(F.concat_ws(" ", F.coalesce(t("key_key"), F.lit("")), F.coalesce(t("key_scale"), F.lit(""))))
     return F.concat(
@@ -179,39 +192,57 @@ def context_number(hits, k, order, query="query_id"):
     return hits.withColumn("line", F.row_number().over(in_order)).filter(F.col("line") <= k)
 
 
-def rag_context(hits, line=None, query="query_id", rank="rank"):
-    """One numbered text block per query from its ranked hits, which are few."""
+def rag_context(hits, line=None, query="query_id", rank="rank", k=V.FETCH_LIMIT_TEXT, budget=None):
+    """One numbered text block per query from its best ``k`` ranked hits, best first.
+
+    ``budget`` bounds the characters of a block: it ends before the first line that does not fit, but never
+    before the second line.  Hits are cut before they are gathered, however many a query has.
+    """
+    in_order = Window.partitionBy(query).orderBy(F.col(rank).asc(), F.col("text").asc())
     numbered = hits.select(query, rank, F.concat(F.col(rank).cast("string"), F.lit(". "),
                                                  context_line() if line is None else line).alias("text"))
-    lines = F.array_sort(F.collect_list(F.struct(rank, "text")))
-    return numbered.groupBy(query).agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("context"))
+    kept = numbered.withColumn("_line", F.row_number().over(in_order)).filter(F.col("_line") <= k)
+    if budget is not None:
+        # A line that does not fit is longer than what is left, and so is the sum up to any later line.
+        kept = kept.withColumn("_upto", F.sum(F.length("text") + 1).over(in_order) - 1).filter((F.col("_upto") <= budget) | (F.col("_line") == 1))
+    lines = F.array_sort(F.collect_list(F.struct("_line", "text")))
+    return kept.groupBy(query).agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("context"))
 
 
-def rag_prompt(contexts, question="question"):
-    """Question and context with the instruction to stay inside the listed tracks."""
-    prompt = F.concat(
-        F.lit("You recommend music. Someone asked: \""), F.col(question),
-        F.lit("\"\n\nThese tracks of their collection fit best:\n\n"), F.col("context"),
-        F.lit("\n\nUsing only the tracks above, write a short and friendly recommendation. "
-              "Name tracks by artist and title, and invent none."),
-    )
-    return contexts.withColumn("prompt", prompt)
+RAG_TEMPLATE = """Request: "{question}"
 
+Candidates, best first:
+{context}
 
-def similarity_prompt(contexts, seed="seed_text"):
-    """Seed and numbered neighbours with the instruction to say what they share."""
-    prompt = F.concat(
-        F.lit("You know music well. Someone explores tracks that resemble:\n\n  "), F.col(seed),
-        F.lit("\n\nThe closest matches by tempo, key, energy and groove are:\n\n"), F.col("context"),
-        F.lit("\n\nSay in two or three sentences what they have in common with it. Mention genre, mood, energy "
-              "or tempo, name at least two matches by artist and title, and invent none."),
-    )
-    return contexts.withColumn("prompt", prompt)
+Reply with a recommendation of at most five sentences. Every track in it has to be one of the numbered candidates; \
+give its number."""
+SIMILARITY_TEMPLATE = """Seed track: {seed}
+
+Numbered neighbours in feature space:
+{context}
+
+Write one paragraph on which of these neighbours a listener of the seed track should hear first, and why, citing numbers."""
+
+
+def filled(template, **columns):
+    """A text with columns in place of the names in braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[columns[part] if i % 2 else F.lit(part) for i, part in enumerate(parts) if part])
+
+
+def rag_prompt(contexts, question="question", template=RAG_TEMPLATE):
+    """The prompt for a question and the numbered tracks found for it; ``template`` names {question} and {context}."""
+    return contexts.withColumn("prompt", filled(template, question=F.col(question), context=F.col("context")))
+
+
+def similarity_prompt(contexts, seed="seed_text", template=SIMILARITY_TEMPLATE):
+    """The prompt for a seed and its numbered neighbours; ``template`` names {seed} and {context}."""
+    return contexts.withColumn("prompt", filled(template, seed=F.col(seed), context=F.col("context")))
 
 
 def seed_text(t=F.col):
     def shown(name):
-        return F.coalesce(t(name), F.lit("None"))
+        return F.coalesce(t(name), F.lit(MISSING[name]))
 
     return F.concat(shown("artist"), F.lit(f" {V.DASH} "), shown("title"), F.lit(" ("), shown("album"), F.lit(")"))
 

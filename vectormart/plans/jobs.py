@@ -46,16 +46,18 @@ def load_audio_collection(mart, path, metric="cosine", kind="z", frozen=None):
     return collection
 
 
-def load_text_collection(mart, path, embed, dim=V.TEXT_DIM):
-    """Describe every track, embed the texts and upsert them; failed texts are skipped.
+def load_text_collection(mart, path, embed, dim=V.TEXT_DIM, failures=None):
+    """Describe every track, embed the texts and upsert them; keys and errors of failed texts go to the folder ``failures``.
 
-    The vectors are written once, because embedding is the expensive step.
+    The attempts are written once, because embedding is the expensive step.
     """
     tracks = describe(mart)
-    vectors = written(R.embed_documents(tracks, embed, dim), "vectors")
+    attempts = written(R.embed_attempts(tracks, embed, dim), "vectors")
+    if failures:
+        attempts.filter("error is not null").select("file_hash", "error").write.mode("overwrite").parquet(failures)
     collection = Collection(mart.sparkSession, path)
     collection.init(dim, "cosine", ", ".join(f"{c} string" for c in TEXT_PAYLOAD))
-    collection.upsert(text_points(tracks, vectors), key="file_hash")
+    collection.upsert(text_points(tracks, attempts.filter("error is null")), key="file_hash")
     return collection
 
 
@@ -82,6 +84,20 @@ def ask(corpus, questions, embed, generate, cache, k, dim, seed=0, diversified=T
     return answers, R.answer_cards(placed, cache, answers)
 
 
+def more_like(corpus, seeds, generate, cache, k, dim, mode="overfetch"):
+    """Tracks like each seed (file_hash) with an answer about them: answers (query_id, answer, error) and cards.
+
+    Neighbours leave out the seed and its album; the prompt lists them with their scores, and cards carry scores too.
+    """
+    wanted = written(point_lookups(corpus, "file_hash", seeds), "seeds")
+    hits = R.similar_tracks(corpus, wanted, k, dim, id_col="file_hash", mode=mode)
+    placed = written(R.with_payload(hits, corpus.drop("vector"), "file_hash").withColumn("file_hash", F.col("id")), "placed")
+    named = wanted.select(F.col("file_hash").alias("query_id"), R.seed_text().alias("seed_text"))
+    prompts = R.similarity_prompt(R.rag_context(placed, R.neighbor_line()).join(named, "query_id"))
+    answers = written(R.batch_generate(prompts, generate), "answers")
+    return answers, R.answer_cards(placed, cache, answers)
+
+
 def refresh_cache(tracks, cache, responses):
     """One refresh of the artwork cache from fetched responses of pending pairs."""
     pending = L.lookup_pending(L.distinct_pairs(tracks), cache)

@@ -25,8 +25,8 @@ def write_parts(df, folder, chunk_rows=5000, mode="overwrite"):
 
 
 def write_single(df, folder):
-    """One Parquet file at any size.  All tasks work the rows out; one task only copies them."""
-    written(df, "single").coalesce(1).write.mode("overwrite").parquet(folder)
+    """One folder that reads as one table: parallel parts, each as large as its task's rows."""
+    df.write.mode("overwrite").parquet(folder)
 
 
 def write_sample(df, folder, rows=500, order=("file_hash",)):
@@ -37,7 +37,8 @@ def write_sample(df, folder, rows=500, order=("file_hash",)):
 def write_manifest(manifest, root, absolute, relative):
     """Two text lists of the sorted paths: absolute, and relative to the root."""
     base = root if ":" in root else "file:" + root
-    paths = manifest.select("path").distinct().orderBy("path")
+    # Written once in order; both lists read it in that order.
+    paths = written(manifest.select("path").distinct().orderBy("path"), "paths").orderBy("path")
     paths.write.mode("overwrite").text(absolute)
     paths.select(relative_path(F.col("path"), base).alias("value")).write.mode("overwrite").text(relative)
 
@@ -58,6 +59,11 @@ def write_stats(stats, path):
     stats_json(stats).coalesce(1).write.mode("overwrite").text(path)
 
 
+def save_cache(cache, path, marker):
+    """The cache as lines of JSON with its retry marks, as ``scan_lookup_cache(lines=True)`` reads it."""
+    cache_json(cache, marker).write.mode("overwrite").text(path)
+
+
 def cache_json(cache, marker):
     """Cache rows as JSON objects, one per line, retry marks included."""
     value = F.when(F.col("status") == "retry", F.lit(marker)).otherwise(F.col("artwork_url"))
