@@ -112,17 +112,14 @@ def _brackets(df, probabilities, features, accuracy):
     margins = [4.6 / kept ** 0.9, 37 / kept ** 0.9]
     ranks = [min(1.0, max(0.0, p + sign * m)) for p in probabilities for m in margins for sign in (-1, 1)] + [0.0, 1.0]
     wanted = F.array(*map(F.lit, ranks))
-    sketches = df.agg(*[F.struct(F.count(f).alias("n"), F.count_if(~F.isnan(F.col(f).cast("double"))).alias("numbers"),
+    sketches = df.agg(*[F.struct(F.count(f).alias("n"), F.count_if(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))).alias("numbers"),
                                  F.kll_sketch_agg_double(F.col(f).cast("double"), F.lit(kept)).alias("sketch")).alias(f) for f in features])
     # NaN stands above all numbers and is in no sketch; an empty sketch cannot be asked.
-    sketches = sketches.select(*[F.struct(F.col(f)["n"].alias("n"), F.array(F.when(F.col(f)["numbers"] > 0, F.col(f)["sketch"])).alias("sketch")).alias(f)
-                                 for f in features])
-    row = sketches.select(*[F.struct(F.col(f)["n"].alias("n"), F.transform(
-        F.filter(F.col(f)["sketch"], lambda x: x.isNotNull()), lambda x: F.kll_sketch_get_quantile_double(x, wanted)).alias("edges")).alias(f)
-        for f in features]).first()
+    row = sketches.select(*[F.struct(F.col(f)["n"].alias("n"), F.when(F.col(f)["numbers"] > 0, F.kll_sketch_get_quantile_double(
+        F.col(f)["sketch"], wanted)).alias("edges")).alias(f) for f in features]).first()
     out = {}
     for f in features:
-        n, edges = row[f]["n"], (row[f]["edges"] or [[math.nan] * len(ranks)])[0]
+        n, edges = row[f]["n"], row[f]["edges"] or [math.nan] * len(ranks)
         for i, p in enumerate(probabilities):
             if n:
                 own = edges[4 * i:4 * i + 4]
