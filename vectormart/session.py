@@ -68,6 +68,9 @@ def written(df, label="table"):
     spark = df.sparkSession
     path = work_folder(spark, label)
     df.write.parquet(path)
+    # Later steps may still read it, so it goes when the driver ends.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
