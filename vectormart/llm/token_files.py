@@ -20,6 +20,8 @@ from vectormart.llm.words import steps, token_ids
 
 BLOCK, SEGMENT = 256, 1 << 16
 PERCENTILE = 0.9
+# Words whose ids a worker remembers from one slice of text to the next: some 200 MB.
+WORDS_KEPT = 1_000_000
 
 FILE = T.StructType([
     T.StructField("part", T.IntegerType()),
@@ -123,7 +125,7 @@ def write_token_files(docs, path, tokenizer, end_id):
                 continue
             part = batch.column("part")[0].as_py()
             for first, last in steps(batch.column("text")):
-                ids, places = token_ids(batch.column("text").slice(first, last - first), tokenizer)
+                ids, places = token_ids(batch.column("text").slice(first, last - first), tokenizer, WORDS_KEPT)
                 doc_ids = batch.column("doc_id").slice(first, last - first).to_pylist()
                 sizes = np.diff(places)
                 ended = np.insert(ids, places[1:], end_id)

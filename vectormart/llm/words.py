@@ -9,6 +9,7 @@ word of its own for the same reason (an apostrophe is not, as it may begin a con
 """
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -97,19 +98,19 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def encode(self, words):
-        """(number of ids of each word, all ids), for distinct words given as bytes."""
+    def encode(self, words, most=None):
+        """(number of ids of each word, all ids), for distinct words given as bytes; ``most`` words are remembered."""
         keys = words.to_pylist()
         new = [w for w in keys if w not in self.kept]
         if new:
-            if len(self.kept) + len(new) > self.KEPT:
+            if len(self.kept) + len(new) > (most or self.KEPT):
                 self.kept = {}
                 new = keys
             for at in range(0, len(new), 20_000):
                 part = new[at:at + 20_000]
                 found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
                 for word, one in zip(part, found):
-                    self.kept[word] = np.array(one.ids, np.uint32).tobytes()
+                    self.kept[word] = array("I", one.ids).tobytes()
         ids = [self.kept[w] for w in keys]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         return lengths, np.frombuffer(b"".join(ids), np.uint32)
@@ -124,11 +125,11 @@ def steps(column):
         yield int(first), int(last)
 
 
-def token_ids(column, path):
+def token_ids(column, path, most=None):
     """Ids of all texts of a slice, and for each text the place of its first id (one more at the end)."""
     words, firsts = cut(*flat(column))
     if not len(words):
         return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
     vocabulary, codes = distinct(words)
-    ids, ends = gathered(codes, *Encoder.of(path).encode(vocabulary))
+    ids, ends = gathered(codes, *Encoder.of(path).encode(vocabulary, most))
     return ids, np.append(0, ends)[firsts]
