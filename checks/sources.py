@@ -75,7 +75,7 @@ def manifest_of(t):
     return manifest(t).select("path", "rel_path", "artist_dir", "ext")
 
 
-@query("scan_file_manifest", """
+@query("scan_file_manifest", r"""
 with named as (select distinct url, md5(url) as h, regexp_extract(regexp_replace(url, '^https?://', ''), '^[^/?#:]+', 0) as host from pages),
 files as (select concat(host, '/', substr(h, 3, 2), '/', h, case substr(h, 1, 1)
     when '0' then '.mp3' when '1' then '.MP3' when '2' then '.m4a' when '3' then '.flac' when '4' then '.wav'
