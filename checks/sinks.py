@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 
 from checks.base import CTE_CACHE, query, r6, sql6, tracks_sql
 from checks.sources import CTE_MANIFEST, STATS, manifest
+from vectormart import fixed_values as V
 from vectormart.operators import names as N
 from vectormart.operators.collection import Collection, collection_upsert
 from vectormart.operators.mart import feature_stats, stats_table
 from vectormart.operators.retrieval import eval_neighbors
 from vectormart.session import work_folder
-from vectormart.sources import writers
+from vectormart.sources import readers, writers
 from checks import vectors as E
 
 PAYLOAD = "label int"
@@ -182,3 +183,11 @@ def collection_info(t):
     c.init(E.DIM, "cosine", PAYLOAD, "bigint")
     c.upsert(points(t))
     return described(c)
+
+
+@query("save_cache", tracks_sql("select cache_key, value from entries", CTE_CACHE))
+def save_cache(t):
+    """The cache with its retry marks, saved and loaded again."""
+    folder = work_folder(t.spark, "cache")
+    writers.save_cache(t.cache, folder, V.RETRY_MARKER)
+    return readers.scan_lookup_cache(t.spark, folder, lines=True)
