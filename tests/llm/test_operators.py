@@ -1,8 +1,10 @@
 """The operators of vectormart.llm on small tables with awkward rows, against plain Python."""
 
 import hashlib
+import math
 import re
 import zlib
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -203,6 +205,45 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints_beside_edits(empty).count() == 0
 
 
+def test_fingerprint_values(spark):
+    # By another way: one row per paragraph and bit, counted by Spark's grouping.
+    random = np.random.default_rng(7)
+    some = lambda n: "".join(f"{w}{end}" for w, end in zip(random.integers(0, 200, n), random.choice([". ", "! ", "\n", " ", ".", "\n\n"], n)))
+    told = [(i, some(n)) for i, n in enumerate([0, 1, 2, 7, 30, 254, 255, 256, 400, 900, 5, 40, 0, 3])]
+    table = spark.createDataFrame(told, "doc_id long, text string")
+    texts = dict(told)
+    ids = sorted(texts)
+    edits = []
+    for i, after in zip(ids, ids[1:] + ids[:1]):
+        take = len(texts[i]) // 2
+        edits.append((i, texts[i][:len(texts[i]) - take] + texts[after][:take]))
+    split = lambda t: [p for p in re.split(r"(?<=\n)|(?<=[.!?] )", t) if p]
+    parts = spark.createDataFrame([(kind, i, p) for kind, some_ in (("own", told), ("edit", edits)) for i, t in some_ for p in split(t)], "kind string, i long, p string")
+    bits = parts.select("kind", "i", F.explode(F.array(F.xxhash64("p"), F.xxhash64("p", F.lit(1)))).alias("h"))
+    hashes = {}
+    for r in bits.collect():
+        hashes.setdefault((r.kind, r.i), []).append(r.h % 2 ** 64)
+
+    def plain_lanes(key):
+        both = hashes.get(key, [])
+        lanes = [sum(h >> bit & 1 for h in both[half::2]) for low in (0, 32) for half in (0, 1) for bit in range(low, low + 32)]
+        return [len(both) // 2, *lanes]
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        x, y = ([2 * v - p[0] for v in p[1:]] for p in (a, b))
+        size = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+        return min(max(sum(v * w for v, w in zip(x, y)) / size, 0.0), 1.0) if a[0] and b[0] and size else 0.0
+
+    found = {r.doc_id: r for r in fingerprints.fingerprints_beside_edits(table).collect()}
+    assert len(found) == len(told)
+    for i, after in zip(ids, ids[1:] + ids[:1]):
+        own, edit, following = plain_lanes(("own", i)), plain_lanes(("edit", i)), plain_lanes(("own", after))
+        assert (found[i].fingerprint, found[i].edited_fingerprint) == tuple("".join(f"{v:08x}" for v in x) for x in (own, edit))
+        assert found[i].near_edited == pytest.approx(likeness(own, edit)) and found[i].near_next == pytest.approx(likeness(own, following))
+
+
 def test_fingerprints_of_very_long_texts(spark):
     long = lambda n: F.concat_ws("", F.transform(F.sequence(F.lit(n), F.lit(n + 199_999)), lambda i: F.concat(i.cast("string"), F.lit("\n"))))
     row = spark.range(1).select(fingerprints.fingerprint(long(0)).alias("a"), fingerprints.fingerprint(long(10 ** 6)).alias("b"),
@@ -298,6 +339,28 @@ def test_forward_sum():
     assert got == pytest.approx(np.log(segmentations(b" the", pieces)))
 
 
+def test_forward_sum_over_whole_words():
+    import pyarrow as pa
+
+    table = language.Vocabulary.of(queries.PIECES)
+    probabilities = np.random.default_rng(1).random((table.size, 2)) * 1e-3
+    known = {int(h): i for i, h in enumerate(table.hashes)}
+    texts = [" the", " institutions", " donaudampfschifffahrtsgesellschaft", " " + "x" * 400, " " + "日本語" * 60, "a"]
+    got = language.word_scores(pa.array([t.encode() for t in texts], pa.binary()), table, probabilities)
+    for i, text in enumerate(texts):
+        word = text.encode()
+        for j in (0, 1):
+            sums = [Fraction(1)] + [Fraction(0)] * len(word)
+            for at in range(len(word)):
+                sums[at + 1] += sums[at] * Fraction(language.FLOOR)
+                for end in range(at + 1, len(word) + 1):
+                    piece = known.get(language.Vocabulary.hash_of(word[at:end]))
+                    if piece is not None:
+                        sums[end] += sums[at] * Fraction(probabilities[piece, j])
+            power = sums[-1].denominator.bit_length() - sums[-1].numerator.bit_length()
+            assert got[i, j] == pytest.approx(math.log(sums[-1] * 2 ** power) - power * math.log(2))
+
+
 def test_span_dedup(spark, empty):
     passage = " ".join(f"Sentence {w} has its own words here." for w in "alpha beta gamma delta epsilon zeta".split())
     told = [(1, f"An opening line. {passage} The end of one."), (2, f"Something else entirely\n{passage} And more."), (3, "A clean text. With sentences. Of its own. And nothing shared at all with others here."), (4, None), (5, "")]

@@ -17,9 +17,14 @@ from vectormart.session import written
 LANES, POWER = 128, 32
 PARAGRAPH_END = r"(?<=\n)|(?<=[.!?]\x20)"
 
-# Two lanes of a paragraph's 128 bits, 32 bits apart, in one long: the sums of up to 2^31 paragraphs
-# cannot run into each other, and no text has more.
-PAIR = "4294967297L"
+# Bits of a paragraph's hash are added eight to a long, a byte apart, over so many paragraphs that no byte
+# and no signed long runs over; then two to a long, 32 bits apart: no text has the 2^31 paragraphs that would.
+BYTES, PAIRS, CHUNK = 0x0101010101010101, 0x000000FF000000FF, 127
+
+
+def bound(value, of):
+    """``of(value)`` with ``value`` computed once, however often ``of`` uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
 def paragraphs(text):
@@ -27,23 +32,38 @@ def paragraphs(text):
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END, -1), "")
 
 
+def bit_sums(hashes):
+    """Sums of the bits of an array of hashes: 32 longs, bit i in the lower and bit i + 32 in the upper half of long i."""
+    shifted = F.call_function
+    shifts, bytes_up = F.expr("sequence(0, 7)"), F.expr("sequence(0, 24, 8)")
+    chunks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(hashes) - 1) / CHUNK).cast("int"), F.lit(0)))
+
+    def in_bytes(part):
+        return F.transform(shifts, lambda s: F.aggregate(
+            part, F.lit(0).cast("long"), lambda sum_, h: sum_ + shifted("shiftrightunsigned", h, s).bitwiseAND(F.lit(BYTES))))
+
+    def in_pairs(eight):
+        return F.flatten(F.transform(bytes_up, lambda up: F.transform(
+            eight, lambda w: shifted("shiftrightunsigned", w, up).bitwiseAND(F.lit(PAIRS)))))
+
+    def of_chunk(chunk):
+        return bound(bound(F.slice(hashes, chunk * CHUNK + 1, F.lit(CHUNK)), in_bytes), in_pairs)
+
+    zero = F.expr("transform(sequence(0, 31), i -> 0L)")
+    return F.aggregate(chunks, zero, lambda sums, chunk: F.zip_with(sums, of_chunk(chunk), lambda x, y: x + y))
+
+
 def lane_sums(parts):
     """[number of paragraphs, lane sums modulo 2^32 ...] of an array of paragraphs."""
-    hashed = F.transform(parts, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(p, F.lit(1)).alias("b")))
-    zero = "transform(sequence(0, 31), i -> 0L)"
-
-    def plus(sums, bits):
-        pair = F.expr(PAIR)
-        return F.transform(sums, lambda x, j: x + F.call_function("shiftrightunsigned", bits, j).bitwiseAND(pair))
 
-    def add(total, h):
-        return F.struct(plus(total["a"], h["a"]).alias("a"), plus(total["b"], h["b"]).alias("b"))
+    def summed(hashes):
+        words = F.concat(bound(hashes["a"], bit_sums), bound(hashes["b"], bit_sums))
+        return bound(words, lambda w: F.concat(
+            F.array(F.size(hashes["a"]).cast("long")),
+            F.transform(w, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))), F.transform(w, lambda x: F.call_function("shiftrightunsigned", x, F.lit(32)))))
 
-    sums = F.aggregate(hashed, F.struct(F.expr(zero).alias("a"), F.expr(zero).alias("b")), add)
-    words = F.concat(sums["a"], sums["b"])
-    low = F.transform(words, lambda w: F.pmod(w.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(1 << POWER)))
-    high = F.transform(words, lambda w: F.pmod(F.shiftrightunsigned(w, 32), F.lit(1 << POWER)))
-    return F.concat(F.array(F.size(parts).cast("long")), low, high)
+    return bound(bound(parts, lambda p: F.struct(F.transform(p, lambda x: F.xxhash64(x)).alias("a"),
+                                                 F.transform(p, lambda x: F.xxhash64(x, F.lit(1))).alias("b"))), summed)
 
 
 def fingerprint(text):
@@ -67,7 +87,7 @@ def changed(print_, other, sign):
 
 def as_hex(print_):
     """The number of paragraphs and each lane in 8 hex digits."""
-    return F.array_join(F.transform(print_, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.lower(F.array_join(F.transform(print_, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def likeness(a, b):
@@ -120,11 +140,19 @@ def fingerprints_beside_edits(docs):
     sent = sent.select("to_id", "to_hash", F.expr("left(text, take)").alias("head"), fingerprint(F.col("text")).alias("next_print"))
     sent = sent.groupBy("to_id", "to_hash").agg(F.first("head").alias("head"), F.first("next_print").alias("next_print"))
     met = texts.join(sent, same("doc_id", "to_id") & (F.col("hash") == F.col("to_hash")))
-    edited = met.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), "next_print", fingerprint(F.col("text")).alias("print"),
-        F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), "head").alias("edited"))
-    prints = edited.select("doc_id", "n_chars", "print", "next_print", F.sha2("edited", 256).alias("edited_sha256"),
-                           fingerprint(F.col("edited")).alias("edited_print"))
+    # Where a paragraph ends depends on what stands before, so the paragraphs of the kept half but its last
+    # are paragraphs of both texts: they are summed once, and what differs is inserted.
+    halves = met.select(
+        "doc_id", "text", "next_print", "head", F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))").alias("half"))
+    halves = halves.select("*", paragraphs(F.col("text")).alias("parts"), paragraphs(F.col("half")).alias("half_parts"))
+    halves = halves.withColumn("shared", F.greatest(F.size("half_parts") - 1, F.lit(0)))
+    changes = halves.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), "next_print", F.sha2(F.concat("half", "head"), 256).alias("edited_sha256"),
+        lane_sums(F.slice("parts", F.lit(1), F.col("shared"))).alias("common"),
+        lane_sums(F.slice("parts", F.col("shared") + 1, F.size("parts"))).alias("gone"),
+        fingerprint(F.concat(F.coalesce(F.get("half_parts", F.col("shared")), F.lit("")), "head")).alias("come"))
+    prints = changes.select("doc_id", "n_chars", "next_print", "edited_sha256", changed(F.col("common"), F.col("gone"), 1).alias("print"),
+                            changed(F.col("common"), F.col("come"), 1).alias("edited_print"))
     return prints.select(
         "doc_id", "n_chars", "edited_sha256", as_hex(F.col("print")).alias("fingerprint"),
         as_hex(F.col("edited_print")).alias("edited_fingerprint"),
