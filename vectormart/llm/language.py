@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from vectormart.llm.words import binary, distinct, flat, steps
 
 UNDECIDED = "und"
-LONGEST_PIECE, LONGEST_WORD = 12, 40
 FLOOR = 1e-9  # probability of a byte that no piece of the model covers
 SMOOTHING = 0.05
+RESCALE = 16  # bytes after which sums are rescaled, so that long words do not fall below the smallest double
 HASH_BITS = 20
 
 
@@ -33,7 +33,7 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i).replace("▁", " ") for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i)]
         pieces = sorted({n.encode("utf-8") for n in names if n.lstrip(" ").isalpha() and n.rfind(" ") <= 0})
-        pieces = [p for p in pieces if len(p) <= LONGEST_PIECE]
+        self.longest = max(map(len, pieces))
         hashes = np.array([self.hash_of(p) for p in pieces], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.size = hashes[order], len(pieces)
@@ -58,7 +58,7 @@ class Vocabulary:
     def find(self, data, ends):
         """(place, length, piece) of every piece that lies inside a word; ``ends`` is the end of each byte's word."""
         hashes, at, out = np.zeros(len(data), np.uint64), np.arange(len(data)), []
-        for length in range(1, LONGEST_PIECE + 1):
+        for length in range(1, self.longest + 1):
             at = at[at + length <= ends[at]]
             hashes = hashes[:0] if not len(at) else hashes
             if not len(at):
@@ -77,13 +77,8 @@ def letter_words(texts):
     spaced = pc.replace_substring_regex(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), lowered, pa.scalar("", pa.large_string())), r"[^\pL]+", " ")
     data, offsets = flat(spaced)
     starts = np.flatnonzero(data == 32)
-    # A long word is cut; its later parts have no space in front.
     lengths = np.diff(np.append(starts, len(data)))
-    if len(lengths) and lengths.max() > LONGEST_WORD:
-        parts = -(-lengths // LONGEST_WORD)
-        starts = np.repeat(starts, parts) + LONGEST_WORD * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
-        lengths = np.diff(np.append(starts, len(data)))
-    kept = ~((lengths == 1) & (data[starts] == 32)) if len(starts) else np.zeros(0, bool)
+    kept = lengths > 1
     words = binary(data, starts)
     firsts = np.append(0, np.cumsum(kept))[np.searchsorted(starts, offsets)]
     return words.filter(pa.array(kept)), firsts
@@ -139,60 +134,85 @@ def train(docs, pieces):
 
 def word_scores(vocabulary, table, probabilities):
     """Log of the sum over all segmentations, per distinct word and language."""
-    data, ends, offsets = laid_out(vocabulary)
+    # Words by falling length: those that reach a byte are the first of them, and sums lie byte by byte.
+    given = pc.binary_length(vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+    by_size = np.argsort(-given, kind="stable")
+    data, ends, offsets = laid_out(vocabulary.take(pa.array(by_size)))
+    sizes = np.diff(offsets)
+    longest = int(sizes[0])
+    reaching = np.searchsorted(-sizes, -np.arange(longest + 1), side="right")
+    base = np.append(0, np.cumsum(reaching))
     place, length, piece = table.find(data, ends)
-    word = np.searchsorted(offsets, place, side="right") - 1
+    word = np.repeat(np.arange(len(sizes)), sizes)[place]
     inside = place - offsets[word]
-    # A byte may also stand alone at the floor, so that every word has a segmentation.
-    slots = np.zeros((len(data) + len(vocabulary), probabilities.shape[1]))
-    begins = offsets[:-1] + np.arange(len(vocabulary))
-    slots[begins] = 1.0
-    order = np.argsort(inside, kind="stable")
-    inside, place, length, piece, word = (x[order] for x in (inside, place, length, piece, word))
-    sizes = np.diff(offsets)
-    cuts = np.searchsorted(inside, np.arange(int(sizes.max()) + 1))
-    for k in range(int(sizes.max())):
-        open_ = begins[sizes > k] + k
-        slots[open_ + 1] += slots[open_] * FLOOR
-        of = slice(cuts[k], cuts[k + 1])
-        source = place[of] + word[of]
-        for step in np.unique(length[of]):
-            own = source[length[of] == step]
-            slots[own + step] += slots[own] * probabilities[piece[of][length[of] == step]]
-    return np.log(np.maximum(slots[begins + sizes], 1e-300))
-
-
-def identify(docs, model, pieces, id="doc_id", text="text"):
-    """(id columns ..., lang_pred, score): the likeliest language of every whole text and its posterior.
+    # Pieces come by length; sorted by their byte in the word, those of one byte and length lie together.
+    order = np.argsort(inside.astype(np.min_scalar_type(longest)), kind="stable")
+    word, piece = word[order], piece[order]
+    together = (inside * (table.longest + 1) + length)[order]
+    edges = np.append(np.flatnonzero(np.diff(together, prepend=-1)), len(together))
+    first_edge = np.searchsorted(together[edges[:-1]], np.arange(longest + 1) * (table.longest + 1))
+    steps_of = together[edges[:-1]] % (table.longest + 1)
+    slots = np.zeros((int(base[-1]), probabilities.shape[1]))
+    slots[:len(sizes)] = 1.0
+    scale = np.zeros((len(sizes), probabilities.shape[1]))
+    for k in range(longest):
+        here = slots[base[k]:base[k + 1]]
+        if k and k % RESCALE == 0:
+            # All that follows is linear in the sums from here to the longest piece ahead.
+            ahead = [slots[base[j]:base[j + 1]] for j in range(k, min(k + table.longest, longest) + 1)]
+            most = here.copy()
+            for level in ahead:
+                most[:len(level)] = np.maximum(most[:len(level)], level)
+            for level in ahead:
+                level /= most[:len(level)]
+            scale[:len(here)] += np.log(most)
+        # A byte may also stand alone at the floor, so that every word has a segmentation.
+        slots[base[k + 1]:base[k + 2]] += here[:reaching[k + 1]] * FLOOR
+        for edge in range(first_edge[k], first_edge[k + 1]):
+            of = slice(edges[edge], edges[edge + 1])
+            slots[base[k + steps_of[edge]] + word[of]] += here[word[of]] * probabilities[piece[of]]
+    out = np.empty_like(scale)
+    out[by_size] = np.log(slots[base[sizes] + np.arange(len(sizes))]) + scale
+    return out
+
+
+def identified(spark, model, pieces):
+    """A function of a text column: struct (lang_pred, score), the likeliest language of a whole text and its posterior.
 
     Languages have equal priors; the first in alphabetical order wins a tie.  A text that is null or has
-    no letter, or any text if nothing was learned, gives ``und`` and score 0.
+    no letter, or any text if nothing was learned, gives ``und`` and score 0.  Only the text goes to Python.
     """
-    languages, probabilities = model
-    shared = docs.sparkSession.sparkContext.broadcast((languages, probabilities))
-    kind = docs.schema[id].dataType.simpleString()
-
-    def run(batches):
+    shared = spark.sparkContext.broadcast(model)
+
+    def of_slice(texts, names, table):
+        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+        words, firsts = letter_words(texts)
+        if len(words) and names:
+            vocabulary, codes = distinct(words)
+            scores = word_scores(vocabulary, Vocabulary.of(pieces), table)
+            some = np.diff(firsts) > 0
+            sums = np.zeros((len(texts), len(names)))
+            sums[some] = np.add.reduceat(scores[codes], firsts[:-1][some], axis=0)
+            rest = np.exp(sums - sums.max(axis=1, keepdims=True))
+            best = np.where(some, sums.argmax(axis=1), -1)
+            score = np.where(some, 1 / rest.sum(axis=1), 0.0)
+        return pa.array([names[b] if b >= 0 else UNDECIDED for b in best], pa.string()), pa.array(score)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def found(texts: pa.Array) -> pa.Array:
         names, table = shared.value
-        for batch in batches:
-            for first, last in steps(batch.column("text")):
-                part = batch.slice(first, last - first)
-                best, score = np.full(len(part), -1), np.zeros(len(part))
-                words, firsts = letter_words(part.column("text"))
-                if len(words) and names:
-                    vocabulary, codes = distinct(words)
-                    scores = word_scores(vocabulary, Vocabulary.of(pieces), table)
-                    sums = np.vstack([np.zeros(len(names)), np.cumsum(scores[codes], axis=0)])[firsts]
-                    sums = np.diff(sums, axis=0)
-                    some = np.diff(firsts) > 0
-                    rest = np.exp(sums - sums.max(axis=1, keepdims=True))
-                    best = np.where(some, sums.argmax(axis=1), -1)
-                    score = np.where(some, 1 / rest.sum(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([names[b] if b >= 0 else UNDECIDED for b in best], pa.string()), pa.array(score)],
-                    names=[id, "lang_pred", "score"])
-
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"`{id}` {kind}, lang_pred string, score double")
+        parts = [pa.StructArray.from_arrays(of_slice(texts.slice(first, last - first), names, table), names=["lang_pred", "score"])
+                 for first, last in steps(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+
+    return found
+
+
+def identify(docs, model, pieces, id="doc_id", text="text"):
+    """(id column, lang_pred, score) of every row, as ``identified`` states it."""
+    found = identified(docs.sparkSession, model, pieces)
+    rows = docs.select(F.col(f"`{id}`"), found(F.col(f"`{text}`")).alias("found of text"))
+    return rows.select(F.col(f"`{id}`"), "`found of text`.lang_pred", "`found of text`.score")
 
 
 def predictions(docs, pieces):
@@ -204,6 +224,5 @@ def predictions(docs, pieces):
 def recognised(docs, pieces, least=0.5):
     """The rows of ``docs`` whose language is recognised with a score of at least ``least``, with the columns they had."""
     model = train(docs.filter(~held_out(F.col("doc_id"))), pieces)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = identify(packed, model, pieces, id="row")
-    return found.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select("row.*")
+    found = identified(docs.sparkSession, model, pieces)(F.col("text"))
+    return docs.filter((found["lang_pred"] != UNDECIDED) & (found["score"] >= least))
