@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from fractions import Fraction
@@ -147,6 +148,32 @@ def test_near_dedup_between_extremes(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: 60 if i == 61 else i for i in range(122)}
 
 
+def test_prefixes_lose_no_link(spark):
+    # Families of sets around common cores, of many sizes, against all pairs; minhashes rule nothing out here.
+    draw = random.Random(7)
+    sets = {}
+    for rep in range(240):
+        core, lost = 1000 * (rep % 4), draw.randrange(12)
+        size = draw.choice([20, 60, 64, 70])
+        body = [v for v in range(core, core + size) if draw.random() > lost / 100]
+        sets[rep] = sorted({*body, *(draw.randrange(10 ** 6, 2 * 10 ** 6) for _ in range(draw.randrange(8)))})
+    table = spark.createDataFrame([(r, r // 2 * 2, v) for r, v in sets.items()], "rep long, group long, shingles array<long>")
+    sketches = spark.createDataFrame([(r, [0] * near_dedup.MINHASHES) for r in sets], "rep long, mins array<int>")
+    for similarity in (80, 85, 100):
+        want = {(a, b) for a, b in combinations(sets, 2) if a // 2 != b // 2
+                and 100 * len({*sets[a]} & {*sets[b]}) >= similarity * len({*sets[a]} | {*sets[b]})}
+        pairs = near_dedup.fitting(near_dedup.in_cells(near_dedup.prefixes(table, similarity), sketches, similarity), similarity).collect()
+        met = {(r.x, r.y) for r in pairs}
+        assert len(met) == len(pairs) and want <= met
+        assert want or similarity == 100
+
+
+def test_prefixes_leave_unlike_families_apart(spark):
+    # A core that all hold, and more shingles of their own than a link may leave: no pair meets at all.
+    table = spark.createDataFrame([(r, r, [*range(300), *range(1000 * (r + 1), 1000 * (r + 1) + 70)]) for r in range(200)],
+                                  "rep long, group long, shingles array<long>")
+    assert near_dedup.prefixes(table, 85).count() == 0
+
 def luhn(value):
     number = [int(c) for c in reversed(re.sub("[^0-9]", "", value))]
     return sum(n if i % 2 == 0 else 2 * n - 9 * (n > 4) for i, n in enumerate(number)) % 10 == 0

@@ -13,10 +13,13 @@ to hang together are merged, the keys that still hold more than one group are co
 centre, and so on until two rounds in a row find no link.  So a group of n near copies costs about n
 comparisons per round and no list of all its pairs.
 
-Centres alone leave pairs out, so an exact pass follows: in every key that still holds more than one group all
-classes meet in blocks of about ``BLOCK``.  Every pair of different groups that was not compared yet, and that
-its sizes and minhashes do not rule out, is compared on the full sets, at the first key that it shares.  After it
-no such pair is left.
+Centres alone leave pairs out, so an exact pass follows over all classes of keys that still hold more than one
+group, by prefixes of their full sets.  Shingles are ordered by the number of these classes that hold them.  Let
+p shingles of a come before the first one, in this order, that a and b share.  A link needs
+S x (|a| + |b|) / (100 + S) shared shingles, so p (100 + S) <= 100 |a| - S |b|, and the same holds for b.  So a class
+sends only its rarest n (100 - S) / 100 + 1 shingles, and classes meet in those alone.  What a whole family
+shares stands last in the order and brings nobody together.  Pairs of different groups that meet, in blocks of about
+``BLOCK``, and that sizes, places and minhashes do not rule out, are compared on the full sets, unless they were before.
 """
 
 from math import comb
@@ -30,7 +33,7 @@ from vectormart.session import work_folder, written
 
 COLLECTION, ROWS = 9, 2
 MINHASHES = 2 * COLLECTION * ROWS
-QUIET_ROUNDS, MOST_STEPS, UNLIKELY = 2, 60, 1e-6
+QUIET_ROUNDS, UNLIKELY = 2, 1e-6
 PAIRS_AT_ONCE = 64
 BLOCK, PLACES = 64, 128
 CELL = ["key", "p", "q"]
@@ -192,54 +195,91 @@ def confirmed(pairs, width, similarity):
     return pairs.select("rep", "own", "centre", "other").mapInArrow(run, "a long, b long")
 
 
-def in_cells(buckets, sketches):
-    """(key, p, q, classes): the classes of every open key, by twos of blocks; block p meets block q.
+def open_sets(buckets, texts, width):
+    """(rep, group, shingles) of every class that a key with several groups holds.
 
     Two classes of a key have been compared in the first round, so only keys of three or more are open here.
     """
-    counts = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
-    counts = counts.filter("m > 2 and low != high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = buckets.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(BLOCK)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "rep", "group", "own")
-    return rows.join(sketches, "rep").groupBy(*CELL).agg(F.collect_list(F.struct("rep", "group", "n", "own", "mins")).alias("classes"))
 
+    def run(batches):
+        import zstandard
 
-def fitting(cells, similarity):
-    """(key, p, q, x, y): pairs of a cell that are of different groups and whose sizes and minhashes allow a link.
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for first in range(0, len(batch), PAIRS_AT_ONCE):
+                part = batch.slice(first, PAIRS_AT_ONCE)
+                values, places = shingle_sets(pa.array([unpack(t) for t in part.column("packed").to_pylist()], pa.large_binary()), width)
+                sets = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("group"), sets], names=["rep", "group", "shingles"])
 
-    A pair that shares several keys is given at the first of them only.
+    keys = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
+    classes = buckets.join(keys.filter("m > 2 and low != high"), "key", "left_semi").select("rep", "group").distinct()
+    return classes.join(texts, "rep").select("rep", "group", "packed").mapInArrow(run, "rep long, group long, shingles array<long>")
+
+
+def prefixes(sets, similarity):
+    """(key, rep, group, n, place): the rarest shingles of every class, as many as a link leaves unshared and one more.
+
+    ``place`` is the number of rarer shingles of the class.  Shingles of a single class count as places but are not given.
     """
+    each = sets.select("rep", F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
+    common = each.join(often, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("common"))
+    ranked = sets.select("rep", "group", F.size("shingles").cast("long").alias("n")).join(common, "rep")
+    alone = (F.col("n") - F.size("common")).cast("int")
+    wanted = F.floor(F.col("n") * (100 - similarity) / 100).cast("int") + 1 - alone
+    first = F.slice("common", F.lit(1), F.greatest(wanted, F.lit(0)))
+    given = ranked.select("rep", "group", "n", alone.alias("alone"), F.posexplode(first).alias("at", "held"))
+    return given.select(F.col("held.key").alias("key"), "rep", "group", "n", (F.col("alone") + F.col("at")).cast("long").alias("place"))
+
+
+def in_cells(given, sketches, similarity):
+    """(key, p, q, classes): the classes that meet in a shingle of their prefixes, by twos of blocks; block p meets block q."""
+    # The smallest set at a shingle tells which places are too late for any link there.
+    least = given.groupBy("key").agg(F.min("n").alias("least"), F.min("group").alias("low"), F.max("group").alias("high"))
+    met = given.join(least.filter("low != high").select("key", "least"), "key")
+    met = met.filter(F.col("place") * (100 + similarity) <= 100 * F.col("n") - similarity * F.col("least")).drop("least")
+    met = written(met, "met")
+    counts = met.groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
+    counts = counts.filter("low != high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = met.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(BLOCK)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "rep", "group", "n", "own", "place")
+    return rows.join(sketches.select("rep", "mins"), "rep").groupBy(*CELL).agg(
+        F.collect_list(F.struct("rep", "group", "n", "own", "place", "mins")).alias("classes"))
+
+
+def fitting(cells, similarity):
+    """(key, p, q, x, y): pairs that are of different groups and whose sizes, places and minhashes allow a link, each once."""
     least = least_agreement(similarity)
 
     def run(batches):
         for batch in batches:
             lists = batch.column("classes")
             offsets = lists.offsets.to_numpy()
-            rep, group, n, own, mins = lists.values.flatten()
-            rep, group, n, own = (x.to_numpy() for x in (rep, group, n, own))
+            rep, group, n, own, place, mins = lists.values.flatten()
+            rep, group, n, own, place = (x.to_numpy() for x in (rep, group, n, own, place))
             mins = mins.flatten().to_numpy().reshape(-1, MINHASHES)
+            late = place * (100 + similarity) - 100 * n
             found = []
             for i, (key, p, q) in enumerate(zip(*[batch.column(c).to_pylist() for c in CELL])):
                 here = slice(offsets[i], offsets[i + 1])
                 one, two = np.flatnonzero(own[here] == p) + offsets[i], np.flatnonzero(own[here] == q) + offsets[i]
-                first, second = divmod(key % PLACES, COLLECTION)
-                few, many = np.minimum(n[one][:, None], n[two]), np.maximum(n[one][:, None], n[two])
-                fits = (group[one][:, None] != group[two]) & (100 * few >= similarity * many)
+                fits = (group[one][:, None] != group[two])
+                fits &= (late[one][:, None] <= -similarity * n[two]) & (late[two] <= -similarity * n[one][:, None])
                 if p == q:
                     fits &= one[:, None] < two
                 a, b = np.nonzero(fits)
                 a, b = one[a], two[b]
-                same = mins[a] == mins[b]
-                small = same.reshape(len(a), 2, COLLECTION, ROWS).all(axis=3)
-                good = (same.sum(axis=1) >= least) & small[:, 0, first] & small[:, 1, second]
-                good &= (small[:, 0].argmax(axis=1) == first) & (small[:, 1].argmax(axis=1) == second)
+                good = (mins[a] == mins[b]).sum(axis=1) >= least
                 a, b = rep[a[good]], rep[b[good]]
                 found.append((np.full(len(a), key), np.full(len(a), p), np.full(len(a), q), np.minimum(a, b), np.maximum(a, b)))
             kinds = (np.int64, np.int32, np.int32, np.int64, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(kind)) if found else pa.array([], pa.from_numpy_dtype(kind)) for x, kind in zip(zip(*found) if found else kinds, kinds)], names=[*CELL, "x", "y"])
 
-    return cells.mapInArrow(run, "key long, p int, q int, x long, y long")
+    pairs = cells.mapInArrow(run, "key long, p int, q int, x long, y long")
+    # A pair that meets in several shingles is compared at one of them.
+    return pairs.groupBy("x", "y").agg(F.min(F.struct(*CELL)).alias("cell")).select("cell.*", "x", "y")
 
 
 def confirmed_in_cells(pairs, texts, width, similarity):
@@ -281,7 +321,8 @@ def merged(groups, links):
     # Only groups that have an edge take part; every step hands the smallest name on and shortens the way to it.
     names = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("name"))
     names = written(names, "names")
-    for _ in range(MOST_STEPS):
+    # A name only ever falls, so the steps end; shortened ways keep them few.
+    while True:
         near = edges.join(names.withColumnsRenamed({"x": "y", "name": "other"}), "y").groupBy("x").agg(F.min("other").alias("other"))
         lower = names.join(near, "x").select("x", F.least("name", "other").alias("new"), F.col("name").alias("old"))
         further = names.select(F.col("x").alias("new"), F.col("name").alias("beyond"))
@@ -291,8 +332,6 @@ def merged(groups, links):
         names = lower.select("x", "name")
         if not still:
             break
-    else:
-        raise RuntimeError("components did not settle")
     names = names.withColumnsRenamed({"x": "group"})
     renamed = groups.join(names, "group", "left")
     return written(renamed.select("rep", F.coalesce("name", "group").alias("group")), "groups"), names
@@ -359,7 +398,8 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
             quiet += 1
         turn += 1
 
-    rest = fitting(in_cells(buckets, sketches), similarity)
+    given = written(prefixes(written(open_sets(buckets, texts, width), "sets"), similarity), "prefixes")
+    rest = fitting(in_cells(given, sketches, similarity), similarity)
     rest = written(rest if settled is None else rest.join(settled, ["x", "y"], "left_anti"), "rest")
     links = written(confirmed_in_cells(rest, texts, width, similarity), "links")
     if links.head(1):
