@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import vectors as E
 from checks.base import query, r6, sql6, tracks_sql
+from vectormart.functions import vectors as X
 from vectormart.operators import catalog, paging
 from vectormart.operators import knn as K
 from vectormart.operators import retrieval as R
@@ -27,14 +28,13 @@ def dedup_copies(t):
     return S.dedup_latest(t.copies, duration="track_seconds").select("file_hash", "copy_nr", "track_seconds")
 
 
-@query("neighbor_rank", """select label as query_id, vec_id as id, cast(row_number() over (
-  partition by label order by list_sum(list_transform(embedding, lambda x: cast(x as double))) desc, vec_id) as int) as rank
-from embeddings qualify rank <= 12""")
+@query("neighbor_rank", E.top_sql(12))
 def neighbor_rank(t):
-    """Ranks of given scores: every embedding is a hit of its label, scored by the sum of its numbers."""
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    hits = t.embeddings.select(F.col("label").alias("query_id"), F.col("vec_id").alias("id"), total.alias("score"))
-    return K.rank_hits(hits, 12).select("query_id", "id", "rank")
+    """Ranks of given scores: every embedding is a hit of every seed, scored by likeness."""
+    seeds = E.queries(t).select("query_id", F.col("vector").cast("array<double>").alias("a"))
+    score = X.score(F.col("a"), F.col("embedding").cast("array<double>"))
+    hits = t.embeddings.crossJoin(F.broadcast(seeds)).select("query_id", F.col("vec_id").alias("id"), score.alias("score"))
+    return E.shown(K.rank_hits(hits, 12))
 
 
 @query("context_number", """

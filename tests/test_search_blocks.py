@@ -57,3 +57,17 @@ def test_empty_index_and_queries(spark, rows):  # noqa: F811
     assert approximate.approx_knn(spark, folder, table(spark, []), 5, DIM, 3, query_id="id").collect() == []
     with pytest.raises(ValueError):
         approximate.build_cells(table(spark, []), folder, DIM)
+
+
+def test_ranks_are_among_all_rows(spark):
+    """Every embedding is a hit of every seed, those of other labels too."""
+    from checks import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = QUERIES["neighbor_rank"](spark, sf_dir)
+    stored = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    unit = {r.vec_id: np.array(r.embedding, float) / np.linalg.norm(r.embedding) for r in stored}
+    label = {r.vec_id: r.label for r in stored}
+    seeds = {label[i]: i for i in sorted(label, reverse=True)}.values()
+    want = [(q, i, n + 1) for q in seeds for n, i in enumerate(sorted(unit, key=lambda i: (-round(float(unit[i] @ unit[q]), 9), i))[:12])]
+    assert found(got) == sorted(want) and any(label[q] != label[i] for q, i, _ in want)
