@@ -71,3 +71,17 @@ def test_ranks_are_among_all_rows(spark):
     seeds = {label[i]: i for i in sorted(label, reverse=True)}.values()
     want = [(q, i, n + 1) for q in seeds for n, i in enumerate(sorted(unit, key=lambda i: (-round(float(unit[i] @ unit[q]), 9), i))[:12])]
     assert found(got) == sorted(want) and any(label[q] != label[i] for q, i, _ in want)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_codes_lose_no_row_of_a_visited_cell(spark, metric, monkeypatch):
+    """Codes of two words put true neighbours far behind the short list; their bounds bring them back."""
+    monkeypatch.setattr(approximate, "WORDS", 2)
+    monkeypatch.setattr(approximate, "LIST_ROWS", 100)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=DIM)]) for i in range(1500)] + [(2000, [0.0] * DIM)]
+    folder = work_folder(spark, "cells")
+    centres = spark.createDataFrame([(c, rows[c][1]) for c in range(4)], "cell int, centre array<double>")
+    approximate.build_cells(table(spark, rows), folder, DIM, centres=centres)
+    hits = approximate.approx_knn(spark, folder, table(spark, rows[:9]), 5, DIM, 4, query_id="id", metric=metric, shortlist=1)
+    assert found(hits) == brute(rows, rows[:9], 5, metric)
