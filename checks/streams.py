@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks import vectors as E
 from checks.base import FLAT_SQL, flat_shown, query, sql6, tracks_sql
 from checks.sinks import PAYLOAD, changed, points, summed
+from checks.sources import write_files
 from vectormart.operators.collection import Collection
 from vectormart.session import work_folder
 from vectormart.streaming import jobs
@@ -16,14 +17,12 @@ BROKEN = "substr(file_hash, 1, 1) = '7'"
   from tracks where not {BROKEN} union all by name select 'no JSON' as reason, count(*) as documents from tracks where {BROKEN}"""))
 def stream_ingest(t):
     """Documents arrive in two lots, some of them cut off; a third run finds nothing new."""
-    docs = t.feature_documents()
-    text = F.to_json(F.struct(*[c for c in docs.columns if c != "file_hash"]))
-    lines = docs.withColumn("j", text).select("file_hash", F.when(F.expr(BROKEN), F.left("j", F.lit(40))).otherwise(F.col("j")).alias("value"))
+    files = t.document_files(".txt").withColumn("file_hash", F.substring_index("name", ".", 1)).withColumn(
+        "content", F.when(F.expr(BROKEN), F.left("content", F.lit(40))).otherwise(F.col("content")))
     source, out, marks = (work_folder(t.spark, n) for n in ("arriving", "ingested", "marks"))
     for lot in ("file_hash < '8'", "file_hash >= '8'", None):
         if lot:
-            lines.filter(lot).select("value").repartition(t.spark.sparkContext.defaultParallelism).write.mode("append").option(
-                "maxRecordsPerFile", 1).text(source)
+            write_files(files.filter(lot).select("name", "content"), source)
         jobs.stream_ingest(t.spark, source, out, marks, rejects=out + "-refused", pattern="*.txt")
     flat = flat_shown(t.spark.read.parquet(out), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("long").alias("documents"))
     refused = t.spark.read.parquet(out + "-refused").groupBy("reason").agg(F.count("*").alias("documents"))

@@ -227,3 +227,33 @@ def test_documents_are_parsed_once(spark, tmp_path):
 def test_shared_folder(spark):
     assert work_folder(spark) != work_folder(spark)
     assert work_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_document_files_are_written_without_a_process_each(spark, tmp_path):
+    """One file per row under its own name, and nothing beside them; written again, they are the same files."""
+    from checks.sources import write_files
+
+    root = str(tmp_path / "files")
+    rows = spark.createDataFrame([(f"{i % 3}/{i}.txt", "x\u00e9" * i) for i in range(300)], "name string, content string")
+    for _ in range(2):
+        write_files(rows, root)
+    found = {os.path.relpath(os.path.join(top, f), root) for top, _, files in os.walk(root) for f in files}
+    assert found == {f"{i % 3}/{i}.txt" for i in range(300)}
+    with open(f"{root}/1/7.txt", encoding="utf-8") as f:
+        assert f.read() == "x\u00e9" * 7
+
+
+def test_ingest_joins_tasks_of_small_files(spark, tmp_path):
+    from vectormart.streaming import jobs as streams
+
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    for i in range(40):
+        write(source, f"{i}.json", document(f"k{i}"))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        streams.stream_ingest(spark, source, out, marks)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert spark.read.parquet(out).count() == 40
+    assert len(spark.read.parquet(out).inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
