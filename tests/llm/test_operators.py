@@ -399,6 +399,31 @@ def test_span_dedup(spark, empty):
     assert span_dedup.repeats(empty).count() == 0
 
 
+def test_runs_travel_once_and_packed(spark, monkeypatch):
+    """Every run is packed with others, over any slices and buckets; the first of a hash stays, also in rows without id and repeated rows."""
+    random = np.random.default_rng(7)
+    some = lambda n: " ".join(f"w{i}" for i in random.integers(0, 10 ** 9, n))
+    often, twice = some(60), some(80)
+    told = [(i, f"{some(20)}. {often}. {some(20)}") for i in range(40)]
+    told += [(50, f"{twice}. {some(9)}"), (51, f"{some(9)}. {twice}"), (51, f"{some(9)}. {twice}"), (60, f"{some(30)}. {often}"), (None, f"{often}. {some(10)}")]
+    told += [told[-2], told[5], (70, None)]
+    monkeypatch.setattr(span_dedup, "BUCKET_BYTES", 4 << 10)
+    table = spark.createDataFrame(told, "doc_id long, text string").repartition(5)
+    found = span_dedup.repeats(table).collect()
+    assert len(found) == len(told)
+    gone = {(r.doc_id, r.text): r.removed_words for r in found}
+    for r in found:
+        if r.doc_id in (None, 50, 70):
+            assert not r.changed
+        elif r.doc_id == 51:
+            assert r.removed_words >= 60
+        else:
+            assert 40 <= r.removed_words <= 60
+    assert len(gone) == len(set(told))
+    plan = span_dedup.repeats(table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "hash#" not in plan.replace("xxhash", "")
+
+
 def test_span_dedup_of_short_passages():
     import pyarrow as pa
 

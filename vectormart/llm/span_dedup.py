@@ -9,16 +9,19 @@ last of equals).  So no sentence is longer than ``WINDOW`` words, and whether a
 so many words at its ends.  A run starts at any sentence and takes at least ``RUN`` sentences and ``RUN_WORDS``
 words, and at most 26.  The first cut that both hosts share is at most 13 words into a passage and the last 6
 words are in doubt, so that any 45 shared words hold a whole run.
+
+Runs travel once, packed by slice of texts and bucket of hashes; the task of a bucket tells which are not the first.
 """
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from vectormart.llm.words import SPACE, binary, distinct, flat, steps
-from vectormart.session import work_folder
 
 WINDOW, RUN, RUN_WORDS = 7, 3, 20
+BUCKET_BYTES = 16 << 20  # of text, for each bucket of hashes
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -84,24 +87,67 @@ def runs_of(texts):
     return text, first - firsts[text], last - firsts[text], hashes.view(np.int64)
 
 
-def cut_out(text, covered):
-    """(kept text, sentences, removed sentences, removed words, spans) of one text; spans are start:end in code points."""
-    array = pa.array([text], pa.large_string())
-    data, _, starts, _, words, _ = sentences(array)
-    gone = np.zeros(len(starts) + 1, np.int64)
-    for first, last in covered:
-        gone[first] += 1
-        gone[last] -= 1
-    gone = np.cumsum(gone)[:-1] > 0
-    bounds = np.append(starts, len(data))
+def cut_out(texts, counts, first, last):
+    """(sentences, removed sentences, removed words, spans, kept text), arrays with an item per text of a slice.
+
+    Text i has ``counts[i]`` covered runs, the next ones of ``first`` and ``last``; spans are start:end in code points.
+    """
+    data, offsets, starts, firsts, words, _ = sentences(texts)
+    change = np.zeros(len(starts) + 1, np.int64)
+    at = np.repeat(firsts[:-1], counts)
+    np.add.at(change, at + first, 1)
+    np.add.at(change, at + last, -1)
+    gone = np.cumsum(change)[:-1] > 0
+    total = lambda values: np.diff(np.append(0, np.cumsum(values))[firsts])
+    # A removed stretch goes on up to the next sentence that stays, or the end of its text.
+    text = np.repeat(np.arange(len(texts)), np.diff(firsts))
+    new = np.append(True, text[1:] != text[:-1]) if len(text) else np.zeros(0, bool)
+    begin = np.flatnonzero(gone & (new | ~np.append(False, gone)[:-1]))
+    end = np.flatnonzero(gone & np.append((new | ~gone)[1:], True))
+    low, high = starts[begin], np.minimum(np.append(starts, len(data))[end + 1], offsets[text[end] + 1])
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[low] += 1
+    edges[high] -= 1
+    keep = np.cumsum(edges[:-1], dtype=np.int8) == 0
+    places = np.append(0, np.cumsum(keep))[offsets]
     points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    spans = [(bounds[a], bounds[b]) for a, b in zip(edge[0::2], edge[1::2])]
-    keep = np.ones(len(data), bool)
-    for a, b in spans:
-        keep[a:b] = False
-    return (data[keep].tobytes().decode("utf-8"), len(starts), int(gone.sum()), int(np.diff(words)[gone].sum()),
-            ",".join(f"{points[a]}:{points[b]}" for a, b in spans))
+    spans = [[] for _ in range(len(texts))]
+    for of, a, b in zip(text[begin].tolist(), (points[low] - points[offsets[text[begin]]]).tolist(), (points[high] - points[offsets[text[begin]]]).tolist()):
+        spans[of].append(f"{a}:{b}")
+    return (np.diff(firsts), total(gone), total(np.diff(words) * gone), pa.array([",".join(s) for s in spans], pa.string()),
+            binary(data[keep], places[:-1]).cast(pa.string()))
+
+
+def packed(hashes, ids, marks, first, last):
+    """Runs of some documents as bytes; ids lie in order and mostly repeat, so their steps pack well."""
+    columns = (hashes, np.diff(ids, prepend=0), marks, first.astype(np.int32), (last - first).astype(np.uint8))
+    return pa.Codec("zstd", compression_level=3).compress(b"".join(c.tobytes() for c in columns), asbytes=True)
+
+
+def unpacked(value, n):
+    raw, at, out = pa.decompress(value, 25 * n, "zstd"), 0, []
+    for kind in (np.int64, np.int64, np.int32, np.int32, np.uint8):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    hashes, steps_of_ids, marks, first, length = out
+    return hashes, np.cumsum(steps_of_ids), marks, first, first + length
+
+
+def least_of(hashes, *place):
+    """Whether a run is the first of its hash, from its hash and its place (has an id, id, mark, first).
+
+    Rows that repeat id and text are one document, so runs of one place are first together.
+    """
+    least = np.ones(len(hashes), bool)
+    order = np.argsort(hashes, kind="stable")
+    same = np.append(hashes[order][1:] == hashes[order][:-1], False)[:len(order)]
+    some = order[same | np.roll(same, 1)]
+    if len(some):
+        order = some[np.lexsort([c[some] for c in (*reversed(place), hashes)])]
+        new = np.append(True, hashes[order][1:] != hashes[order][:-1])
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        least[order] = np.logical_and.reduce([c[order] == c[lead] for c in place])
+    return least
 
 
 OUT = "row {row}, sentences long, removed_sentences long, removed_words long, spans string, kept_text string"
@@ -116,43 +162,68 @@ def without_repeats(docs, id="doc_id", text="text"):
     sentence stays.  Every row stays, though its text may become empty.
     """
     place = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id}`").cast("long").alias("id"),
-                        F.col(f"`{text}`").alias("text"), F.hash(F.col(f"`{text}`")).alias("mark"))
+                        F.hash(F.col(f"`{text}`")).alias("mark"))
+    told = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.hash(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text")).filter("text is not null")
+    size = told.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, -(-size // BUCKET_BYTES))
 
     def listed(batches):
+        """The runs of a slice, by bucket of their hash.  The first of a hash in the slice goes to the bucket of its hash; all
+        others are repeats wherever the first one is, so they go to any bucket and no hash is hot."""
         for batch in batches:
-            for first, last in steps(batch.column("text")):
-                part = batch.slice(first, last - first)
-                of, begin, end, hashes = runs_of(part.column("text"))
-                at = pa.array(of)
+            for begin, stop in steps(batch.column("text")):
+                part = batch.slice(begin, stop - begin)
+                of, first, last, hashes = runs_of(part.column("text"))
+                none = part.column("id").is_null().to_numpy(zero_copy_only=False)[of]
+                ids = part.column("id").fill_null(0).to_numpy(zero_copy_only=False)[of]
+                marks = part.column("mark").to_numpy(zero_copy_only=False)[of]
+                least = least_of(hashes, ~none, ids, marks, first)
+                key = scrambled(np.where(least, hashes, hashes + of).view(np.uint64))
+                # Rows of a bucket that are sure repeats, or have no id, lie apart from the others.
+                group = (key % np.uint64(buckets)).astype(np.int64) * 4 + none * 2 + ~least
+                order = np.argsort(group, kind="stable")
+                edges = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+                rows = []
+                for a, b in zip(edges[:-1], edges[1:]):
+                    at = order[a:b]
+                    kind = int(group[at[0]])
+                    rows.append((kind // 4, bool(kind & 2), bool(kind & 1), b - a, packed(hashes[at], ids[at], marks[at], first[at], last[at])))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(at), part.column("mark").take(at), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(hashes)],
-                    names=["id", "mark", "first", "last", "hash"])
-
-    runs = place.filter("text is not null").select("id", "mark", "text").mapInArrow(listed, "id long, mark int, first int, last int, hash long")
-    path = work_folder(docs.sparkSession, "runs")
-    runs.write.option("compression", "zstd").parquet(path)
-    runs = docs.sparkSession.read.schema(runs.schema).parquet(path)
-    here = F.struct("id", "mark", "first")
-    # Partial aggregation thins a hot hash before the shuffle; AQE may split its rows in the join.
-    origin = runs.groupBy("hash").agg(F.min(here).alias("low"), F.count("*").alias("times")).filter("times > 1").select("hash", "low")
-    repeats = runs.join(origin, "hash").filter(~here.eqNullSafe(F.col("low")))
-    covered = repeats.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("covered"))
+                    [pa.array([row[i] for row in rows], kind) for i, kind in enumerate((pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary()))],
+                    names=["bucket", "none", "sure", "n", "packed"])
+
+    def repeated(key, table):
+        """(id, mark, first, last) of the runs of one bucket that are not the first of their hash."""
+        parts = [(row["none"], row["sure"], *unpacked(row["packed"], row["n"])) for row in table.select(["none", "sure", "n", "packed"]).to_pylist()]
+        none, sure = (np.concatenate([np.full(len(p[2]), p[i]) for p in parts]) for i in (0, 1))
+        hashes, ids, marks, first, last = (np.concatenate([p[i] for p in parts]) for i in range(2, 7))
+        again, open_ = sure.copy(), np.flatnonzero(~sure)
+        least = least_of(*(x[open_] for x in (hashes, ~none, ids, marks, first)))
+        again[open_] = ~least
+        return pa.table({"id": pa.array(ids[again], mask=none[again]), "mark": marks[again], "first": first[again], "last": last[again].astype(np.int32)})
+
+    runs = told.mapInArrow(listed, "bucket long, none boolean, sure boolean, n long, packed binary")
+    again = runs.groupBy("bucket").applyInArrow(repeated, "id long, mark int, first int, last int")
+    covered = again.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("covered"))
 
     row = docs.schema.simpleString()
 
     def kept(batches):
         for batch in batches:
-            lists = batch.column("covered").to_pylist()
-            results = []
-            for text, spans in zip(batch.column("text").to_pylist(), lists):
-                kept_text, n, gone, words, spans = cut_out(text or "", [(s["first"], s["last"]) for s in spans or []])
-                results.append((n, gone, words, spans, None if text is None else kept_text))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), *[pa.array(x, kind) for x, kind in zip(zip(*results), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]],
-                names=["row", "sentences", "removed_sentences", "removed_words", "spans", "kept_text"]) if results else batch.select([])
+            texts = batch.column("row").field(text)
+            for begin, stop in steps(texts):
+                part, own = batch.slice(begin, stop - begin), texts.slice(begin, stop - begin)
+                lists = part.column("covered")
+                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                first, last = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+                n, gone, words, spans, kept_text = cut_out(own, counts, first, last)
+                whole = pc.if_else(own.is_null(), pa.scalar(None, pa.string()), kept_text)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), pa.array(n), pa.array(gone), pa.array(words), spans, whole],
+                    names=["row", "sentences", "removed_sentences", "removed_words", "spans", "kept_text"])
 
     met = place.alias("p").join(covered.alias("c"), F.col("p.id").eqNullSafe(F.col("c.id")) & F.col("p.mark").eqNullSafe(F.col("c.mark")), "left")
-    return met.select("p.row", "p.text", "c.covered").mapInArrow(kept, OUT.format(row=row))
+    return met.select("p.row", "c.covered").mapInArrow(kept, OUT.format(row=row))
 
 
 def span_dedup(docs, id="doc_id", text="text"):
