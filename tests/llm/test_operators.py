@@ -217,6 +217,21 @@ def test_disclosing_terms_anywhere(spark):
     assert found[10].spans == "term:7:15" and found[100].n_term == 0
 
 
+def test_common_weak_terms_stay_where_they_are(spark):
+    """Only terms that may be strong are looked up, strong ones always, however common they are."""
+    told = [(i, f"Zanzibar some common words at jo@ex.org and number{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(150)]
+    told += [(1000 + i, "some common words again") for i in range(600)]
+    rows = pii.prepared(spark.createDataFrame(told, "doc_id long, text string"), "doc_id", "text")
+    shared = pii.shared(rows)
+    base = pii.base_spans(shared).withColumns({
+        "entities": F.transform("email", lambda s: s["value"]), "inside": pii.terms_of(pii.between(F.col("text"), F.col("email")))})
+    strong, weak = pii.disclosing(shared, base)
+    common = {r.term for r in weak.collect()}
+    assert {"some", "common", "words", "again"} <= common and not common & {r.term for r in strong.collect()}
+    terms = [r.term for r in pii.looked_up(rows, weak).collect()]
+    assert terms.count("zanzibar") == 150 and len(terms) == 300
+
+
 def test_fingerprints(docs, empty):
     table = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     texts = dict(plain(table))
