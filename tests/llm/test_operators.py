@@ -168,6 +168,19 @@ def test_prefixes_lose_no_link(spark):
         assert want or similarity == 100
 
 
+def test_sets_are_cut_in_small_slices(monkeypatch):
+    """However many texts are compared at once, a slice of about a megabyte is cut at a time, with the same sets."""
+    import pyarrow as pa
+
+    texts = [b" ".join(b"w%d" % (i * j % 997) for i in range(20_000)) for j in range(1, 40)] + [b"", b"one two"]
+    values, places = near_dedup.shingle_sets(pa.array(texts, pa.large_binary()), 3)
+    seen, cut = [], near_dedup.shingle_sets
+    monkeypatch.setattr(near_dedup, "shingle_sets", lambda column, width: seen.append(column.nbytes) or cut(column, width))
+    sets = near_dedup.full_sets(texts, 3)
+    assert len(seen) > 2 and max(seen) < 1.3 * near_dedup.SMALL_STEP_BYTES
+    assert [s.tolist() for s in sets] == [values[a:b].tolist() for a, b in zip(places[:-1], places[1:])]
+
+
 def test_prefixes_leave_unlike_families_apart(spark):
     # A core that all hold, and more shingles of their own than a link may leave: no pair meets at all.
     table = spark.createDataFrame([(r, r, [*range(300), *range(1000 * (r + 1), 1000 * (r + 1) + 70)]) for r in range(200)],

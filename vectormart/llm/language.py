@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from vectormart.llm.words import binary, distinct, flat, steps
+from vectormart.llm.words import SMALL_STEP_BYTES, binary, distinct, flat, steps
 
 UNDECIDED = "und"
 FLOOR = 1e-9  # probability of a byte that no piece of the model covers
@@ -103,7 +103,7 @@ def train(docs, pieces):
     def run(batches):
         table = Vocabulary.of(pieces)
         for batch in batches:
-            for first, last in steps(batch.column("text")):
+            for first, last in steps(batch.column("text"), SMALL_STEP_BYTES):
                 part = batch.slice(first, last - first)
                 words, firsts = letter_words(part.column("text"))
                 if not len(words):
@@ -202,7 +202,7 @@ def identified(spark, model, pieces):
     def found(texts: pa.Array) -> pa.Array:
         names, table = shared.value
         parts = [pa.StructArray.from_arrays(of_slice(texts.slice(first, last - first), names, table), names=["lang_pred", "score"])
-                 for first, last in steps(texts)]
+                 for first, last in steps(texts, SMALL_STEP_BYTES)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
 
     return found

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from vectormart.llm.words import SPACE, binary, distinct, flat, steps
+from vectormart.llm.words import SMALL_STEP_BYTES, SPACE, binary, distinct, flat, steps
 from vectormart.session import work_folder, written
 
 COLLECTION, ROWS = 9, 2
@@ -92,6 +92,15 @@ def shingle_sets(texts, width):
     return values, np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
+def full_sets(texts, width):
+    """The shingle set of every text of a list; a slice of the texts is cut at a time."""
+    column, sets = pa.array(texts, pa.large_binary()), []
+    for first, last in steps(column, SMALL_STEP_BYTES):
+        values, places = shingle_sets(column.slice(first, last - first), width)
+        sets += [values[i:j] for i, j in zip(places[:-1], places[1:])]
+    return sets
+
+
 def per_text(function, values, places, empty):
     """``function.reduceat`` over every text's values; texts without any get ``empty``."""
     out = np.full(len(places) - 1, empty, np.uint64)
@@ -108,7 +117,7 @@ def signatures(docs, width, id="doc_id", text="text"):
 
     def run(batches):
         for batch in batches:
-            for first, last in steps(batch.column("text")):
+            for first, last in steps(batch.column("text"), SMALL_STEP_BYTES):
                 part = batch.slice(first, last - first)
                 values, places = shingle_sets(part.column("text"), width)
                 mins = np.zeros((MINHASHES, len(part)), np.uint32)
@@ -181,9 +190,7 @@ def confirmed(pairs, width, similarity):
                 part = batch.slice(first, PAIRS_AT_ONCE).to_pydict()
                 centres = dict(zip(part["centre"], part["other"]))
                 place = {centre: len(part["own"]) + i for i, centre in enumerate(centres)}
-                texts = [unpack(t) for t in [*part["own"], *centres.values()]]
-                values, places = shingle_sets(pa.array(texts, pa.large_binary()), width)
-                sets = [values[i:j] for i, j in zip(places[:-1], places[1:])]
+                sets = full_sets([unpack(t) for t in [*part["own"], *centres.values()]], width)
                 linked = []
                 for i, centre in enumerate(part["centre"]):
                     own, other = sets[i], sets[place[centre]]
@@ -208,8 +215,9 @@ def open_sets(buckets, texts, width):
         for batch in batches:
             for first in range(0, len(batch), PAIRS_AT_ONCE):
                 part = batch.slice(first, PAIRS_AT_ONCE)
-                values, places = shingle_sets(pa.array([unpack(t) for t in part.column("packed").to_pylist()], pa.large_binary()), width)
-                sets = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(values.view(np.int64)))
+                found = full_sets([unpack(t) for t in part.column("packed").to_pylist()], width)
+                places = np.append(0, np.cumsum([len(x) for x in found]))
+                sets = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("group"), sets], names=["rep", "group", "shingles"])
 
     keys = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
@@ -294,8 +302,7 @@ def confirmed_in_cells(pairs, texts, width, similarity):
             for i in range(len(batch)):
                 cell = batch.slice(i, 1).to_pydict()
                 place = {t["rep"]: k for k, t in enumerate(cell["texts"][0])}
-                values, places = shingle_sets(pa.array([unpack(t["packed"]) for t in cell["texts"][0]], pa.large_binary()), width)
-                sets = [values[a:b] for a, b in zip(places[:-1], places[1:])]
+                sets = full_sets([unpack(t["packed"]) for t in cell["texts"][0]], width)
                 for pair in cell["pairs"][0]:
                     x, y = sets[place[pair["x"]]], sets[place[pair["y"]]]
                     common = np.intersect1d(x, y, assume_unique=True).size

@@ -26,6 +26,7 @@ MARK = SOLID & ~LETTER
 MARK[[*range(0x30, 0x3A), 0x27]] = False
 MARK[[0x3C, 0x3E, 0x7C]] = False  # < > | may belong to a special token, which must stay whole
 STEP_BYTES = 4 << 20
+SMALL_STEP_BYTES = 1 << 20  # where many arrays of numbers stand beside the text
 
 
 def flat(column):
@@ -116,10 +117,10 @@ class Encoder:
         return lengths, np.frombuffer(b"".join(ids), np.uint32)
 
 
-def steps(column):
-    """Slices of a column of about ``STEP_BYTES``; a longer text makes a slice of its own."""
+def steps(column, most=None):
+    """Slices of a column of about ``most`` bytes (``STEP_BYTES``); a longer text makes a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = (np.cumsum(sizes) - sizes) // STEP_BYTES
+    group = (np.cumsum(sizes) - sizes) // (most or STEP_BYTES)
     firsts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(sizes) else np.zeros(0, int)
     for first, last in zip(firsts, np.append(firsts[1:], len(sizes))):
         yield int(first), int(last)
