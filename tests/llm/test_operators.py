@@ -181,6 +181,42 @@ def test_sets_are_cut_in_small_slices(monkeypatch):
     assert [s.tolist() for s in sets] == [values[a:b].tolist() for a, b in zip(places[:-1], places[1:])]
 
 
+def test_classes_make_their_keys_in_many_tasks(spark):
+    """A class makes 81 rows: classes of one small file are dealt out before that, and none is lost."""
+    named = spark.createDataFrame([(r, [r + i for i in range(near_dedup.MINHASHES)]) for r in range(500)], "rep long, mins array<int>").coalesce(1)
+    keyed = near_dedup.table_keys(named)
+    made = keyed.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in made) == 81 * 500
+    assert len(made) > 1 and max(r["count"] for r in made) < 81 * 500
+
+
+def test_workers_keep_little_between_tasks(spark):
+    """Words of a finished run are forgotten, and what Arrow and the allocator kept goes back to the system."""
+    from vectormart.llm import words as used
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(e.kept) for e in used.Encoder.loaded.values())], pa.int64())})
+
+    table = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(2000)), None, None, 0) for i in range(50)], SCHEMA).repartition(8)
+    assert bpe.digests(table, queries.BYTE_BPE).agg(F.sum("n_tokens")).first()[0] > 100_000
+    assert {r.n for r in spark.range(64).repartition(16).mapInArrow(kept, "n long").collect()} == {0}
+
+
+def test_a_finished_task_gives_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(words, "give_back", lambda: calls.append(1))
+    whole = words.lean(lambda batches: (b + 1 for b in batches))([1, 2, 3])
+    assert list(whole) == [2, 3, 4] and calls == [1]
+    part = words.lean(lambda batches: (b for b in batches))([1, 2, 3])
+    assert next(part) == 1 and calls == [1]
+    part.close()
+    assert calls == [1, 1]
+    assert words.leanly(lambda key, table: key + table, 1, 2) == 3 and calls == [1, 1, 1]
+
+
 def test_prefixes_leave_unlike_families_apart(spark):
     # A core that all hold, and more shingles of their own than a link may leave: no pair meets at all.
     table = spark.createDataFrame([(r, r, [*range(300), *range(1000 * (r + 1), 1000 * (r + 1) + 70)]) for r in range(200)],

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from vectormart.llm.words import Encoder, cut, distinct, flat, gathered, steps
+from vectormart.llm.words import Encoder, cut, distinct, flat, gathered, leanly, steps
 
 BLOCK_BYTES = 16 << 20
 
@@ -159,7 +159,9 @@ def encode_by_distinct_words(docs, tokenizer, finish, schema, names):
             asked.append((row["block"], binary_of(data, sizes)))
         every = pa.chunked_array([words for _, words in asked]).combine_chunks().dictionary_encode()
         codes = every.indices.to_numpy(zero_copy_only=False)
-        lengths, ids = Encoder.of(tokenizer).encode(every.dictionary)
+        encoder = Encoder.of(tokenizer)
+        lengths, ids = encoder.encode(every.dictionary)
+        encoder.kept = {}  # no other bucket asks for these words
         rows, at = [], 0
         for block, words in asked:
             own = codes[at:at + len(words)]
@@ -192,10 +194,13 @@ def encode_by_distinct_words(docs, tokenizer, finish, schema, names):
         return pa.concat_tables(out)
 
     words = dealt.groupBy("block").applyInArrow(
-        listed, "block long, bucket long, n long, sizes binary, words binary, raw_sizes long, raw_words long")
+        lambda key, table: leanly(listed, key, table),
+        "block long, bucket long, n long, sizes binary, words binary, raw_sizes long, raw_words long")
     answers = words.groupBy("bucket").applyInArrow(
-        encoded, "block long, bucket long, n long, lengths binary, ids binary, raw_lengths long, raw_ids long, n_ids long")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(placed, schema).select(*names)
+        lambda key, table: leanly(encoded, key, table),
+        "block long, bucket long, n long, lengths binary, ids binary, raw_lengths long, raw_ids long, n_ids long")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        lambda key, table, answers: leanly(placed, key, table, answers), schema).select(*names)
 
 
 def flat_binary(array):

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from vectormart.llm.words import SMALL_STEP_BYTES, binary, distinct, flat, steps
+from vectormart.llm.words import SMALL_STEP_BYTES, binary, distinct, flat, give_back, lean, steps
 
 UNDECIDED = "und"
 FLOOR = 1e-9  # probability of a byte that no piece of the model covers
@@ -123,7 +123,7 @@ def train(docs, pieces):
                         names=["lang", "piece", "n"])
 
     rows = docs.filter("lang is not null and text is not null").select("text", "lang")
-    counts = rows.mapInArrow(run, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(lean(run), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     table = np.full((Vocabulary.of(pieces).size, len(languages)), SMOOTHING)
     for i, name in enumerate(languages):
@@ -203,6 +203,7 @@ def identified(spark, model, pieces):
         names, table = shared.value
         parts = [pa.StructArray.from_arrays(of_slice(texts.slice(first, last - first), names, table), names=["lang_pred", "score"])
                  for first, last in steps(texts, SMALL_STEP_BYTES)]
+        give_back()
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
 
     return found

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from vectormart.llm.words import SMALL_STEP_BYTES, SPACE, binary, distinct, flat, steps
+from vectormart.llm.words import SMALL_STEP_BYTES, SPACE, binary, distinct, flat, lean, steps
 from vectormart.session import work_folder, written
 
 COLLECTION, ROWS = 9, 2
@@ -130,7 +130,7 @@ def signatures(docs, width, id="doc_id", text="text"):
                     names=["id", "n", "s1", "s2", "mins"])
 
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(MISSING_ID)).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, mins array<int>")
+    return rows.mapInArrow(lean(run), "id long, n long, s1 long, s2 long, mins array<int>")
 
 
 def rows_of(columns):
@@ -166,7 +166,7 @@ def packed_texts(docs, members, id="doc_id", text="text"):
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(texts, pa.binary())], names=["rep", "packed"])
 
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(MISSING_ID)).alias("rep"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "rep long, packed binary").join(members, "rep", "left_semi").dropDuplicates(["rep"])
+    return rows.mapInArrow(lean(run), "rep long, packed binary").join(members, "rep", "left_semi").dropDuplicates(["rep"])
 
 
 def bucketed(df, label, column):
@@ -199,7 +199,7 @@ def confirmed(pairs, width, similarity):
                 found = [(r, c) for r, c, yes in zip(part["rep"], part["centre"], linked) if yes]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.select("rep", "own", "centre", "other").mapInArrow(run, "a long, b long")
+    return pairs.select("rep", "own", "centre", "other").mapInArrow(lean(run), "a long, b long")
 
 
 def open_sets(buckets, texts, width):
@@ -222,7 +222,7 @@ def open_sets(buckets, texts, width):
 
     keys = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
     classes = buckets.join(keys.filter("m > 2 and low != high"), "key", "left_semi").select("rep", "group").distinct()
-    return classes.join(texts, "rep").select("rep", "group", "packed").mapInArrow(run, "rep long, group long, shingles array<long>")
+    return classes.join(texts, "rep").select("rep", "group", "packed").mapInArrow(lean(run), "rep long, group long, shingles array<long>")
 
 
 def prefixes(sets, similarity):
@@ -285,7 +285,7 @@ def fitting(cells, similarity):
             kinds = (np.int64, np.int32, np.int32, np.int64, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(kind)) if found else pa.array([], pa.from_numpy_dtype(kind)) for x, kind in zip(zip(*found) if found else kinds, kinds)], names=[*CELL, "x", "y"])
 
-    pairs = cells.mapInArrow(run, "key long, p int, q int, x long, y long")
+    pairs = cells.mapInArrow(lean(run), "key long, p int, q int, x long, y long")
     # A pair that meets in several shingles is compared at one of them.
     return pairs.groupBy("x", "y").agg(F.min(F.struct(*CELL)).alias("cell")).select("cell.*", "x", "y")
 
@@ -313,7 +313,7 @@ def confirmed_in_cells(pairs, texts, width, similarity):
     held = pairs.select(*CELL, F.explode(F.array("x", "y")).alias("rep")).distinct().join(texts, "rep")
     held = held.groupBy(*CELL).agg(F.collect_list(F.struct("rep", "packed")).alias("texts"))
     asked = pairs.groupBy(*CELL).agg(F.collect_list(F.struct("x", "y")).alias("pairs"))
-    return held.join(asked, CELL).select("texts", "pairs").mapInArrow(run, "a long, b long")
+    return held.join(asked, CELL).select("texts", "pairs").mapInArrow(lean(run), "a long, b long")
 
 
 def merged(groups, links):
@@ -344,6 +344,21 @@ def merged(groups, links):
     return written(renamed.select("rep", F.coalesce("name", "group").alias("group")), "groups"), names
 
 
+def table_keys(named):
+    """(rep, key): the keys of every class.
+
+    A class makes 81 rows, which are counted where they are made, so classes are dealt into many tasks first: a few
+    files of classes would be a few tasks with tables of millions of keys each.
+    """
+    small = [[F.col("mins")[i * ROWS + r] for r in range(ROWS)] for i in range(2 * COLLECTION)]
+    # The last bits of a key name its place among the keys of a class.
+    keys = F.array(*[
+        F.xxhash64(F.lit(i * COLLECTION + j), *small[i], *small[COLLECTION + j]).bitwiseAND(F.lit(-PLACES)).bitwiseOR(F.lit(i * COLLECTION + j))
+        for i in range(COLLECTION) for j in range(COLLECTION)])
+    dealt = named.select("rep", "mins").repartition(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
+    return dealt.select("rep", F.explode(keys).alias("key"))
+
+
 def near_groups(docs, width, similarity, id="doc_id", text="text"):
     """(id, n_shingles, component_id) per row of ``docs``; ``similarity`` is a whole percentage.
 
@@ -355,12 +370,7 @@ def near_groups(docs, width, similarity, id="doc_id", text="text"):
     marks = written(signatures(docs, width, id, text), "signatures")
     classes = marks.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     named = written(classes, "classes")
-    small = [[F.col("mins")[i * ROWS + r] for r in range(ROWS)] for i in range(2 * COLLECTION)]
-    # The last bits of a key name its place among the keys of a class.
-    keys = F.array(*[
-        F.xxhash64(F.lit(i * COLLECTION + j), *small[i], *small[COLLECTION + j]).bitwiseAND(F.lit(-PLACES)).bitwiseOR(F.lit(i * COLLECTION + j))
-        for i in range(COLLECTION) for j in range(COLLECTION)])
-    keyed = named.select("rep", F.explode(keys).alias("key"))
+    keyed = table_keys(named)
     # Partial aggregation thins a key that many classes share; AQE may split its rows in the join.
     shared = keyed.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1").select("key")
     buckets = written(keyed.join(shared, "key").withColumn("group", F.col("rep")), "buckets")
