@@ -9,7 +9,9 @@ from vectormart.fixed_values import FLAT_COLUMNS
 from vectormart.functions.documents import parse_documents
 from vectormart.functions.text import relative_path, top_dir
 from vectormart.operators.worklist import audio_files
+from vectormart.session import written
 from vectormart.sources.listing import Listing
+from vectormart.sources.small_files import PACKED, contents, folder_address, listed
 
 FLAT_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in FLAT_COLUMNS)
 ARTIST_MAP_SCHEMA = "artist_raw string, canonical_name string, mbid string"
@@ -23,21 +25,36 @@ def file_provenance(df):
     """
     uri = F.col("_metadata.file_path")
     path = F.coalesce(F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), uri)
-    changed = F.to_utc_timestamp(F.col("_metadata.file_modification_time"), F.current_timezone())
-    text = F.date_format(changed, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return df.select(
-        "*",
-        path.alias("json_path"),
-        F.concat(F.regexp_replace(text, r"\.000000$", ""), F.lit("Z")).alias("extracted_at"),
-    )
+    return df.select("*", path.alias("json_path"), _utc_text(F.col("_metadata.file_modification_time")).alias("extracted_at"))
+
+
+def _utc_text(time):
+    text = F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(text, r"\.000000$", ""), F.lit("Z"))
+
+
+def file_texts(files, address):
+    """Listed files as ``file_provenance`` shows them: (value, json_path, extracted_at).
+
+    They are read in tasks.  Packed ones go through Spark's reader, which holds their paths on the driver.
+    """
+    packed = F.lower("path").rlike(PACKED)
+    texts = contents(files.filter(~packed), address).select(
+        "value", F.col("path").alias("json_path"), _utc_text(F.timestamp_millis("changed")).alias("extracted_at"))
+    paths = _literal(files.filter(packed).collect())
+    return texts.unionByName(file_provenance(files.sparkSession.read.text(paths, wholetext=True))) if paths else texts
 
 
 def scan_feature_json(spark, folder, limit=None):
     """One document per ``*.json`` file: (json_path, extracted_at, value, doc).
 
     ``limit`` keeps the first files by path.  Bad files have a NULL ``doc``; see
-    ``accepted`` and ``rejected``.
+    ``accepted`` and ``rejected``.  The folder is listed at once and its listing written, so that all steps see the same files.
     """
+    address = folder_address(spark, folder)
+    if address:
+        files = written(listed(spark, address, "*.json"), "files")
+        return parse_documents(file_texts(files if limit is None else first_listed(files, limit), address))
     # A name filter lists the folder once; a path pattern would become one path per file.
     paths = folder if limit is None else first_files(spark, folder, "*.json", limit)
     if not paths:
@@ -45,10 +62,19 @@ def scan_feature_json(spark, folder, limit=None):
     return parse_documents(file_provenance(spark.read.option("pathGlobFilter", "*.json").text(paths, wholetext=True)))
 
 
+def first_listed(files, limit):
+    """The first ``limit`` listed files by path, of those that are not empty."""
+    return files.filter("length > 0").orderBy("path").limit(limit)
+
+
 def first_files(spark, folder, pattern, limit):
     """The first ``limit`` file paths in order, written so that no character counts as a pattern; nothing is opened for it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", r["path"]) for r in files.orderBy("path").limit(limit).collect()]
+    return _literal(files.orderBy("path").limit(limit).collect())
+
+
+def _literal(rows):
+    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", r["path"]) for r in rows]
 
 
 def scan_feature_lines(spark, path):
