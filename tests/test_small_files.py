@@ -10,6 +10,7 @@ from checks.base import Tables
 from tests.test_jobs import document, write
 from vectormart.sources import readers
 from vectormart.sources.small_files import BATCH_BYTES, folder_address, listed
+from vectormart.streaming import jobs as streams
 
 
 @pytest.fixture
@@ -90,3 +91,54 @@ def test_documents_are_joined_without_a_broadcast(spark, tmp_path):
     assert files.count() == 4
     plan = files._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+def batches(out):
+    return sorted(int(name.removeprefix("batch=")) for run in os.listdir(out) for name in os.listdir(f"{out}/{run}"))
+
+
+def test_a_stream_leaves_no_names_in_its_log(spark, tmp_path):
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    for i in range(20):
+        write(source, f"{i}.json", document(f"k{i}"))
+    streams.stream_ingest(spark, source, out, marks)
+    log = "".join(r["value"] for r in spark.read.text(f"{marks}/sources/0").collect())
+    assert "arrivals" in log and ".json" not in log
+    for name in ("empty.json", "broken.json"):
+        write(source, name, "{" * (name == "broken.json"))
+    for _ in range(2):
+        streams.stream_ingest(spark, source, out, marks)
+    assert batches(out) == [0, 1]
+    assert sorted(r["file_hash"] for r in spark.read.parquet(out).collect()) == sorted(f"k{i}" for i in range(20))
+    assert [r["json_path"] for r in spark.read.parquet(out + "-rejects").collect()] == [f"file:{source}/broken.json"]
+
+
+def test_batches_of_a_stream_are_bounded_and_in_order(spark, tmp_path):
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    for i in range(7):
+        os.utime(write(source, f"{i}.json", document(f"k{i}")), (1_700_000_000 - i, 1_700_000_000 - i))
+    streams.stream_ingest(spark, source, out, marks, files_per_batch=3)
+    rows = spark.read.parquet(out).groupBy("batch").agg(F.sort_array(F.collect_list("file_hash")).alias("keys")).orderBy("batch")
+    assert [r["keys"] for r in rows.collect()] == [["k4", "k5", "k6"], ["k1", "k2", "k3"], ["k0"]]
+
+
+def test_a_checkpoint_that_spark_began_goes_on(spark, tmp_path):
+    source, out, marks = (str(tmp_path / n) for n in ("a +b%", "out", "marks"))
+    write(source, "x 0.json", document("k0"))
+    spark.readStream.option("pathGlobFilter", "*.json").text(source, wholetext=True).writeStream.foreachBatch(
+        lambda batch, number: None).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    write(source, "y.json", document("k1"))
+    for _ in range(2):
+        streams.stream_ingest(spark, source, out, marks)
+    assert [(r["file_hash"], r["batch"]) for r in spark.read.parquet(out).collect()] == [("k1", 1)]
+
+
+def test_a_batch_that_failed_is_done_again(spark, tmp_path, monkeypatch):
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    write(source, "a.json", document("k0"))
+    with monkeypatch.context() as patched:
+        patched.setattr(streams, "flatten_features", None)
+        with pytest.raises(Exception):
+            streams.stream_ingest(spark, source, out, marks)
+    write(source, "b.json", document("k1"))
+    streams.stream_ingest(spark, source, out, marks)
+    assert sorted((r["file_hash"], r["batch"]) for r in spark.read.parquet(out).collect()) == [("k0", 0), ("k1", 1)]
