@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.base import Tables
 from tests.test_jobs import document, write
-from vectormart.sources import readers
+from vectormart.sources import readers, small_files
 from vectormart.sources.small_files import BATCH_BYTES, folder_address, listed
 from vectormart.streaming import jobs as streams
 
@@ -82,6 +82,16 @@ def test_a_scan_leaves_no_names_on_the_driver(spark, tmp_path):
         assert scanned.count() == (limit or 20)
 
 
+def test_tasks_grow_with_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(small_files, "FILES_A_TASK", 1)
+    folder = str(tmp_path / "in")
+    least = 2 * spark.sparkContext.defaultParallelism
+    for count in (2, least + 5):
+        for i in range(count):
+            write(folder, f"{i}.json", document(f"k{i}"))
+        assert readers.scan_feature_json(spark, folder).rdd.getNumPartitions() == count
+
+
 def test_documents_are_joined_without_a_broadcast(spark, tmp_path):
     spark.range(5).selectExpr(
         "id as p_partkey", "'n' as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size", "2.0D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
