@@ -205,6 +205,23 @@ def test_workers_keep_little_between_tasks(spark):
     assert {r.n for r in spark.range(64).repartition(16).mapInArrow(kept, "n long").collect()} == {0}
 
 
+def test_token_files_leave_no_words_in_workers(spark):
+    import time
+
+    from vectormart.llm import words as used
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(e.kept) for e in used.Encoder.loaded.values())], pa.int64())})
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200)), None, None, 0) for i in range(50)], SCHEMA).repartition(8)
+    token_files.write_token_files(docs, work_folder(spark), queries.BYTE_BPE, 2)
+    time.sleep(8)
+    assert {r.n for r in spark.range(64).repartition(16).mapInArrow(kept, "n long").collect()} == {0}
+
+
 def test_a_finished_task_gives_memory_back(monkeypatch):
     calls = []
     monkeypatch.setattr(words, "give_back", lambda: calls.append(1))

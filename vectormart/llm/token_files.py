@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vectormart.llm.words import steps, token_ids
+from vectormart.llm.words import Encoder, steps, token_ids
 
 BLOCK, SEGMENT = 256, 1 << 16
 PERCENTILE = 0.9
-# Words whose ids a worker remembers from one slice of text to the next: some 200 MB.
+# Words whose ids a worker remembers from one slice of text to the next, and for a few seconds to the next task: some 200 MB.
 WORDS_KEPT = 1_000_000
 
 FILE = T.StructType([
@@ -146,6 +146,7 @@ def write_token_files(docs, path, tokenizer, end_id):
                         kept, names, lengths, held = [], [], [], 0
         if names:
             yield row()
+        Encoder.forget_soon()
 
     placed = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("h"))
     placed = placed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")

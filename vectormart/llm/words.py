@@ -10,6 +10,7 @@ word of its own for the same reason (an apostrophe is not, as it may begin a con
 
 import ctypes
 import os
+import threading
 from array import array
 from functools import wraps
 
@@ -113,6 +114,7 @@ class Encoder:
     """One tokenizer per worker, with the ids of words it met before (a bounded memory)."""
 
     loaded = {}
+    leaving = None
     KEPT = 300_000
 
     def __init__(self, path):
@@ -126,24 +128,46 @@ class Encoder:
 
     @classmethod
     def of(cls, path):
+        cls.stay()
         if path not in cls.loaded:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    @classmethod
+    def forget_soon(cls, seconds=5):
+        """Forget all words unless a task asks for some before that: the next one of a run needs them, a waiting worker does not."""
+        cls.stay()
+        cls.leaving = threading.Timer(seconds, cls.forget)
+        cls.leaving.daemon = True
+        cls.leaving.start()
+
+    @classmethod
+    def stay(cls):
+        if cls.leaving:
+            cls.leaving.cancel()
+            cls.leaving = None
+
+    @classmethod
+    def forget(cls):
+        for one in list(cls.loaded.values()):
+            one.kept = {}
+        give_back()
+
     def encode(self, words, most=None):
         """(number of ids of each word, all ids), for distinct words given as bytes; ``most`` words are remembered."""
         keys = words.to_pylist()
-        new = [w for w in keys if w not in self.kept]
+        kept = self.kept  # ``forget`` may take it from the next call, not from this one
+        new = [w for w in keys if w not in kept]
         if new:
-            if len(self.kept) + len(new) > (most or self.KEPT):
-                self.kept = {}
+            if len(kept) + len(new) > (most or self.KEPT):
+                kept = self.kept = {}
                 new = keys
             for at in range(0, len(new), 20_000):
                 part = new[at:at + 20_000]
                 found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
                 for word, one in zip(part, found):
-                    self.kept[word] = array("I", one.ids).tobytes()
-        ids = [self.kept[w] for w in keys]
+                    kept[word] = array("I", one.ids).tobytes()
+        ids = [kept[w] for w in keys]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         return lengths, np.frombuffer(b"".join(ids), np.uint32)
 
